@@ -11,9 +11,8 @@ are judged each; only the named columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from functools import lru_cache
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -54,22 +53,22 @@ def window_chunks(benchmark: DataFrame, id_col: str, text_col: str, size: int, a
         yield chunk
 
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
-def _automaton(shared):
+def _automaton(key: str, shared):
     """Built once in each worker."""
     import ahocorasick
 
-    if shared.id not in _built:
+    if key not in _built:
         _built.clear()
         a = ahocorasick.Automaton()
         for k, (window, items) in enumerate(shared.value):
             a.add_word(window.decode("latin-1"), (window.count(b" ") - 1, items))
         if len(shared.value):
             a.make_automaton()
-        _built[shared.id] = a
-    return _built[shared.id]
+        _built[key] = a
+    return _built[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,8 +106,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     chunks = [spark.sparkContext.broadcast(list(c.items())) for c in window_chunks(benchmark, item_col, item_text_col, size, automaton_bytes)] or [spark.sparkContext.broadcast([])]
 
     def stage(shared, last: bool):
+        key = uuid.uuid4().hex
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            automaton = _automaton(shared)
+            automaton = _automaton(key, shared)
             n, hits, spans, items = [], [], [], []
             old_hits, old_items = (batch.column(2).to_pylist(), batch.column(3).to_pylist()) if len(chunks) > 1 else (None, None)
             for k, text in enumerate(batch.column(1).to_pylist()):

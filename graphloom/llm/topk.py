@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import table
@@ -112,9 +112,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({n: np.concatenate(x).astype(np.int64) for n, x in (("query_id", out_q), ("score", out_s), ("vec_id", out_v))})
 
     best = pairs.mapInArrow(run, "query_id long, score long, vec_id long")
-    ranked = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))).alias("all"))
-    one = ranked.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "x"))
-    return one.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # limited within each task before the shuffle
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +122,9 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) v from embeddings
-           where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-p as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), i -> q.v[i] * c.v[i]))::bigint score
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint score
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from p)
 select query_id, rank, vec_id, score from r where rank <= 10
