@@ -96,12 +96,14 @@ def scan_text(words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set
     return merged(hits), items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = 64_000_000) -> DataFrame:
-    """id_col, n_words, hits (word ranges), spans (code points of the ranges in the original text), items (sorted)."""
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = 64_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in keep, id_col, n_words, hits (word ranges), spans (code points of the ranges in the original text), items (sorted)."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = [c for c in (*keep, id_col) if c != "text"]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", text string"
+    at = len(own)
     ranges = "array<struct<start:int,stop:int>>"
-    out = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lit(None).cast(ranges).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(*own, F.col(text_col).alias("text"), F.lit(None).cast(ranges).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     pair = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     chunks = [spark.sparkContext.broadcast(list(c.items())) for c in window_chunks(benchmark, item_col, item_text_col, size, automaton_bytes)] or [spark.sparkContext.broadcast([])]
 
@@ -111,20 +113,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             automaton = _automaton(key, shared)
             n, hits, spans, items = [], [], [], []
-            old_hits, old_items = (batch.column(2).to_pylist(), batch.column(3).to_pylist()) if len(chunks) > 1 else (None, None)
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            old_hits, old_items = (batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()) if len(chunks) > 1 else (None, None)
+            for k, text in enumerate(batch.column(at).to_pylist()):
                 words = word_list(text)
-                found, own = scan_text(words, automaton)
+                found, met = scan_text(words, automaton)
                 if old_hits is not None:
                     found = merged(found + [(x["start"], x["stop"]) for x in old_hits[k] or ()])
-                    own |= set(old_items[k] or ())
+                    met |= set(old_items[k] or ())
                 n.append(len(words))
                 hits.append([{"start": a, "stop": b} for a, b in found])
-                items.append(sorted(own))
+                items.append(sorted(met))
                 spans.append(original(text, found) if found and last else [])
-            cols = {id_col: batch.column(0), "text": batch.column(1), "hits": pa.array(hits, pair), "items": pa.array(items, pa.list_(pa.string()))}
+            cols = {c: batch.column(k) for k, c in enumerate([*own, "text"])} | {"hits": pa.array(hits, pair), "items": pa.array(items, pa.list_(pa.string()))}
             if last:
-                del cols["text"]
                 cols |= {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pair)}
             return pa.RecordBatch.from_pydict(cols)
 
@@ -132,8 +133,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     for k, shared in enumerate(chunks):
         last = k == len(chunks) - 1
-        out = map_batches(out, stage(shared, last), f"`{id_col}` {kind}" + (", text string" * (not last)) + f", hits {ranges}, items array<string>" + f", n_words long, spans {ranges}" * last)
-    return out
+        out = map_batches(out, stage(shared, last), kinds + f", hits {ranges}, items array<string>" + f", n_words long, spans {ranges}" * last)
+    return out if "text" in keep else out.drop("text")
 
 
 def original(text: str, hits: list[tuple[int, int]]) -> list[dict]:
