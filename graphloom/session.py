@@ -29,11 +29,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Only where that setting is absent (tests, laptops) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all nodes share: spark.checkpoint.dir, or in its absence the context's checkpoint folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        named = sc.getCheckpointDir()
+    return named
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
