@@ -99,7 +99,7 @@ def scan_text(words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = 64_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in keep, id_col, n_words, hits (word ranges), spans (code points of the ranges in the original text), items (sorted)."""
     spark = docs.sparkSession
-    own = [c for c in (*keep, id_col) if c != "text"]
+    own = [c for c in dict.fromkeys((*keep, id_col)) if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", text string"
     at = len(own)
     ranges = "array<struct<start:int,stop:int>>"
