@@ -84,6 +84,11 @@ def unpack40(raw: bytes) -> np.ndarray:
 RUN_SCHEMA = "anchor long, doc long, tkey long, first int, hashes binary, lost binary"
 
 
+def spread(tkey: int, first: int) -> int:
+    """Where a decided run is dealt: anywhere but to the task of its anchor, which may be a common one."""
+    return (tkey * 2862933555777941757 + first * 3202034522624059733 + 1) % (1 << 64) - (1 << 63)
+
+
 def _runs(batches):
     """Rows of RUN_SCHEMA: runs to be compared (lost null), and runs already lost to a smaller id of this task (hashes null)."""
     held: dict[bytes, tuple] = {}
@@ -116,9 +121,9 @@ def _runs(batches):
                 if have is None:
                     held[key] = (anchor, doc, tkey, first)
                 elif doc > have[1]:
-                    lost.append((anchor, doc, tkey, first, None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
+                    lost.append((spread(tkey, first), doc, tkey, first, None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
                 elif doc < have[1]:
-                    lost.append((anchor, have[1], have[2], have[3], None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
+                    lost.append((spread(have[2], have[3]), have[1], have[2], have[3], None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
                     held[key] = (anchor, doc, tkey, first)
                 else:  # the same id again: neither takes from the other, both are to be compared
                     yield rows([(anchor, doc, tkey, first, key[8:], None)])
