@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import map_batches, slices, texts
+from graphloom.llm.text import U64, WORD_BASE, map_batches, mix, powers, slices, sums, texts
 from graphloom.session import table
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 LONGEST_WORD = 48
-WORDS_HELD = 200_000
+WORDS_HELD = 600_000
 ALPHA = 0.05
 
 
@@ -56,26 +56,52 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+@lru_cache(maxsize=2)
+def piece_hashes(path: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, sorted hashes, numbers) of the pieces of each length."""
+    vocab, _ = pieces(path)
+    by: dict[int, list[str]] = {}
+    for x in vocab:
+        by.setdefault(len(x), []).append(x)
+    out = []
+    for n, own in sorted(by.items()):
+        codes = np.array([[ord(c) for c in x] for x in own], U64)
+        with np.errstate(over="ignore"):
+            h = mix((codes * powers(WORD_BASE, n)[0]).sum(axis=1, dtype=U64))
+        order = np.argsort(h)
+        out.append((n, h[order], np.array([vocab[x] for x in own], np.int64)[order]))
+    return out
+
+
 class Lattice:
-    """The edges (word, start, stop, piece) of all segmentations of many words, sorted by stop."""
+    """The edges (word, start, stop, piece) of all segmentations of many words, sorted by stop, then word."""
 
     def __init__(self, words: list[str], path: str) -> None:
-        vocab, longest = pieces(path)
-        get = vocab.get
-        owner, begin, end, piece = [], [], [], []
-        for k, w in enumerate(words):
-            s = START + w
-            n = len(s)
-            for i in range(n):
-                for j in range(i + 1, min(i + longest, n) + 1):
-                    p = get(s[i:j])
-                    if p is not None:
-                        owner.append(k), begin.append(i), end.append(j), piece.append(p)
-                if s[i] not in vocab:
-                    owner.append(k), begin.append(i), end.append(i + 1), piece.append(0)
         self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.owner, self.begin, self.end, self.piece = (np.array(x, np.int64) for x in (owner, begin, end, piece))
-        order = np.lexsort((self.owner, self.end))
+        codes = np.frombuffer((START + START.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(self.sizes)])
+        word = np.repeat(np.arange(len(words)), self.sizes)
+        place = np.arange(len(codes)) - at[word]
+        room = self.sizes[word] - place
+        up, down = powers(WORD_BASE, len(codes))
+        owner, begin, end, piece = [], [], [], []
+        with np.errstate(over="ignore"):
+            total = sums(codes.astype(U64) * up)
+            for n, hashes, numbers in piece_hashes(path):
+                i = np.flatnonzero(room >= n)
+                h = mix((total[i + n] - total[i]) * down[i])
+                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[k] == h
+                if n == 1:  # a code point that is no piece
+                    number = np.where(hit, numbers[k], 0)
+                else:
+                    i, number = i[hit], numbers[k[hit]]
+                owner.append(word[i])
+                begin.append(place[i])
+                end.append(place[i] + n)
+                piece.append(number)
+        self.owner, self.begin, self.end, self.piece = (np.concatenate(x) for x in (owner, begin, end, piece))
+        order = np.argsort(self.end * len(words) + self.owner, kind="stable")
         for name in ("owner", "begin", "end", "piece"):
             setattr(self, name, getattr(self, name)[order])
 
@@ -102,7 +128,7 @@ class Lattice:
         f = self.forward(np.full((size, 1), weight))[:, :, 0]
         back = np.zeros_like(f)
         back[np.arange(len(self.sizes)), self.sizes] = 1
-        order = np.lexsort((self.owner, -self.begin))
+        order = np.argsort((self.begin.max(initial=0) - self.begin) * len(self.sizes) + self.owner, kind="stable")
         own, begin, end = self.owner[order], self.begin[order], self.end[order]
         cuts = np.searchsorted(-begin, -np.arange(f.shape[1])[::-1], side="left")
         cuts = np.append(cuts, len(own))
@@ -126,8 +152,8 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
 
         def flush():
             distinct = list({w: None for c in held.values() for w in c})
-            for at in range(0, len(distinct), 4000):
-                part = distinct[at : at + 4000]
+            for at in range(0, len(distinct), 8000):
+                part = distinct[at : at + 8000]
                 lattice = Lattice(part, path)
                 share = lattice.expected()
                 for lang, c in held.items():
@@ -177,7 +203,7 @@ class Scorer:
         if len(self.place) > WORDS_HELD:
             self.place, self.rows = {}, self.rows[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.place]
-        more = [Lattice(new[k : k + 4000], self.path).log_likelihood(self.p) for k in range(0, len(new), 4000)]
+        more = [Lattice(new[k : k + 8000], self.path).log_likelihood(self.p) for k in range(0, len(new), 8000)]
         for w in new:
             self.place[w] = len(self.place)
         self.rows = np.concatenate([self.rows, *more])
