@@ -8,9 +8,10 @@ Texts are sets of five-word shingles (fewer words: the whole text is one shingle
    (1 - 0.8**4)**32 = 5e-8, and more similar pairs less.
 3. Buckets are split in blocks; each pair of blocks is a tile. In a tile a pair is looked at in the first
    band that it shares only, and its values are compared 16 at a time: it is dropped as soon as the posterior probability
-   of similarity >= 0.8 (uniform prior) is below `tolerance`.
-4. Survivors are verified exactly on their word tuples, in tiles of their candidate component, so each text travels once
-   for a tile and not once for a pair.
+   of similarity >= 0.8 (uniform prior) is below `tolerance`. Of the survivors a tile hands on a spanning forest, not all pairs.
+4. Connected survivors form candidate components; in tiles of these the candidates are found again from the signatures and
+   verified exactly on their word tuples. A tile hands on link counts and a spanning forest, so no step makes a row
+   for each pair of a large group.
 
 Defined results: null texts and texts without words link to nothing; copies (equal words) are one class and count as
 links of each other; rows that repeat an id give a row each, classed by their own words, and in the exact check the least
@@ -34,7 +35,7 @@ from graphloom.session import cut_lineage, table
 
 GRAM, HASHES, BANDS, STEP = 5, 128, 32, 16
 THRESHOLD, TOLERANCE = 0.8, 1e-7
-BLOCK, TEXT_BLOCK = 256, 128
+BLOCK, TEXT_BLOCK = 1024, 256
 SPLIT = " \t\n\v\f\r"
 
 
@@ -129,36 +130,49 @@ def _groups(batches, keys: int):
         yield last, parts
 
 
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number that each of n nodes is connected to by edges (x, y)."""
+    label = np.arange(n)
+    while len(x):
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return label
+
+
+def _sides(i: int, j: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a tile: within one block, or between two."""
+    if i == j:
+        return np.triu_indices(len(side), 1)
+    return tuple(v.ravel() for v in np.meshgrid(np.flatnonzero(side == i), np.flatnonzero(side == j), indexing="ij"))
+
+
 def _tile_pairs(least: dict[int, int]):
     def run(batches):
-        xs, ys = [], []
-        held = 0
         for (_, band, i, j), parts in _groups(batches, 4):
             ids = np.concatenate([p.column(4).to_numpy() for p in parts])
             side = np.concatenate([p.column(5).to_numpy() for p in parts])
             sig = np.frombuffer(b"".join(s for p in parts for s in p.column(6).to_pylist()), np.uint16).reshape(-1, HASHES)
             bands = sig.view("<u8")
-            if i == j:
-                a, b = np.triu_indices(len(ids), 1)
-            else:
-                a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == i), np.flatnonzero(side == j), indexing="ij"))
+            a, b = _sides(i, j, side)
+            xs, ys = [], []
             for at in range(0, len(a), 65_536):
                 p, q = a[at : at + 65_536], b[at : at + 65_536]
-                fresh = np.ones(len(p), bool)
                 for k in range(int(band)):
-                    fresh &= bands[p, k] != bands[q, k]
-                p, q = p[fresh], q[fresh]
+                    fresh = bands[p, k] != bands[q, k]
+                    p, q = p[fresh], q[fresh]
                 ok = prune(sig[p], sig[q], least)
-                p, q = ids[p[ok]], ids[q[ok]]
-                p, q = p[p != q], q[p != q]
-                xs.append(np.minimum(p, q))
-                ys.append(np.maximum(p, q))
-                held += len(p)
-            if held > 50_000:
-                yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-                xs, ys, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+                xs.append(p[ok])
+                ys.append(q[ok])
+            label = forest(len(ids), np.concatenate(xs), np.concatenate(ys)) if xs else np.arange(len(ids))
+            joined = np.flatnonzero(label != np.arange(len(ids)))
+            joined = joined[ids[joined] != ids[label[joined]]]
+            if len(joined):
+                yield pa.RecordBatch.from_pydict({"x": ids[joined], "y": ids[label[joined]]})
 
     return run
 
@@ -171,26 +185,41 @@ def shingles(text: str, gram: int = GRAM) -> frozenset:
 _TO_SPACE = {ord(c): " " for c in SPLIT}
 
 
-def _verify(threshold: Fraction):
+def _verify(threshold: Fraction, least: dict[int, int]):
     def run(batches):
-        for _, parts in _groups(batches, 3):
-            sets, held, pairs = {}, {}, []
+        for (_, i, j), parts in _groups(batches, 3):
+            ids, side, copies, sigs, sets = {}, [], [], [], []
             for p in parts:
-                for x, y, text in zip(*(p.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
-                    if y is None:
-                        if x not in held or text < held[x]:
-                            held[x], sets[x] = text, shingles(text)
-                    else:
-                        pairs.append((x, y))
+                for x, s, n, sig, text in zip(*(p.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                    if x in ids:
+                        continue  # rows come by text, so the least text of an id stays
+                    ids[x] = len(ids)
+                    side.append(s)
+                    copies.append(n)
+                    sigs.append(sig)
+                    sets.append(shingles(text))
+            names, side = np.fromiter(ids, np.int64, len(ids)), np.array(side)
+            sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, HASHES)
+            bands = sig.view("<u8")
+            a, b = _sides(i, j, side)
+            linked = np.zeros(len(names), np.int64)
             xs, ys = [], []
-            for x, y in pairs:
-                a, b = sets[x], sets[y]
-                both = len(a & b)
-                if both * threshold.denominator >= threshold.numerator * (len(a) + len(b) - both):
-                    xs.append(x)
-                    ys.append(y)
-            if xs:
-                yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+            for at in range(0, len(a), 65_536):
+                p, q = a[at : at + 65_536], b[at : at + 65_536]
+                met = (bands[p] == bands[q]).any(axis=1)
+                p, q = p[met], q[met]
+                ok = prune(sig[p], sig[q], least)
+                for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                    both = len(sets[x] & sets[y])
+                    if both * threshold.denominator >= threshold.numerator * (len(sets[x]) + len(sets[y]) - both):
+                        linked[x] += copies[y]
+                        linked[y] += copies[x]
+                        xs.append(x)
+                        ys.append(y)
+            some = np.flatnonzero(linked)
+            if len(some):
+                label = forest(len(names), np.array(xs), np.array(ys))
+                yield pa.RecordBatch.from_pydict({"x": names[some], "y": names[label[some]], "n": linked[some]})
 
     return run
 
@@ -210,7 +239,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs x < y of reps (doc, sig) that survive the pruning, each once."""
+    """A spanning forest (x, y) of the pairs of reps (doc, sig) that survive the pruning."""
 
     def keys(batches):
         for b in batches:
@@ -232,21 +261,20 @@ def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     return dealt.mapInArrow(_tile_pairs(least_matches(threshold, tolerance, range(STEP, HASHES + 1, STEP))), "x long, y long")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (x, y) whose exact similarity reaches the threshold. docs must hold one text for each id on a pair."""
+def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(x, y, n): for each tile of a candidate component the documents with exact links in it, the least document of the
+    tile that links connect them to, and how many documents they link to in the tile (copies of reps too)."""
     comp = connected_components(pairs, "x", "y")
     sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
     placed = comp.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = cut_lineage(placed)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(placed.hint("shuffle_hash"), "id")
-    text_rows = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "text"
+    placed = cut_lineage(placed.join(reps.select(F.col("doc").alias("id"), "copies", "sig"), "id"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(placed.hint("shuffle_hash"), "id")
+    tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "own", "copies", "sig", "text"
     )
-    px = placed.select(F.col("id").alias("x"), "component", F.col("own").alias("a"))
-    py = placed.select(F.col("id").alias("y"), F.col("own").alias("b"))
-    pair_rows = pairs.join(px, "x").join(py, "y").select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "x", "y", F.lit(None).cast("string").alias("text"))
-    dealt = text_rows.union(pair_rows).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(_verify(Fraction(str(threshold))), "x long, y long")
+    dealt = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "text")
+    least = least_matches(threshold, tolerance, range(STEP, HASHES + 1, STEP))
+    return dealt.mapInArrow(_verify(Fraction(str(threshold)), least), "x long, y long, n long")
 
 
 def join_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,11 +282,10 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     sketched = cut_lineage(sketch(docs, id_col, text_col))
     copies = sketched.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc", "sig")).alias("r"), F.count_distinct("doc").alias("copies"))
     reps = cut_lineage(copies.select("d1", "d2", "r.doc", "r.sig", "copies"))
-    pairs = cut_lineage(candidate_pairs(reps, threshold, tolerance))
-    links = cut_lineage(verified_links(docs, pairs, threshold, id_col, text_col))
+    pairs = candidate_pairs(reps, threshold, tolerance)
+    links = cut_lineage(verified_links(docs, reps, pairs, threshold, tolerance, id_col, text_col))
     comp = connected_components(links, "x", "y")
-    both = links.union(links.select("y", "x")).toDF("doc", "other")
-    n = both.join(reps.select(F.col("doc").alias("other"), "copies"), "other").groupBy("doc").agg(F.sum("copies").alias("linked"))
+    n = links.groupBy("x").agg(F.sum("n").alias("linked")).withColumnRenamed("x", "doc")
     told = (
         reps.drop("sig")
         .join(n, "doc", "left")
