@@ -173,16 +173,22 @@ def entropy(text: str) -> float:
     return 0.0 if bits < 4.5 else min(1.0, bits / math.log2(total))
 
 
-@F.pandas_udf("double")
-def entropy_udf(text: pd.Series) -> pd.Series:
+def _entropies(text: pd.Series) -> pd.Series:
     return text.fillna("").map(entropy)
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def entropy_column(text: Column) -> Column:
+    return F.pandas_udf(_entropies, "double")(text)
+
+
+def nfkc(text: Column) -> Column:
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def injection_score(text: Column) -> Column:
     """Rules plus 0.3 of the entropy, at most 1; above 0.3 is flagged."""
-    return F.least(F.lit(1.0), rule_score(text) + 0.3 * entropy_udf(text))
+    return F.least(F.lit(1.0), rule_score(text) + 0.3 * entropy_column(text))

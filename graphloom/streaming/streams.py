@@ -55,7 +55,7 @@ def version_fence_stream(df: DataFrame, key: str, version: str = "version") -> D
 
 def observed_rate(df: DataFrame, keys: list[str], seconds: int = 60, ts: str = "ts") -> DataFrame:
     """rate: events of the key in the last seconds, this one included."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_seconds(ts)).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
     return df.withColumn("rate", F.count("*").over(w))
 
 
