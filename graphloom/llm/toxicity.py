@@ -183,8 +183,10 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> dict:
         share = toxic / k
         z = 2.6
         low = (share + z * z / (2 * k) - z * np.sqrt(share * (1 - share) / k + z * z / (4 * k * k))) / (1 + z * z / k)
-        if toxic >= 3 and low > max(0.5, 2 * prior):
+        if toxic >= 3 and low > max(0.5, prior + 0.4 * (1 - prior)):
             weight[f] = float(-np.log(1 - min(low, 0.999)))
+    if not weight:
+        return {"weight": {}, "curve": (float(np.log(min(prior, 0.49) / (1 - min(prior, 0.49)))), 0.0)}
     cache: dict[str, float] = {}
     x = np.array([evidence(words, weight, cache) for words in seen.values()])
     y = np.array([k[1] for k in seen], float)
