@@ -182,7 +182,7 @@ def test_toxicity(spark, docs):
     model = toxicity.char_model(toxicity.char_counts(spark.createDataFrame([("the loser is an idiot and stupid " * 50,)], "text string")))
     assert toxicity.restore("you are a l0s3r", model).endswith("loser") and "idiot" in toxicity.restore("i d i o t", model)
     r = random.Random(0)
-    rows = [(" ".join(r.choice("abcdefgh") * r.randint(3, 6) + r.choice("xyz") for _ in range(20)) + (" idiot" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
+    rows = [(" ".join("".join(r.sample("abcdefghklmnopr", r.randint(4, 8))) for _ in range(20)) + (" idiot" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
     fitted = toxicity.fit(rows, model)
     asked = spark.createDataFrame([(1, "what an 1d10t"), (2, "what a nice day"), (3, None), (4, "")], "doc_id long, text string")
     s = {k: v[0] for k, v in by_id(toxicity.score(asked, model, fitted), "score").items()}
