@@ -102,9 +102,9 @@ def options(token: str) -> list[list[str]]:
 
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest reading of a token under the character model; states are the last two symbols."""
-    paths = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for choices in options(token):
-        best: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, read) in paths.items():
             for text in choices:
                 p, q, s = a, b, score - (6.0 if not text else 0.0)
@@ -113,9 +113,14 @@ def decode(token: str, model: np.ndarray) -> str:
                     s += float(model[p, q, r])
                     p, q = q, r
                 if (p, q) not in best or s > best[p, q][0]:
-                    best[p, q] = (s, read + text)
+                    best[p, q] = (s, (read, text))  # readings share their beginnings, so long tokens stay linear
         paths = best
-    return max(((s + float(model[a, b, 0]), read) for (a, b), (s, read) in paths.items()), default=(0.0, token))[1]
+    read = max(((s + float(model[a, b, 0]), read) for (a, b), (s, read) in paths.items()), key=lambda x: x[0])[1]
+    out = []
+    while read:
+        read, text = read
+        out.append(text)
+    return "".join(out[::-1])
 
 
 def restore(text: str, model: np.ndarray) -> str:
@@ -124,7 +129,7 @@ def restore(text: str, model: np.ndarray) -> str:
     if not DISGUISED.search(low):
         return low
     low = SPACED.sub(lambda m: m[0][0] + re.sub(r"[ .*_-]", "", m[0][1:]), low)
-    return TOKEN.sub(lambda m: decode(m[0], model) if len(m[0]) <= 40 and DISGUISED.search(m[0]) else m[0], low)
+    return TOKEN.sub(lambda m: decode(m[0], model) if DISGUISED.search(m[0]) else m[0], low)
 
 
 def features(word: str) -> list[str]:

@@ -181,6 +181,7 @@ def test_ledger_scans_each_blob_once(docs):
 def test_toxicity(spark, docs):
     model = toxicity.char_model(toxicity.char_counts(spark.createDataFrame([("the loser is an idiot and stupid " * 50,)], "text string")))
     assert toxicity.restore("you are a l0s3r", model).endswith("loser") and "idiot" in toxicity.restore("i d i o t", model)
+    assert toxicity.restore("x" * 5000 + "1d10t", model).endswith("idiot")  # tokens of any length are decoded
     r = random.Random(0)
     rows = [(" ".join("".join(r.sample("abcdefghklmnopr", r.randint(4, 8))) for _ in range(20)) + (" idiot" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
     fitted = toxicity.fit(rows, model)
