@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,25 @@ def redact_map(m: Column, markers: tuple[str, ...] = ("password", "secret", "tok
     """Values whose lower-case key holds a marker become [REDACTED]."""
     hit = lambda k: F.lower(k).rlike("|".join(markers))
     return F.transform_values(m, lambda k, v: F.when(hit(k), F.lit("[REDACTED]")).otherwise(v))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    """Whether b holds every value of a; the empty array is a subset of all."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def candidate_rank(score: Column, pagerank: Column) -> Column:
+    """Page rank and score mixed where there is a page rank, else the score; missing values are 0."""
+    s, p = F.coalesce(score, F.lit(0.0)), F.coalesce(pagerank, F.lit(0.0))
+    return F.when(p > 0, 0.7 * p + 0.3 * s).otherwise(s)
+
+
+def normalised_by_max(rows: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """rows and normalised: the score over its key's largest, 0 where that isn't positive.
+
+    The largest is an aggregate that is joined back, so a hot key isn't gathered in one task.
+    """
+    top = rows.groupBy(*keys).agg(F.max(score).alias("_most"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    both = rows.alias("x").join(top.alias("y"), same).select("x.*", "y._most")
+    return both.withColumn("normalised", F.when(F.col("_most") > 0, F.col(score) / F.col("_most")).otherwise(0.0)).drop("_most")

@@ -120,3 +120,8 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     """(mutation_type, src, dst): edges that got a tombstone since."""
     gone = live(old).select("src", "rel", "dst").join(new.where("tombstoned_day is not null").select("src", "rel", "dst"), ["src", "rel", "dst"])
     return gone.select(F.lit("edge_tombstone").alias("mutation_type"), "src", "dst")
+
+
+def partition_key(namespace_acl: Column, owner: Column) -> Column:
+    """What a buffered sink groups nodes by: the first namespace, else the owner, else _default."""
+    return F.coalesce(F.try_element_at(namespace_acl, F.lit(1)), owner, F.lit("_default"))

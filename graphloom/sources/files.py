@@ -7,7 +7,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import service_id
@@ -193,3 +193,16 @@ def first_json(text: str | None) -> dict | None:
         return json.loads(m[0]) if m else None
     except ValueError:
         return None
+
+
+def is_blob(content: Column, threshold: int = 65_536) -> Column:
+    """Whether content goes to the blob store rather than into the message."""
+    return F.octet_length(content) >= threshold
+
+
+def blob_key(tenant: Column, commit: Column, path: Column, key: Column) -> Column:
+    """ingestion/tenant/commit/path with slashes replaced-8 bytes of the digest of path:key, in hex."""
+    sha = F.coalesce(F.nullif(F.trim(commit), F.lit("")), F.lit("no-commit"))
+    safe = F.coalesce(F.nullif(F.translate(F.trim(path), "/\\", "__"), F.lit("")), F.lit("unknown"))
+    digest = F.substring(F.sha2(F.concat(path, F.lit(":"), key), 256), 1, 16)
+    return F.concat(F.concat_ws("/", F.lit("ingestion"), F.trim(tenant), sha, safe), F.lit("-"), digest)

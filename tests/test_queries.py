@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def names():
-    from graphloom.plans.queries import QUERIES
+    from graphloom.plans.catalogue import QUERIES
 
     return list(QUERIES)
 
@@ -31,7 +31,7 @@ def plain(df):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 @pytest.mark.parametrize("name", names())
 def test_query(spark, duck, name):
-    from graphloom.plans.queries import ORACLE_SQL, QUERIES
+    from graphloom.plans.catalogue import ORACLE_SQL, QUERIES
 
     got = QUERIES[name](spark, SF).toPandas()
     if name in ORACLE_SQL:
