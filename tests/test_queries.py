@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def duck():
 
 def plain(df):
     cols = sorted(df.columns)
-    return cols, sorted(str([None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in r]) for r in df[cols].astype(object).itertuples(index=False, name=None))
+    return cols, sorted(str([None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in r]) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
