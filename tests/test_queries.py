@@ -24,9 +24,18 @@ def duck():
     return c
 
 
+def shown(v):
+    """Nulls alike, and whole numbers alike whether or not pandas made them floats."""
+    if v is None or v is pd.NA or v != v:
+        return None
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else round(float(v), 5)
+    return str(v)
+
+
 def plain(df):
     cols = sorted(df.columns)
-    return cols, sorted(str([None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in r]) for r in df[cols].astype(object).itertuples(index=False, name=None))
+    return cols, sorted(str([shown(v) for v in r]) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
