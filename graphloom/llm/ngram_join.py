@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import U64, map_batches, mix, windows, words
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import connected_components, heavy_join
 from graphloom.session import cut_lineage, table
 
 GRAM, HASHES, BANDS, STEP = 5, 128, 32, 16
@@ -250,7 +250,8 @@ def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     banded = reps.select("doc", "sig").mapInArrow(keys, "key long, band int, doc long")
     full = banded.groupBy("key", "band").agg(F.count("*").alias("n")).where("n > 1")
     # Only members of buckets with company go on; those of large buckets are dealt over blocks.
-    members = banded.join(full, ["key", "band"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = full.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = heavy_join(banded, full, ["key", "band"], BANDS * reps.count())
     members = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "blocks", "own", "doc")
     tiles = (
         members.join(reps.select("doc", "sig"), "doc")
@@ -265,8 +266,9 @@ def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold
     """(x, y, n): for each tile of a candidate component the documents with exact links in it, the least document of the
     tile that links connect them to, and how many documents they link to in the tile (copies of reps too)."""
     comp = connected_components(pairs, "x", "y")
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
-    placed = comp.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    comp = cut_lineage(comp)
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
+    placed = heavy_join(comp, sizes, ["component"], comp.count()).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = cut_lineage(placed.join(reps.select(F.col("doc").alias("id"), "copies", "sig"), "id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(placed.hint("shuffle_hash"), "id")
     tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
