@@ -227,21 +227,28 @@ def copies(seed=5):
     return out
 
 
-def test_substring_dedup_equals_brute_force(spark, docs):
-    rows = copies()
+@pytest.mark.parametrize("share", [None, 1, 1 << 40])
+def test_substring_dedup_equals_brute_force(spark, docs, share):
+    """No anchor, some, or all of them are dealt window by window; one passage stands in many contexts."""
+    r = random.Random(3)
+    passage = " ".join(f"p{j}" for j in range(80))
+    around = lambda: " ".join(f"c{r.randint(0, 500)}" for _ in range(r.randint(0, 60)))
+    rows = copies() + [(k, f"{around()} {passage} {around()}") for k in range(1000, 1040)]
     first = {}
     for k, t in sorted(rows):
         w = words_of(t)
         for i in range(len(w) - 49):
             first.setdefault(tuple(w[i : i + 50]), k)
-    got = by_id(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)), "n_words", "n_removed", "kept")
+    got = by_id(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), share=share), "n_words", "n_removed", "kept")
     for k, t in rows:
         w = words_of(t)
         lost = {p for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < k for p in range(i, i + 50)}
         assert got[k] == (len(w), len(lost), " ".join(x for i, x in enumerate(w) if i not in lost))
-    odd = substring.dedup(docs)
+    odd = substring.dedup(docs, share=share)
     assert odd.count() == docs.count() and odd.where("n_removed > 0").count() == 0
-    assert substring.dedup(docs.limit(0)).count() == 0
+    assert substring.dedup(docs.limit(0), share=share).count() == 0
+    again = spark.createDataFrame([(5, passage), (5, f"{passage} {passage}"), (3, f"x {passage} y")], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["n_removed"]) for x in substring.dedup(again, share=share).collect()) == [(3, 0), (5, 80), (5, 160)]
 
 
 def test_winnowing_picks_the_least():
