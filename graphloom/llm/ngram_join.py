@@ -224,6 +224,11 @@ def _verify(threshold: Fraction, least: dict[int, int]):
     return run
 
 
+def _deal(tiles: DataFrame, *keys: str) -> DataFrame:
+    """Tiles over all shuffle partitions: their work grows faster than their bytes, by which small partitions would be put together."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, d1, d2 (null without words), sig."""
 
@@ -258,7 +263,7 @@ def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "own", "sig")
     )
-    dealt = tiles.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    dealt = _deal(tiles, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
     return dealt.mapInArrow(_tile_pairs(least_matches(threshold, tolerance, range(STEP, HASHES + 1, STEP))), "x long, y long")
 
 
@@ -274,7 +279,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold
     tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "own", "copies", "sig", "text"
     )
-    dealt = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "text")
+    dealt = _deal(tiles, "component", "i", "j").sortWithinPartitions("component", "i", "j", "text")
     least = least_matches(threshold, tolerance, range(STEP, HASHES + 1, STEP))
     return dealt.mapInArrow(_verify(Fraction(str(threshold)), least), "x long, y long, n long")
 
