@@ -1,8 +1,8 @@
 """URL filters by host word segmentation (operator 8).
 
 Rules decide first: the longest rule whose host is the url's host or a parent of it, and whose path starts the url's path. For the
-rest, host labels and path segments are split into words by a unigram Viterbi (corpus counts of all pages, kept in a hashed
-table of fixed size), and multinomial naive Bayes scores the words.
+rest, host labels and path segments are split into words by a unigram Viterbi (exact corpus counts of all pages, looked up by
+word for the substrings of urls; a hashed table of fixed size only spares look-ups of unknown ones), and multinomial naive Bayes scores the words.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; it has no words, so the prior decides (allow);
 repeated rows are judged each; only the named columns are read, so other columns can't clash; an empty table gives an empty result.
@@ -14,22 +14,23 @@ import math
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import map_batches, texts
-from graphloom.session import table
+from graphloom.llm.text import texts
+from graphloom.operators.components import heavy_join
+from graphloom.session import cut_lineage, table
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Words of hosts and paths of either class, the labelled examples of the naive Bayes model.
 BLOCK_WORDS = "adult bet bets bonus buy casino cheap cialis click coupon crack credit deal dating diet escort farm fast free gambling hack hot jackpot keygen loan loans lottery lucky meds money nude offer pharma pharmacy pill pills poker porn promo replica rich scam sex slots spam torrent viagra warez win winner xxx".split()
 ALLOW_WORDS = "about academy archive article blog book books city club college community contact docs education encyclopedia forum garden gallery guide health help history home journal lab learn library local magazine map media museum music news online paper press project radio recipe research review school science shop sport store story support team travel university weather wiki world".split()
-SLOTS, LONGEST = 1 << 18, 20
+SLOTS, LONGEST, LONGEST_RUN = 1 << 18, 20, 400
+HELD = 200_000
 TAG = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S)
 LETTERS = re.compile(r"[a-z]{1,20}")
 
@@ -38,53 +39,109 @@ def slot(word: str) -> int:
     return zlib.crc32(word.encode()) % SLOTS
 
 
-def word_counts(pages: DataFrame, html_col: str = "html") -> np.ndarray:
-    """Counts of all words of all pages' text, by hash slot; each task sends one row for each slot it used."""
+def exact_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n) of all words of all pages' text; tasks add up what they hold before the shuffle."""
 
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
+        seen: Counter[str] = Counter()
+        told = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
         for b in batches:
-            seen: Counter[str] = Counter()
             for html in texts(b, "html"):
                 seen.update(LETTERS.findall(TAG.sub(" ", html).lower()))
-            for w, n in seen.items():
-                total[slot(w)] += n
+                if len(seen) > HELD:
+                    yield told()
+                    seen.clear()
+        yield told()
+
+    return pages.select(F.col(html_col).alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def slot_counts(words: DataFrame) -> np.ndarray:
+    """Counts of (word, n) by hash slot, at least those of each word in it; each task sends one row for each slot it used."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            np.add.at(total, [slot(w) for w in b.column(0).to_pylist()], b.column(1).to_numpy(zero_copy_only=False))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int32), "n": total[used]})
 
     out = np.zeros(SLOTS, np.int64)
-    rows = pages.select(F.col(html_col).alias("html")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.select("word", "n").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
+def word_counts(pages: DataFrame, html_col: str = "html") -> np.ndarray:
+    return slot_counts(exact_counts(pages, html_col))
+
+
 class Splitter:
-    """Unigram Viterbi over letters; unknown words cost more the longer they are."""
-
-    def __init__(self, counts: np.ndarray, words: list[str]) -> None:
-        self.counts = counts.copy()
-        boost = max(50, int(counts.sum() // 20_000))
-        for w in words:
-            self.counts[slot(w)] += boost
-        self.total = math.log(float(self.counts.sum()) + 1)
-        self.split = lru_cache(maxsize=100_000)(self._split)
-
-    def cost(self, w: str) -> float:
-        n = int(self.counts[slot(w)])
+    """Unigram Viterbi over letters, from the counts of the known substrings; unknown words cost more the longer they are."""
+
+    def __init__(self, corpus: int, words: list[str]) -> None:
+        boost = max(50, corpus // 20_000)
+        self.own = Counter({w: boost * n for w, n in Counter(words).items()})
+        self.total = math.log(float(corpus + sum(self.own.values())) + 1)
+
+    def cost(self, w: str, known: dict[str, int]) -> float:
+        n = known.get(w, 0) + self.own[w]
         return (self.total - math.log(n) + 0.5) if n > 2 and (len(w) > 1 or w == "a") else self.total + 2.3 * len(w)
 
-    def _split(self, s: str) -> tuple[str, ...]:
+    def split(self, s: str, known: dict[str, int]) -> list[str]:
         best, back = [0.0] + [math.inf] * len(s), [0] * (len(s) + 1)
         for j in range(1, len(s) + 1):
             for i in range(max(0, j - LONGEST), j):
-                c = best[i] + self.cost(s[i:j])
+                c = best[i] + self.cost(s[i:j], known)
                 if c < best[j]:
                     best[j], back[j] = c, i
         out, j = [], len(s)
         while j:
             out.append(s[back[j] : j])
             j = back[j]
-        return tuple(out[::-1])
+        return out[::-1]
+
+
+def tokens(host: str, path: str) -> list[str]:
+    """The runs of letters of an url, in parts of at most LONGEST_RUN."""
+    return [t[k : k + LONGEST_RUN] for t in LETTERS_RUN.findall(host + " " + path.lower()) for k in range(0, len(t), LONGEST_RUN)]
+
+
+def segmented(runs: DataFrame, words: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(token, own, n) of each different token of runs: its words, and how many rows have it.
+
+    Substrings are looked up by word; those whose slot holds too little for any word are left out before that.
+    """
+    spark = runs.sparkSession
+    shared = spark.sparkContext.broadcast(slots)  # SLOTS numbers, whatever the input
+    corpus = int(slots.sum())
+    runs = cut_lineage(runs.groupBy("token").agg(F.count("*").alias("n")))
+
+    def parts(batches):
+        full = shared.value
+        listed = set(BLOCK_WORDS + ALLOW_WORDS)
+        for b in batches:
+            for small in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
+                own, of = [], []
+                for t in small.column(0).to_pylist():
+                    got = {t[i:j] for i in range(len(t)) for j in range(i + 1, min(len(t), i + LONGEST) + 1)}
+                    got = [w for w in got if (len(w) > 1 or w == "a") and (full[slot(w)] > 2 or w in listed and full[slot(w)])]
+                    own += got
+                    of += [t] * len(got)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(own, pa.string()), "token": pa.array(of, pa.string())})
+
+    pairs = cut_lineage(runs.select("token").mapInArrow(parts, "word string, token string"))
+    counts = words.select("word", F.col("n").alias("k")).join(pairs.groupBy("word").agg(F.count("*").alias("n")), "word").select("word", "k", "n")
+    found = heavy_join(pairs, cut_lineage(counts), ["word"], pairs.count())
+    known = found.groupBy("token").agg(F.collect_list("word").alias("words"), F.collect_list("k").alias("ks"))
+
+    def split(batches):
+        splitter = Splitter(corpus, BLOCK_WORDS + ALLOW_WORDS)
+        for b in batches:
+            own = [splitter.split(t, dict(zip(w or [], k or [], strict=True))) for t, w, k in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_pydict({"token": b.column(0), "own": pa.array(own, pa.list_(pa.string())), "n": b.column(1)})
+
+    return runs.join(known, "token", "left").select("token", "n", "words", "ks").mapInArrow(split, "token string, own array<string>, n long")
 
 
 class Bayes:
@@ -120,24 +177,34 @@ def rule_columns(host, path, rules=None):
 
 
 def judge(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", counts: np.ndarray | None = None) -> DataFrame:
-    """id_col, host, path, rule, words (segmented), score (of block), verdict."""
-    counts = word_counts(pages, html_col) if counts is None else counts
-    shared = pages.sparkSession.sparkContext.broadcast(counts)  # SLOTS numbers, whatever the input
-    kind = pages.schema[id_col].dataType.simpleString()
+    """id_col, host, path, rule, words (segmented), score (of block), verdict. counts are slot_counts, if known."""
+    vocabulary = cut_lineage(exact_counts(pages, html_col))
+    counts = slot_counts(vocabulary) if counts is None else counts
     host, path = host_path(url_col)
-    split = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    base = cut_lineage(pages.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), host.alias("host"), path.alias("path")))
+
+    def cut(batches):
+        for b in batches:
+            for small in (b.slice(k, 2000) for k in range(0, b.num_rows, 2000)):
+                own = [tokens(h, p) for h, p in zip(small.column(1).to_pylist(), small.column(2).to_pylist(), strict=True)]
+                n = [len(x) for x in own]
+                at = np.concatenate([np.arange(k) for k in n]).astype(np.int32) if n else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_pydict({"row": np.repeat(small.column(0).to_numpy(), n), "at": at, "token": pa.array([t for x in own for t in x], pa.string())})
+
+    runs = cut_lineage(base.select("__row", "host", "path").mapInArrow(cut, "row long, at int, token string"))
+    facts = cut_lineage(segmented(runs, vocabulary, counts))
+    own = heavy_join(runs, facts, ["token"], runs.count()).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("parts"))
+    split = own.select("row", F.flatten(F.col("parts.own")).alias("words"))
+    both = base.join(split, F.col("__row") == F.col("row"), "left").select(F.col("__id").alias(id_col), "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        splitter, bayes = Splitter(shared.value, BLOCK_WORDS + ALLOW_WORDS), Bayes(BLOCK_WORDS, ALLOW_WORDS)
+        bayes = Bayes(BLOCK_WORDS, ALLOW_WORDS)
         for b in batches:
-            words, scores = [], []
-            for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = [w for t in LETTERS_RUN.findall(h + " " + p.lower()) for k in range(0, len(t), 400) for w in splitter.split(t[k : k + 400])]
-                words.append(own)
-                scores.append(bayes.score(own))
-            yield pa.RecordBatch.from_pydict({id_col: b.column(0), "host": b.column(1), "path": b.column(2), "words": pa.array(words, pa.list_(pa.string())), "score": pa.array(scores, pa.float64())})
-
-    out = split.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, words array<string>, score double")
+            scores = [bayes.score(w) for w in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_pydict({id_col: b.column(0), "host": b.column(1), "path": b.column(2), "words": b.column(3), "score": pa.array(scores, pa.float64())})
+
+    out = both.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, words array<string>, score double")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))})
 

@@ -202,6 +202,17 @@ def test_urls(spark):
     assert urls.word_counts(df).sum() == len(u)
 
 
+def test_url_words_are_counted_by_word_not_by_slot(spark):
+    r = random.Random(4)
+    twin = next(w for w in iter(lambda: "".join(r.choice("bcdfghjklm") for _ in range(12)), "") if urls.slot(w) == urls.slot("adultfarm"))
+    u = ["http://adultfarm.example", None, "http://" + "x" * 900 + ".example/a"]
+    df = spark.createDataFrame([(1, x, f"<p>{twin} {twin}</p>" * 2000) for x in u] + [(1, u[0], "gamblingfoo gamblingfoo gamblingfoo"), (2, "http://gamblingfoo.example", None)], "page_id long, url string, html string")
+    got = [(x["page_id"], x["host"], x["words"], x["verdict"]) for x in urls.judge(df).collect()]
+    assert len(got) == 5 and sum(x[2][:2] == ["adult", "farm"] and x[3] == "block" for x in got) == 2
+    assert next(x[2][0] for x in got if x[0] == 2) == "gamblingfoo"  # counted three times as a whole
+    assert urls.judge(df.limit(0)).count() == 0
+
+
 def words_of(t):
     return [x for x in re.split(r"[ \t\n\v\f\r]+", t or "") if x]
 
