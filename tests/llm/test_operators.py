@@ -86,6 +86,18 @@ def test_pii_adds_and_redacts(docs):
     assert pii.masked("ab", [("ip", 0, 1), ("card", 0, 2)]) == "[CARD]"
 
 
+def test_pii_reads_lists_and_rows_of_numbers():
+    model, least = pii.trained()
+    shown = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(t, model, least)[1]]
+    assert shown("555-123-4567, 555-987-6543") == [("phone", "555-123-4567"), ("phone", "555-987-6543")]
+    assert shown("2024-01-02 555-123-4567") == [("phone", "555-123-4567")]
+    assert shown("tel (262) 555-7240, 12") == [("phone", "(262) 555-7240")]
+    assert shown("+1 555 123 4567, 555-9876") == [("phone", "555-9876")]
+    assert shown("server 10[.]0[.]3[.]14 down") == [("ip", "10[.]0[.]3[.]14")] and shown("host 2001:db8::ff00:42:8329 up") == [("ip", "2001:db8::ff00:42:8329")]
+    assert shown("1,234,567 and 12,345,678 on 2024-01-02 10:20:30") == []
+    assert ("card", 3, 22) in pii.candidates("12 4111 1111 1111 1111") and len(pii.candidates("1 " * 20_000)) < 20 * 20_000
+
+
 def test_topk_equals_brute_force(spark):
     r = np.random.default_rng(1)
     v = (r.normal(size=(400, 40)) * 0.1).round(3)
