@@ -2,7 +2,7 @@
 
 Seeds: every window of `size` words is anchored at its winnowed k-gram, the one of least hash in it (the rightmost of
 equals). Equal windows have equal anchors, at the same offset, so joining on anchors meets every repeat. A run of windows
-with one anchor travels as one row: the anchor, and a short hash of each window in the run, which is the anchor extended
+with one anchor travels as one row: the anchor, and a hash of each window in the run, which is the anchor extended
 both ways to every offset. Within an anchor's group the rows come by document id, so the first to bring a window
 owns it and later documents lose it; maximal repeats are the unions of lost windows.
 
@@ -15,7 +15,7 @@ that many anchors) travel window by window, dealt by anchor and window, after th
 
 Defined results: null text has no words; rows that repeat an id never take words from each other; rows with a null id
 keep all words and take none; texts shorter than a window keep all; only the named columns are read, so other columns can't clash; empty
-tables give no rows. Windows are told apart by 104 bits of hash (64 of the anchor and 40 of the window).
+tables give no rows. Windows are told apart by 64 bits of hash, besides those of the anchor, which the windows compared share.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from graphloom.session import table
 SIZE, GRAM = 50, 12
 #: Words are split on the bytes of ASCII white space, nothing else.
 SPLIT = bytes(32 if WHITE[b] else b for b in range(256))
-RUNS_HELD, COUNTED = 400_000, 1_000_000
+RUNS_HELD, COUNTED, WIDE = 400_000, 1_000_000, 8
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -74,20 +74,18 @@ def anchor_heads(hashed: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int
 
 
 def anchored_runs(hashed: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """The same, with the 40-bit hash of each window as `hashes`."""
+    """The same, with the 64-bit hash of each window as `hashes`."""
     runs = anchor_heads(hashed, at, size, gram)
-    whole = windows(hashed, size, 0xD6E8FEB86659FD93) >> U64(24)
+    whole = windows(hashed, size, 0xD6E8FEB86659FD93)
     return runs | {"hashes": whole[runs["begin"]]}
 
 
-def pack40(hashes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def pack(hashes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(hashes.astype("<u8"))
 
 
-def unpack40(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel().astype(np.int64)
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8")
 
 
 RUN_SCHEMA = "anchor long, doc long, tkey long, first int, hashes binary, lost binary"
@@ -146,7 +144,7 @@ def _by_window(runs: list[tuple]) -> list[tuple]:
     least: dict[tuple[int, int], tuple[int, int, int]] = {}
     masks, out = [], []
     for r, (key, anchor, doc, tkey, first) in enumerate(runs):
-        got = unpack40(key[8:]).tolist()
+        got = unpack(key[8:]).tolist()
         masks.append(bytearray(len(got)))
         for i, w in enumerate(got):
             have = least.get((anchor, w))
@@ -158,10 +156,10 @@ def _by_window(runs: list[tuple]) -> list[tuple]:
                 masks[have[1]][have[2]] = 1
                 least[anchor, w] = (doc, r, i)
             else:  # the same id again
-                out.append((window_key(anchor, w), doc, tkey, first + i, key[8 + 5 * i : 13 + 5 * i], None))
+                out.append((window_key(anchor, w), doc, tkey, first + i, key[8 + 8 * i : 16 + 8 * i], None))
     for (anchor, w), (doc, r, i) in least.items():
         key, _, _, tkey, first = runs[r]
-        out.append((window_key(anchor, w), doc, tkey, first + i, key[8 + 5 * i : 13 + 5 * i], None))
+        out.append((window_key(anchor, w), doc, tkey, first + i, key[8 + 8 * i : 16 + 8 * i], None))
     out += [(spread(t, f), d, t, f, None, bytes(m)) for (_, _, d, t, f), m in zip(runs, masks, strict=True) if any(m)]
     return out
 
@@ -191,8 +189,8 @@ def _runs(shared):
                 ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
                 hashed, at, _ = words(part.column(1))
                 r = anchored_runs(hashed, at)
-                raw, lost = pack40(r["hashes"]).tobytes(), []
-                cut = (r["cut"] * 5).tolist()
+                raw, lost = pack(r["hashes"]).tobytes(), []
+                cut = (r["cut"] * WIDE).tolist()
                 anchors = r["anchor"].astype(np.int64)
                 heads = anchors.astype("<i8").tobytes()
                 for k, (row, first, anchor) in enumerate(zip(r["row"].tolist(), r["first"].tolist(), anchors.tolist(), strict=True)):
@@ -202,15 +200,15 @@ def _runs(shared):
                     if have is None:
                         held[key] = (anchor, doc, tkey, first)
                         if anchor in hot:
-                            hot_windows += (cut[k + 1] - cut[k]) // 5
+                            hot_windows += (cut[k + 1] - cut[k]) // WIDE
                     elif doc > have[1]:
-                        lost.append((spread(tkey, first), doc, tkey, first, None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
+                        lost.append((spread(tkey, first), doc, tkey, first, None, b"\1" * ((cut[k + 1] - cut[k]) // WIDE)))
                     elif doc < have[1]:
-                        lost.append((spread(have[2], have[3]), have[1], have[2], have[3], None, b"\1" * ((cut[k + 1] - cut[k]) // 5)))
+                        lost.append((spread(have[2], have[3]), have[1], have[2], have[3], None, b"\1" * ((cut[k + 1] - cut[k]) // WIDE)))
                         held[key] = (anchor, doc, tkey, first)
                     elif anchor in hot:  # the same id again: neither takes from the other, both are to be compared
                         dealt.append((key, anchor, doc, tkey, first))
-                        hot_windows += (cut[k + 1] - cut[k]) // 5
+                        hot_windows += (cut[k + 1] - cut[k]) // WIDE
                     else:
                         lost.append((anchor, doc, tkey, first, key[8:], None))
                 if lost:
@@ -239,7 +237,7 @@ def _compare(batches):
             anchor, doc = int(anchors[k]), docs[k].as_py()
             if anchor != last:
                 last, owner = anchor, {}
-            got = unpack40(blobs[k].as_py()).tolist()
+            got = unpack(blobs[k].as_py()).tolist()
             mask = bytes(owner.setdefault(h, doc) < doc for h in got)
             if any(mask):
                 out.append((doc, keys[k].as_py(), firsts[k].as_py(), mask))

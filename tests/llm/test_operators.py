@@ -274,6 +274,26 @@ def test_substring_dedup_equals_brute_force(spark, docs, share):
     assert sorted((x["doc_id"], x["n_removed"]) for x in substring.dedup(again, share=share).collect()) == [(3, 0), (5, 80), (5, 160)]
 
 
+def test_windows_that_agree_in_40_bits_of_hash_stay_apart(spark, monkeypatch):
+    """Two texts of one anchor whose window hashes differ in their low bits only."""
+    plain = substring.windows
+    part = lambda h: plain(h, 50) & np.uint64((1 << 24) - 1) | np.uint64(1 << 40)
+    monkeypatch.setattr(substring, "windows", lambda h, size, *base: part(h) if base else plain(h, size))
+    same = " ".join(f"p{j}" for j in range(20))
+    rows = [(k, " ".join(f"{k}a{j}" for j in range(20)) + f" {same} " + " ".join(f"{k}b{j}" for j in range(20))) for k in range(3)]
+    for hot in (set(), {int(a) for k in rows for a in runs_of(k[1])["anchor"].astype(np.int64)}):
+        batch = pa.RecordBatch.from_pydict({"id": [k for k, _ in rows], "text": [t for _, t in rows], "tkey": [k for k, _ in rows]})
+        out = [r for b in substring._runs(type("B", (), {"value": hot}))(iter([batch])) for r in b.to_pylist() if r["lost"] is None]
+        out = sorted(out, key=lambda r: (r["anchor"], r["doc"]))
+        cols = [pa.array([r[c] for r in out], t) for c, t in (("anchor", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int64()), ("first", pa.int32()), ("hashes", pa.binary()))]
+        assert len({r["doc"] for r in out}) == 3 and not list(substring._compare(iter([pa.RecordBatch.from_arrays(cols, ["anchor", "doc", "tkey", "first", "hashes"])])))
+
+
+def runs_of(t):
+    hashed, at, _ = text.words(pa.array([t]))
+    return substring.anchor_heads(hashed, at)
+
+
 def test_winnowing_picks_the_least():
     x = np.random.default_rng(0).integers(0, 9, 500).astype(np.uint64)
     for w in (1, 7, 39):
