@@ -398,6 +398,16 @@ def _(spark, d):
     return table(spark, d, "documents").where("contains(text, 'AKIA') or contains(text, 'token')").select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
+
+
+@query("secret_redact_all")
+def _(spark, d):
+    """Every document; secret_redact and its SQL hold those with 'AKIA' or 'token' only."""
+    return redacted(table(spark, d, "documents"))
+
+
 @query("injection_rules", "select conv_id, turn, round(" + " + ".join(f"case when regexp_matches(text, '{p}') then {w} else 0.0 end" for _, w, p in X.RULES) + ", 6)::double score from conversations")
 def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(X.rule_score(F.col("text")), 6).alias("score"))

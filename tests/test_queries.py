@@ -48,3 +48,14 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(duck.execute(ORACLE_SQL[name]).df())
     else:
         assert len(got) >= 0 and len(got.columns)
+
+
+def test_secret_redaction_returns_every_document(spark, tmp_path):
+    from graphloom.plans.catalogue import QUERIES
+
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    keys = ["sk-" + "a" * 20, "AKIA" + "A" * 16, "ghp_" + "a" * 36, "ghs_" + "a" * 36, pem, pem.replace("RSA PRIVATE ", "PUBLIC ")]
+    rows = [(k, f"x {t} y") for k, t in enumerate(keys)] + [(90, "plain"), (91, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in QUERIES["secret_redact_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: "x [REDACTED_SECRET] y" for k in range(len(keys))} | {90: "plain", 91: None}
