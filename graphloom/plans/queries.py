@@ -489,24 +489,30 @@ def _(n, e):
     return context.community_summary(n.select("tenant_id", F.col("team_owner").alias("community_id"), "label", "name"))
 
 
+@on_graph("connected_components_live")
+def _(n, e):
+    """All live edges; connected_components and its SQL hold PRODUCES only."""
+    return components.connected_components(patterns.live(e))
+
+
 @on_graph("louvain")
 def _(n, e):
-    return ranking.communities(e.where("rel = 'PRODUCES'"))
+    return ranking.communities(patterns.live(e))
 
 
 @on_graph("articulation_points")
 def _(n, e):
-    return ranking.articulation_points(e.where("rel = 'PRODUCES'"))
+    return ranking.articulation_points(patterns.live(e))
 
 
 @on_graph("fast_rp")
 def _(n, e):
-    return ranking.fast_rp(e.where("rel = 'PRODUCES'"), 16)
+    return ranking.fast_rp(patterns.live(e))
 
 
 @on_graph("node2vec_walks")
 def _(n, e):
-    return ranking.random_walks(e.where("rel = 'PRODUCES'"), 8, 2)
+    return ranking.random_walks(patterns.live(e))
 
 
 @on_graph("beam_expansion")

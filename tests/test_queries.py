@@ -59,3 +59,19 @@ def test_secret_redaction_returns_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["text"] for r in QUERIES["secret_redact_all"](spark, str(tmp_path)).collect()}
     assert got == {k: "x [REDACTED_SECRET] y" for k in range(len(keys))} | {90: "plain", 91: None}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
+def test_graph_analytics_read_all_live_edges(spark):
+    from graphloom.operators import patterns
+    from graphloom.plans.catalogue import QUERIES
+    from graphloom.sources.fixture import graph
+
+    live = patterns.live(graph(spark, SF)[1])
+    ids = {r["src"] for r in live.select("src").union(live.select("dst")).distinct().collect()}
+    for name in ("louvain", "connected_components_live"):
+        assert {r["id"] for r in QUERIES[name](spark, SF).collect()} == ids
+    vectors = QUERIES["fast_rp"](spark, SF).select("id", "pos").collect()
+    assert {r["id"] for r in vectors} <= ids and {r["pos"] for r in vectors} == set(range(128))
+    walks = QUERIES["node2vec_walks"](spark, SF).collect()
+    assert len(walks) == 10 * len(ids) and {len(r["walk"]) for r in walks} == {80}
