@@ -1,6 +1,6 @@
 """Toxicity by noisy-channel deobfuscation (operator 7).
 
-Tokens that look disguised (symbols or digits among letters, letters drawn out, single letters spaced out) become character lattices, which
+Tokens that may be disguised (symbols or digits next to letters, letters doubled or drawn out, single letters spaced out) become character lattices, which
 Viterbi decodes under a character trigram model of the whole corpus; the restored text is then scored. Features are word beginnings
 and whole words; each has the lower bound of its share of toxic texts, and a text's evidence is their noisy-or, calibrated by a logistic curve.
 
@@ -27,11 +27,18 @@ from graphloom.session import table
 
 SAMPLE = 4000
 #: Letters that a sign may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "€": "e", "£": "l"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "€": "e", "£": "l", "#": "h"}
 SYMBOLS = 64
-DISGUISED = re.compile(r"[^\W\d_]+[0-9@$!|+*€£]+[^\W\d_]|(?<!\S)[0-9@$!|+€£]{1,3}[^\W\d_]{2}|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\W_])")
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\W_])")
+SIGN = "[0-9@$!|+*€£#]"
+#: What the model may be asked about: a sign next to a letter on either side, a letter doubled, single letters apart.
+DISGUISED = re.compile(rf"[^\W\d_]{SIGN}|{SIGN}[^\W\d_]|([^\W\d_])\1|(?<![^\W_])[^\W\d_](?:[ .*_-]+[^\W\d_]){{2,}}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]+[^\W\d_]){2,}(?![^\W_])")
+#: Tokens read whole; those that only double letters keep their other signs, and each run of letters is read by itself.
+SIGNED = re.compile(rf"[^\W\d_]{SIGN}|{SIGN}[^\W\d_]|([^\W\d_])\1\1")
+LETTER_RUN = re.compile(r"[^\W\d_]{3,}")
 TOKEN = re.compile(r"\S+")
+#: What it costs to leave a sign out, at an end where it is mostly punctuation, and to read a doubled letter as one.
+DROPPED, ENDING, HALVED = 6.0, 1.0, 6.0
 WORD = re.compile(r"[^\W\d_]{3,}")
 SEEN_HELD = 200_000
 
@@ -82,8 +89,8 @@ def char_model(counts: np.ndarray) -> np.ndarray:
     return np.log((c + 5 * back[None]) / (c.sum(axis=2, keepdims=True) + 5))
 
 
-def options(token: str) -> list[list[str]]:
-    """The lattice of one token: for each run of equal signs the strings that it may stand for."""
+def options(token: str) -> list[list[tuple[str, float]]]:
+    """The lattice of one token: for each run of equal signs the strings that it may stand for, each with its cost."""
     out, i = [], 0
     while i < len(token):
         j = i
@@ -91,11 +98,12 @@ def options(token: str) -> list[list[str]]:
             j += 1
         c, n = token[i], j - i
         if c.isalpha():
-            out.append([c, c * 2] if n > 2 else [c * n])
+            out.append([(c, HALVED * (n == 2)), (c * 2, 0.0)] if n > 1 else [(c, 0.0)])
         elif c in LEET:
-            out.append([x * k for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))] + [""] * (i == 0 or j == len(token)))
+            end = i == 0 or j == len(token)
+            out.append([(x * k, 0.0) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))] + [("", ENDING if c in "!*#" and j == len(token) else DROPPED)] * end)
         else:
-            out.append([""])
+            out.append([("", DROPPED)])
         i = j
     return out
 
@@ -106,8 +114,8 @@ def decode(token: str, model: np.ndarray) -> str:
     for choices in options(token):
         best: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, read) in paths.items():
-            for text in choices:
-                p, q, s = a, b, score - (6.0 if not text else 0.0)
+            for text, cost in choices:
+                p, q, s = a, b, score - cost
                 for c in text:
                     r = int(_SYMBOL[ord(c)]) if ord(c) < 0x3000 else 0
                     s += float(model[p, q, r])
@@ -123,13 +131,29 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(out[::-1])
 
 
-def restore(text: str, model: np.ndarray) -> str:
-    """Lower-case text with disguised tokens decoded; other tokens stay."""
+def restore(text: str, model: np.ndarray, cache: dict[str, str] | None = None) -> str:
+    """Lower-case text with disguised tokens decoded; other tokens stay. The cache holds readings of short tokens under this model."""
     low = text.lower()
     if not DISGUISED.search(low):
         return low
-    low = SPACED.sub(lambda m: m[0][0] + re.sub(r"[ .*_-]", "", m[0][1:]), low)
-    return TOKEN.sub(lambda m: decode(m[0], model) if DISGUISED.search(m[0]) else m[0], low)
+    cache = {} if cache is None else cache
+    low = SPACED.sub(lambda m: m[0][0] + re.sub(r"[ .*_-]+", "", m[0][1:]), low)
+
+    def read(m: re.Match) -> str:
+        token = m[0]
+        out = cache.get(token)
+        if out is None:
+            if SIGNED.search(token):
+                out = decode(token, model)
+            else:
+                out = LETTER_RUN.sub(lambda w: decode(w[0], model), token) if DISGUISED.search(token) else token
+            if len(token) <= 40:
+                if len(cache) > SEEN_HELD:
+                    cache.clear()
+                cache[token] = out
+        return out
+
+    return TOKEN.sub(read, low)
 
 
 def features(word: str) -> list[str]:
@@ -171,8 +195,9 @@ def hash_pair(a: str, b: str) -> int:
 def fit(rows: list[tuple[str, int]], model: np.ndarray) -> dict:
     """Feature weights and the curve, from (text, toxic) rows."""
     seen: dict[tuple[int, int], set[str]] = {}
+    readings: dict[str, str] = {}
     for text, toxic in sorted((t or "", y) for t, y in rows):
-        found = WORD.findall(restore(text, model))
+        found = WORD.findall(restore(text, model, readings))
         seen.setdefault((sketch_of(found), toxic), set(found))
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for (_, toxic), words in seen.items():
@@ -212,13 +237,14 @@ def score(docs: DataFrame, model: np.ndarray, fitted: dict, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast((model, fitted))  # a fixed table, and the features of a bounded sample
     kind = docs.schema[id_col].dataType.simpleString()
     cache: dict[str, float] = {}
+    readings: dict[str, str] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         chars, own = shared.value
         a, b = own["curve"]
         scores, changed = [], []
         for text in texts(batch):
-            clear = restore(text, chars)
+            clear = restore(text, chars, readings)
             e = evidence(set(WORD.findall(clear)), own["weight"], cache)
             scores.append(1 / (1 + np.exp(-np.clip(a + b * e, -30, 30))))
             changed.append(clear != text.lower())

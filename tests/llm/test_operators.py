@@ -203,6 +203,15 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, model, toxicity.fit([], model)).where("score > 0.01").count() == 0
 
 
+def test_toxicity_reads_signs_at_ends_doubles_and_wide_spacing(spark):
+    plain = "the loser is an idiot and stupid with hate in a book of good will " * 50
+    model = toxicity.char_model(toxicity.char_counts(spark.createDataFrame([(plain,)], "text string")))
+    for token, word in [("idi07", "idiot"), ("hat3", "hate"), ('"5tupid', "stupid"), ("i  d  i  o  t", "idiot"), ("iidiioot", "idiot"), ("#ate", "hate")]:
+        assert word in toxicity.restore(token, model)
+    for clean in ("good", "will-book", "idiot", "a good book"):
+        assert toxicity.restore(clean, model) == clean
+
+
 def test_urls(spark):
     u = ["https://WWW.Example.com/en/1?x=1", "http://a.example.com/en/2", "http://b.net/es/", "http://b.net/de", "x://y.com", None, "nope", "http://cheappills.org/x", "http://booknews.org/x", "http://example.com/en"]
     df = spark.createDataFrame([(k, x, "<p>news</p>") for k, x in enumerate(u)], "page_id long, url string, html string")
