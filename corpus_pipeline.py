@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, langid, ngram_join, pii
@@ -24,9 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least id, of each group connected by five-word shingle similarity of 0.8 or more."""
+    """One row of each group connected by five-word shingle similarity of 0.8 or more: the document of the least id, and if rows repeat
+    that id, the one that comes first by text, language, source and size. Rows with a null id all stay.
+    """
     gone = ngram_join.join_classes(docs).where("class_id < doc").select("doc").distinct()
-    return docs.select(COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_anti")
+    kept = docs.select(COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again").hint("shuffle_hash")
+    once = kept.join(again, F.col("doc_id") == F.col("again"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    first = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1")
+    return once.select(COLUMNS).union(first.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,11 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     out = {r["doc_id"]: bpe.decode_ids(bytes(r["ids"]), bpe.default_path()).decode() for r in cp.run(spark, d).collect()}
     assert sorted(out) == [1, 3, 6, 8] and out[6] == "write to [EMAIL] about the garden"
     assert decontam.word_list(out[1]) == decontam.word_list(rows[0][1])
+
+
+def test_near_duplicates_keep_one_row_of_a_repeated_id(spark):
+    same = " ".join(f"n{k}" for k in range(80))
+    rows = [(3, same + " one", "en", "s", 1), (3, same + " one", "en", "s", 1), (4, same + " two", "en", "s", 1), (9, "all alone", "en", "s", 1), (None, "no id", "en", "s", 1), (None, "no id", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == [3, 9, None, None]
