@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, langid, ngram_join, pii
-from graphloom.session import shared_folder, table
+from graphloom.session import cut_lineage, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,7 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     gone = ngram_join.join_classes(docs).where("class_id < doc").select("doc").distinct()
     kept = docs.select(COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again").hint("shuffle_hash")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return kept
+    again = again.hint("shuffle_hash")
     once = kept.join(again, F.col("doc_id") == F.col("again"), "left_anti")
     order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
     first = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1")
