@@ -4,8 +4,14 @@ Rules decide first: the longest rule whose host is the url's host or a parent of
 rest, host labels and path segments are split into words by a unigram Viterbi (exact corpus counts of all pages, looked up by
 word for the substrings of urls; a hashed table of fixed size only spares look-ups of unknown ones), and multinomial naive Bayes scores the words.
 
-Defined results: a null url, or one without "://", has empty host and path and no rule; it has no words, so the prior decides (allow);
-repeated rows are judged each; only the named columns are read, so other columns can't clash; an empty table gives an empty result.
+Naive Bayes learns from the pages that a rule decides: the rule's verdict is the label, the words of their urls are counted by class in
+SLOTS hashed counters. Two short lists of words speak for a class from the start and weigh SEED_SHARE of what is counted. Pages whose
+crc32(id as text) mod HELD_OUT is 0 are never learnt from, so accuracy can be measured on those that a rule decides.
+
+Defined results: a null url, or one without "://", has empty host and path and no rule; it has no words, so the prior decides;
+without any page that a rule decides the lists alone are the model and the prior is one in five; words never seen say nothing; a score of
+exactly 0.5 blocks; an unclosed script or style hides the rest of its page; repeated rows are judged each; only the named columns are read, so
+other columns can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import texts
+from graphloom.llm.text import slices, texts
 from graphloom.operators.components import heavy_join
 from graphloom.session import cut_lineage, table
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Words of hosts and paths of either class, the labelled examples of the naive Bayes model.
+#: Words of hosts and paths that speak for a class before anything is learnt.
 BLOCK_WORDS = "adult bet bets bonus buy casino cheap cialis click coupon crack credit deal dating diet escort farm fast free gambling hack hot jackpot keygen loan loans lottery lucky meds money nude offer pharma pharmacy pill pills poker porn promo replica rich scam sex slots spam torrent viagra warez win winner xxx".split()
 ALLOW_WORDS = "about academy archive article blog book books city club college community contact docs education encyclopedia forum garden gallery guide health help history home journal lab learn library local magazine map media museum music news online paper press project radio recipe research review school science shop sport store story support team travel university weather wiki world".split()
 SLOTS, LONGEST, LONGEST_RUN = 1 << 18, 20, 400
 HELD = 200_000
-TAG = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S)
+SEED_SHARE, SMOOTHING, HELD_OUT = 0.05, 0.5, 5
+#: Linear: a script that isn't closed reaches to the end, and a tag stops at the next one.
+TAG = re.compile(r"<(script|style)\b.*?(?:</\1>|\Z)|<[^<>]*>", re.S | re.I)
 LETTERS = re.compile(r"[a-z]{1,20}")
 
 
@@ -46,11 +54,12 @@ def exact_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         seen: Counter[str] = Counter()
         told = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
         for b in batches:
-            for html in texts(b, "html"):
-                seen.update(LETTERS.findall(TAG.sub(" ", html).lower()))
-                if len(seen) > HELD:
-                    yield told()
-                    seen.clear()
+            for part in slices(b, "html"):
+                for html in texts(part, "html"):
+                    seen.update(LETTERS.findall(TAG.sub(" ", html).lower()))
+                    if len(seen) > HELD:
+                        yield told()
+                        seen.clear()
         yield told()
 
     return pages.select(F.col(html_col).alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -108,14 +117,15 @@ def tokens(host: str, path: str) -> list[str]:
 
 
 def segmented(runs: DataFrame, words: DataFrame, slots: np.ndarray) -> DataFrame:
-    """(token, own, n) of each different token of runs: its words, and how many rows have it.
+    """(token, own, n, n_block, n_allow) of each different token of runs (token, label): its words, how many rows have it, and how many of either label.
 
     Substrings are looked up by word; those whose slot holds too little for any word are left out before that.
     """
     spark = runs.sparkSession
     shared = spark.sparkContext.broadcast(slots)  # SLOTS numbers, whatever the input
     corpus = int(slots.sum())
-    runs = cut_lineage(runs.groupBy("token").agg(F.count("*").alias("n")))
+    of = lambda label: F.count(F.when(F.col("label") == label, 1)).alias(f"n_{label}")
+    runs = cut_lineage(runs.groupBy("token").agg(F.count("*").alias("n"), of("block"), of("allow")))
 
     def parts(batches):
         full = shared.value
@@ -138,21 +148,36 @@ def segmented(runs: DataFrame, words: DataFrame, slots: np.ndarray) -> DataFrame
     def split(batches):
         splitter = Splitter(corpus, BLOCK_WORDS + ALLOW_WORDS)
         for b in batches:
-            own = [splitter.split(t, dict(zip(w or [], k or [], strict=True))) for t, w, k in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_pydict({"token": b.column(0), "own": pa.array(own, pa.list_(pa.string())), "n": b.column(1)})
+            own = [splitter.split(t, dict(zip(w or [], k or [], strict=True))) for t, w, k in zip(*(b.column(c).to_pylist() for c in (0, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_pydict({"token": b.column(0), "own": pa.array(own, pa.list_(pa.string()))} | {c: b.column(k) for k, c in ((1, "n"), (2, "n_block"), (3, "n_allow"))})
 
-    return runs.join(known, "token", "left").select("token", "n", "words", "ks").mapInArrow(split, "token string, own array<string>, n long")
+    return runs.join(known, "token", "left").select("token", "n", "n_block", "n_allow", "words", "ks").mapInArrow(split, "token string, own array<string>, n long, n_block long, n_allow long")
 
 
 class Bayes:
-    def __init__(self, blocked: list[str], allowed: list[str], prior: float = 0.2) -> None:
-        a, b = Counter(blocked), Counter(allowed)
-        size = len(a | b)
-        self.start = math.log(prior / (1 - prior))
-        self.weight = {w: math.log((a[w] + 0.1) / (len(blocked) + 0.1 * size)) - math.log((b[w] + 0.1) / (len(allowed) + 0.1 * size)) for w in a | b}
+    """Multinomial naive Bayes over hashed words: log odds of block for each slot, 0 for slots that were never counted."""
 
-    def score(self, words: list[str]) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.start + sum(self.weight.get(w, 0.0) for w in words)))))
+    def __init__(self, blocked: np.ndarray, allowed: np.ndarray, pages: tuple[int, int] = (0, 0)) -> None:
+        own = [blocked.astype(float), allowed.astype(float)]
+        for counts, words in zip(own, (BLOCK_WORDS, ALLOW_WORDS), strict=True):
+            share = max(1.0, SEED_SHARE * float(blocked.sum() + allowed.sum()) / (len(BLOCK_WORDS) + len(ALLOW_WORDS)))
+            np.add.at(counts, [slot(w) for w in words], share)
+        used = (own[0] + own[1]) > 0
+        rate = [(c + SMOOTHING) / (c.sum() + SMOOTHING * used.sum()) for c in own]
+        self.weight = np.where(used, np.log(rate[0]) - np.log(rate[1]), 0.0)
+        self.start = math.log((pages[0] + 1) / (pages[1] + 4))
+
+    def odds(self, words: list[str]) -> float:
+        return float(sum(self.weight[slot(w)] for w in words))
+
+
+def learnt(facts: DataFrame, pages: tuple[int, int]) -> Bayes:
+    """The model of the labelled words of facts; SLOTS rows at most come to the driver."""
+    words = facts.where("n_block + n_allow > 0").select(F.explode("own").alias("word"), "n_block", "n_allow")
+    rows = words.groupBy((F.crc32("word") % SLOTS).cast("int").alias("slot")).agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")).toPandas()
+    blocked, allowed = np.zeros(SLOTS), np.zeros(SLOTS)
+    blocked[rows["slot"].to_numpy()], allowed[rows["slot"].to_numpy()] = rows["b"].to_numpy(), rows["a"].to_numpy()
+    return Bayes(blocked, allowed, pages)
 
 
 def host_path(url):
@@ -177,11 +202,15 @@ def rule_columns(host, path, rules=None):
 
 
 def judge(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", counts: np.ndarray | None = None) -> DataFrame:
-    """id_col, host, path, rule, words (segmented), score (of block), verdict. counts are slot_counts, if known."""
+    """id_col, host, path, rule, words (segmented), score (of block by the model), verdict. counts are slot_counts, if known."""
+    spark = pages.sparkSession
     vocabulary = cut_lineage(exact_counts(pages, html_col))
     counts = slot_counts(vocabulary) if counts is None else counts
     host, path = host_path(url_col)
-    base = cut_lineage(pages.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), host.alias("host"), path.alias("path")))
+    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+    base = pages.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
+    taught = F.coalesce(F.crc32(F.col("__id").cast("string")) % HELD_OUT, F.lit(0)) != 0
+    base = cut_lineage(base.withColumns({"rule": rule, "told": verdict}).withColumn("label", F.when(taught, F.col("told"))))
 
     def cut(batches):
         for b in batches:
@@ -189,24 +218,35 @@ def judge(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str =
                 own = [tokens(h, p) for h, p in zip(small.column(1).to_pylist(), small.column(2).to_pylist(), strict=True)]
                 n = [len(x) for x in own]
                 at = np.concatenate([np.arange(k) for k in n]).astype(np.int32) if n else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_pydict({"row": np.repeat(small.column(0).to_numpy(), n), "at": at, "token": pa.array([t for x in own for t in x], pa.string())})
+                row = np.repeat(np.arange(small.num_rows), n)
+                yield pa.RecordBatch.from_pydict({"row": small.column(0).take(pa.array(row)), "at": at, "token": pa.array([t for x in own for t in x], pa.string()), "label": small.column(3).take(pa.array(row))})
 
-    runs = cut_lineage(base.select("__row", "host", "path").mapInArrow(cut, "row long, at int, token string"))
+    runs = cut_lineage(base.select("__row", "host", "path", "label").mapInArrow(cut, "row long, at int, token string, label string"))
     facts = cut_lineage(segmented(runs, vocabulary, counts))
-    own = heavy_join(runs, facts, ["token"], runs.count()).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("parts"))
-    split = own.select("row", F.flatten(F.col("parts.own")).alias("words"))
-    both = base.join(split, F.col("__row") == F.col("row"), "left").select(F.col("__id").alias(id_col), "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-    kind = pages.schema[id_col].dataType.simpleString()
+    n = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}  # three rows
+    bayes = learnt(facts, (n.get("block", 0), n.get("allow", 0)))
+    shared = spark.sparkContext.broadcast(bayes)  # SLOTS numbers, whatever the input
 
-    def run(batches):
-        bayes = Bayes(BLOCK_WORDS, ALLOW_WORDS)
+    def weigh(batches):
+        model = shared.value
         for b in batches:
-            scores = [bayes.score(w) for w in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_pydict({id_col: b.column(0), "host": b.column(1), "path": b.column(2), "words": b.column(3), "score": pa.array(scores, pa.float64())})
-
-    out = both.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, words array<string>, score double")
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))})
+            odds = [round(model.odds(w) * 1e6) for w in b.column(1).to_pylist()]  # whole numbers, so that the order of sums doesn't matter
+            yield pa.RecordBatch.from_pydict({"token": b.column(0), "own": b.column(1), "odds": pa.array(odds, pa.int64()), "n": b.column(2)})
+
+    weighed = cut_lineage(facts.select("token", "own", "n").mapInArrow(weigh, "token string, own array<string>, odds long, n long"))
+    own = heavy_join(runs.select("row", "at", "token"), weighed, ["token"], runs.count()).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("parts"), F.sum("odds").alias("odds"))
+    split = own.select("row", F.flatten(F.col("parts.own")).alias("words"), "odds")
+    score = 1 / (1 + F.exp(-(F.lit(bayes.start) + F.coalesce("odds", F.lit(0)) / 1e6)))
+    words = F.coalesce("words", F.array().cast("array<string>")).alias("words")
+    out = base.join(split, F.col("__row") == F.col("row"), "left").select(F.col("__id").alias(id_col), "host", "path", "rule", words, score.alias("score"), "told")
+    return out.withColumn("verdict", F.coalesce("told", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("told")
+
+
+def accuracy(judged: DataFrame, rules=None, id_col: str = "page_id") -> DataFrame:
+    """One row (n, right, blocked): pages with a rule that were not learnt from, how many the model judges as the rule does, and how many the rule blocks."""
+    _, told = rule_columns(F.col("host"), F.col("path"), rules)
+    rows = judged.where(f"rule is not null and coalesce(crc32(cast(`{id_col}` as string)) % {HELD_OUT}, 0) = 0").select(told.alias("told"), F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("own"))
+    return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("told") == F.col("own"), 1)).alias("right"), F.count(F.when(F.col("told") == "block", 1)).alias("blocked"))
 
 
 LETTERS_RUN = re.compile(r"[a-z]+")
