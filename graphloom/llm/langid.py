@@ -5,7 +5,10 @@ over all its segmentations into pieces by the forward algorithm; a text's is the
 one expectation step: piece counts under all segmentations (forward-backward, equal piece weights), summed over every training
 text. Counts are at most vocabulary x languages, so the model is bounded whatever the corpus.
 
-Defined results: null text, and text without a letter, is `und` with score 0; a tie goes to the language that sorts first;
+The posterior of a whole text is near 1 for all but the shortest, whatever it holds; `foreign` doesn't saturate: it is the share of the
+text's letters that stand in words for which another language is at least e**STRONG times likelier than the one predicted.
+
+Defined results: null text, and text without a letter, is `und` with score 0 and nothing foreign; a tie goes to the language that sorts first;
 without training rows every text is `und`; repeated rows count and are judged each; whole texts of any length are used; only the named columns are read, so
 other columns can't clash; an empty table gives an empty result.
 """
@@ -30,6 +33,7 @@ START = "▁"
 LONGEST_WORD = 48
 WORDS_HELD = 600_000
 ALPHA = 0.05
+STRONG = 3.0
 
 
 def default_path() -> str:
@@ -208,19 +212,25 @@ class Scorer:
             self.place[w] = len(self.place)
         self.rows = np.concatenate([self.rows, *more])
 
-    def totals(self, docs: list[list[str]]) -> np.ndarray:
+    def judge(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihoods by document and language, share of letters in words that strongly speak for another language than the best)."""
         self.learn(w for d in docs for w in d)
         at = np.fromiter((self.place[w] for d in docs for w in d), np.int64)
-        lens = np.array([len(d) for d in docs])
-        out = np.zeros((len(docs), self.p.shape[1]))
+        lens = np.array([len(d) for d in docs], np.int64)
+        out, foreign = np.zeros((len(docs), self.p.shape[1])), np.zeros(len(docs))
         some = np.flatnonzero(lens)
         if len(some):
-            out[some] = np.add.reduceat(self.rows[at], np.concatenate([[0], np.cumsum(lens[some])])[:-1], axis=0)
-        return out
+            cuts, rows = np.concatenate([[0], np.cumsum(lens[some])])[:-1], self.rows[at]
+            out[some] = np.add.reduceat(rows, cuts, axis=0)
+            best = np.repeat(out[some].argmax(axis=1), lens[some])
+            letters = np.fromiter((len(w) for d in docs for w in d), np.int64)
+            strong = rows.max(axis=1) - rows[np.arange(len(rows)), best] >= STRONG
+            foreign[some] = np.add.reduceat(letters * strong, cuts) / np.add.reduceat(letters, cuts)
+        return out, foreign
 
 
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns in keep, lang_pred, score (the posterior of lang_pred with equal priors)."""
+    """The columns in keep, lang_pred, score (the posterior of lang_pred with equal priors), foreign (the share of letters that strongly speak for another language)."""
     path = path or default_path()
     shared = docs.sparkSession.sparkContext.broadcast((langs, p))  # vocabulary x languages
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
@@ -233,20 +243,20 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None =
         raw = texts(batch, batch.schema.names[-1])
         found = [words_of(t) for t in raw]
         letters = np.array([any(any(map(str.isalpha, w)) for w in d) for d in found], bool)
-        pred, score = ["und"] * len(raw), np.zeros(len(raw))
+        pred, score, foreign = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw))
         if names and len(raw):
-            total = scorers["it"].totals(found)
+            total, foreign = scorers["it"].judge(found)
             total -= total.max(axis=1, keepdims=True)
             post = np.exp(total)
             post /= post.sum(axis=1, keepdims=True)
             best = post.argmax(axis=1)
             pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             score = np.where(letters, post[np.arange(len(raw)), best], 0.0)
-        return pa.RecordBatch.from_pydict({c: batch.column(k) for k, (c, _) in enumerate(kinds)} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
+        return pa.RecordBatch.from_pydict({c: batch.column(k) for k, (c, _) in enumerate(kinds)} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "foreign": pa.array(foreign)})
 
     names = [c for c, _ in kinds]
     text = "text" if "text" not in names else "__text"
-    return map_batches(docs.select(*names, F.col(text_col).alias(text)), run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", lang_pred string, score double", text)
+    return map_batches(docs.select(*names, F.col(text_col).alias(text)), run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", lang_pred string, score double, foreign double", text)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -258,4 +268,4 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     langs, p = fit(training_rows(docs))
     out = predict(docs.select("doc_id", "text"), langs, p)
-    return out.select("doc_id", (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(-1)) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(-1)) == 1).alias("held_out"), "lang_pred", "score", "foreign")
