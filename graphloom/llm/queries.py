@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_urls,
     "op9_substring_dedup": substring.op9_substring,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_join,
+    "secret_ledger_history": secrets.blob_history,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_benchmark_decontamination": decontam.OP5_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
+    "secret_ledger_history": secrets.BLOB_HISTORY_SQL,
 }
