@@ -6,12 +6,12 @@ Texts are sets of five-word shingles (fewer words: the whole text is one shingle
    words are equal collapse to their least id before anything is paired.
 2. The signature's 32 bands of 4 values are the candidate keys. A pair at similarity 0.8 shares none with probability
    (1 - 0.8**4)**32 = 5e-8, and more similar pairs less.
-3. Buckets are split in blocks; each pair of blocks is a tile. In a tile a pair is looked at in the first
-   band that it shares only, and its values are compared 16 at a time: it is dropped as soon as the posterior probability
-   of similarity >= 0.8 (uniform prior) is below `tolerance`. Of the survivors a tile hands on a spanning forest, not all pairs.
+3. Buckets are split in blocks; each pair of blocks is a tile. A pair's values are compared 16 at a time: it is dropped as soon
+   as the posterior probability of similarity >= 0.8 (uniform prior) is below `tolerance`. Of the survivors a tile hands on a spanning
+   forest, and pairs that are connected already are not compared, so a group of N near copies takes about N comparisons a band.
 4. Connected survivors form candidate components; in tiles of these the candidates are found again from the signatures and
-   verified exactly on their word tuples. A tile hands on link counts and a spanning forest, so no step makes a row
-   for each pair of a large group.
+   verified exactly on their word tuples, a dense tile by one product of its incidence matrix. A tile hands on link counts and a
+   spanning forest, so no step makes a row for each pair of a large group.
 
 Defined results: null texts and texts without words link to nothing; copies (equal words) are one class and count as
 links of each other; rows that repeat an id give a row each, classed by their own words, and in the exact check the least
@@ -151,28 +151,47 @@ def _sides(i: int, j: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(v.ravel() for v in np.meshgrid(np.flatnonzero(side == i), np.flatnonzero(side == j), indexing="ij"))
 
 
+def connected(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Labels of the components that surviving pairs of a left and a right row form; a label is a row of its component.
+
+    A row meets one row of each component first, and the others of a component only if that one does not survive.
+    """
+    label = np.arange(len(sig))
+
+    def join(p: int, rows: np.ndarray) -> None:
+        hit = rows[prune(sig[rows], np.broadcast_to(sig[p], (len(rows), HASHES)), least)]
+        if len(hit):
+            label[np.isin(label, label[hit])] = label[p]
+
+    for p in left.tolist():
+        rows = right[label[right] != label[p]]
+        if len(rows):
+            firsts = rows[np.unique(label[rows], return_index=True)[1]]
+            join(p, firsts)
+            rows = rows[label[rows] != label[p]]
+            if len(rows) > len(firsts):
+                join(p, rows)
+    return label
+
+
 def _tile_pairs(least: dict[int, int]):
     def run(batches):
-        for (_, band, i, j), parts in _groups(batches, 4):
+        xs, ys, held = [], [], 0
+        for (_, _, i, j), parts in _groups(batches, 4):
             ids = np.concatenate([p.column(4).to_numpy() for p in parts])
             side = np.concatenate([p.column(5).to_numpy() for p in parts])
             sig = np.frombuffer(b"".join(s for p in parts for s in p.column(6).to_pylist()), np.uint16).reshape(-1, HASHES)
-            bands = sig.view("<u8")
-            a, b = _sides(i, j, side)
-            xs, ys = [], []
-            for at in range(0, len(a), 65_536):
-                p, q = a[at : at + 65_536], b[at : at + 65_536]
-                for k in range(int(band)):
-                    fresh = bands[p, k] != bands[q, k]
-                    p, q = p[fresh], q[fresh]
-                ok = prune(sig[p], sig[q], least)
-                xs.append(p[ok])
-                ys.append(q[ok])
-            label = forest(len(ids), np.concatenate(xs), np.concatenate(ys)) if xs else np.arange(len(ids))
-            joined = np.flatnonzero(label != np.arange(len(ids)))
-            joined = joined[ids[joined] != ids[label[joined]]]
+            label = connected(sig, np.flatnonzero(side == i), np.flatnonzero(side == j), least)
+            joined = np.flatnonzero(ids != ids[label])
             if len(joined):
-                yield pa.RecordBatch.from_pydict({"x": ids[joined], "y": ids[label[joined]]})
+                xs.append(ids[joined])
+                ys.append(ids[label[joined]])
+                held += len(joined)
+            if held > 10_000:
+                yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+                xs, ys, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
     return run
 
@@ -185,10 +204,28 @@ def shingles(text: str, gram: int = GRAM) -> frozenset:
 _TO_SPACE = {ord(c): " " for c in SPLIT}
 
 
+def in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many numbers the sets of each pair (x, y) share; many pairs by products of the incidence matrix, part by part."""
+    if len(x) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    own, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    shared = np.bincount(col) > 1
+    own, col = own[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(shared.sum()), 4096):
+        part = slice(*np.searchsorted(col, [at, at + 4096]))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[own[part], col[part] - at] = 1
+        both += m @ m.T
+    return both[x, y].astype(np.int64)
+
+
 def _verify(threshold: Fraction, least: dict[int, int]):
     def run(batches):
         for (_, i, j), parts in _groups(batches, 3):
-            ids, side, copies, sigs, sets = {}, [], [], [], []
+            ids, side, copies, sigs, sets, known = {}, [], [], [], [], {}
             for p in parts:
                 for x, s, n, sig, text in zip(*(p.column(k).to_pylist() for k in range(3, 8)), strict=True):
                     if x in ids:
@@ -197,28 +234,28 @@ def _verify(threshold: Fraction, least: dict[int, int]):
                     side.append(s)
                     copies.append(n)
                     sigs.append(sig)
-                    sets.append(shingles(text))
-            names, side = np.fromiter(ids, np.int64, len(ids)), np.array(side)
+                    sets.append(np.array([known.setdefault(g, len(known)) for g in shingles(text)], np.int64))
+            names, side, copies = np.fromiter(ids, np.int64, len(ids)), np.array(side), np.array(copies)
             sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, HASHES)
             bands = sig.view("<u8")
             a, b = _sides(i, j, side)
-            linked = np.zeros(len(names), np.int64)
             xs, ys = [], []
             for at in range(0, len(a), 65_536):
                 p, q = a[at : at + 65_536], b[at : at + 65_536]
                 met = (bands[p] == bands[q]).any(axis=1)
                 p, q = p[met], q[met]
                 ok = prune(sig[p], sig[q], least)
-                for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-                    both = len(sets[x] & sets[y])
-                    if both * threshold.denominator >= threshold.numerator * (len(sets[x]) + len(sets[y]) - both):
-                        linked[x] += copies[y]
-                        linked[y] += copies[x]
-                        xs.append(x)
-                        ys.append(y)
-            some = np.flatnonzero(linked)
-            if len(some):
-                label = forest(len(names), np.array(xs), np.array(ys))
+                xs.append(p[ok])
+                ys.append(q[ok])
+            if not xs:
+                continue
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            both, size = in_common(sets, x, y), np.array([len(s) for s in sets])
+            ok = both * threshold.denominator >= threshold.numerator * (size[x] + size[y] - both)
+            x, y = x[ok], y[ok]
+            if len(x):
+                linked = np.bincount(x, copies[y], len(names)).astype(np.int64) + np.bincount(y, copies[x], len(names)).astype(np.int64)
+                label, some = forest(len(names), x, y), np.flatnonzero(linked)
                 yield pa.RecordBatch.from_pydict({"x": names[some], "y": names[label[some]], "n": linked[some]})
 
     return run
