@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 5).
 
 One Aho-Corasick automaton holds the normalised windows of all benchmark items; each text is normalised once, scanned
-once, and matches are mapped back to word numbers and code points of the original. Windows are bounded by
-`automaton_bytes`; a larger benchmark is scanned by several automata, one after another, each within the bound.
+once, and matches are mapped back to word numbers and code points of the original. An automaton has a node for each byte of its windows at most,
+of about 50 bytes of memory, so `automaton_bytes` (6 MB of windows) bounds a worker's automaton to about 300 MB. A larger benchmark is scanned
+chunk by chunk: one job and one broadcast at a time, each of which leaves the hits of the texts that have any, by the digest of the text.
 
 Defined results: null text or item text has no words; an item of fewer words than a window is one window, an item of none
 has no window; items that repeat an id count once; a null item id is the string "null"; empty tables give no rows or no hits; repeated documents
@@ -11,6 +12,7 @@ are judged each; only the named columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import map_batches
-from graphloom.session import table
+from graphloom.session import cut_lineage, table
 
 WINDOW = 10
 #: Bytes: letters A-Z become a-z, digits, a-z and all of 0x80 and above stay, the rest becomes a space.
@@ -37,17 +39,21 @@ def item_windows(text: str | None, size: int = WINDOW) -> set[bytes]:
     return {b" " + b" ".join(w[i : i + size]) + b" " for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
+#: What one more item of a window is taken to weigh.
+ITEM_BYTES = 16
+
+
 def window_chunks(benchmark: DataFrame, id_col: str, text_col: str, size: int, automaton_bytes: int):
-    """Chunks {window: [item ids as text]} of at most automaton_bytes of windows each, streamed item by item."""
+    """Chunks {window: [item ids as text]} of at most automaton_bytes of windows and items each, streamed item by item; a window may be in several."""
     chunk: dict[bytes, set[str]] = {}
     used = 0
     for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col).toLocalIterator():
         for w in item_windows(row[1], size):
-            if w not in chunk:
-                if used + len(w) > automaton_bytes:
-                    yield chunk
-                    chunk, used = {}, 0
-                used += len(w)
+            more = ITEM_BYTES if w in chunk else len(w)
+            if chunk and used + more > automaton_bytes:
+                yield chunk
+                chunk, used, more = {}, 0, len(w)
+            used += more
             chunk.setdefault(w, set()).add(row[0])
     if chunk:
         yield chunk
@@ -96,44 +102,74 @@ def scan_text(words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set
     return merged(hits), items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = 64_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+RANGES = "array<struct<start:int,stop:int>>"
+PAIR = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _finished(own: list[str], at: int, find):
+    """Batches of the columns own, n_words, hits, spans and items; find gives the hits and items of row k, its words known."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, hits, spans, items = [], [], [], []
+        get = find(batch)
+        for k, text in enumerate(batch.column(at).to_pylist()):
+            words = word_list(text)
+            found, met = get(k, words)
+            n.append(len(words))
+            hits.append([{"start": a, "stop": b} for a, b in found])
+            items.append(sorted(met))
+            spans.append(original(text, found) if found else [])
+        cols = {c: batch.column(k) for k, c in enumerate([*own, "text"])}
+        return pa.RecordBatch.from_pydict(cols | {"hits": pa.array(hits, PAIR), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, PAIR)})
+
+    return run
+
+
+def chunk_hits(texts: DataFrame, shared) -> DataFrame:
+    """(digest, hits, items) of the texts (digest, text) that hold a window of one chunk; each digest once."""
+    key = uuid.uuid4().hex
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automaton, rows = _automaton(key, shared), []
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, met = scan_text(word_list(text), automaton)
+            if found:
+                rows.append((digest, [{"start": a, "stop": b} for a, b in found], sorted(met)))
+        digests, hits, items = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.string()), "hits": pa.array(hits, PAIR), "items": pa.array(items, pa.list_(pa.string()))})
+
+    return map_batches(texts, run, f"digest string, hits {RANGES}, items array<string>").dropDuplicates(["digest"])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = 6_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in keep, id_col, n_words, hits (word ranges), spans (code points of the ranges in the original text), items (sorted)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     own = [c for c in dict.fromkeys((*keep, id_col)) if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", text string"
+    rows = docs.select(*own, F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + f", text string, hits {RANGES}, items array<string>, n_words long, spans {RANGES}"
     at = len(own)
-    ranges = "array<struct<start:int,stop:int>>"
-    out = docs.select(*own, F.col(text_col).alias("text"), F.lit(None).cast(ranges).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    pair = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    chunks = [spark.sparkContext.broadcast(list(c.items())) for c in window_chunks(benchmark, item_col, item_text_col, size, automaton_bytes)] or [spark.sparkContext.broadcast([])]
-
-    def stage(shared, last: bool):
-        key = uuid.uuid4().hex
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            automaton = _automaton(key, shared)
-            n, hits, spans, items = [], [], [], []
-            old_hits, old_items = (batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()) if len(chunks) > 1 else (None, None)
-            for k, text in enumerate(batch.column(at).to_pylist()):
-                words = word_list(text)
-                found, met = scan_text(words, automaton)
-                if old_hits is not None:
-                    found = merged(found + [(x["start"], x["stop"]) for x in old_hits[k] or ()])
-                    met |= set(old_items[k] or ())
-                n.append(len(words))
-                hits.append([{"start": a, "stop": b} for a, b in found])
-                items.append(sorted(met))
-                spans.append(original(text, found) if found and last else [])
-            cols = {c: batch.column(k) for k, c in enumerate([*own, "text"])} | {"hits": pa.array(hits, pair), "items": pa.array(items, pa.list_(pa.string()))}
-            if last:
-                cols |= {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pair)}
-            return pa.RecordBatch.from_pydict(cols)
-
-        return run
-
-    for k, shared in enumerate(chunks):
-        last = k == len(chunks) - 1
-        out = map_batches(out, stage(shared, last), kinds + f", hits {ranges}, items array<string>" + f", n_words long, spans {ranges}" * last)
+    chunks = window_chunks(benchmark, item_col, item_text_col, size, automaton_bytes)
+    first, second = next(chunks, {}), next(chunks, None)
+    if second is None:
+        shared, key = context.broadcast(list(first.items())), uuid.uuid4().hex
+        out = map_batches(rows, _finished(own, at, lambda batch: lambda k, words, a=_automaton(key, shared): scan_text(words, a)), schema)
+        return out if "text" in keep else out.drop("text")
+    rows = rows.withColumn("__digest", F.sha2("text", 256))
+    texts, found = rows.where("__digest is not null").select(F.col("__digest").alias("digest"), "text"), None
+    for chunk in itertools.chain([first, second], chunks):
+        shared = context.broadcast(list(chunk.items()))
+        new = chunk_hits(texts, shared)
+        found = cut_lineage(new if found is None else found.union(new))  # a chunk's job is over here
+        shared.destroy()
+    merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = found.groupBy("digest").agg(merge("hits"), merge("items"))
+    both = rows.join(found, F.col("__digest") == F.col("digest"), "left").select(*own, "text", "hits", "items")
+
+    def known(batch: pa.RecordBatch):
+        hits, items = batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
+        return lambda k, words: (merged([(x["start"], x["stop"]) for x in hits[k] or ()]), set(items[k] or ()))
+
+    out = map_batches(both, _finished(own, at, known), schema)
     return out if "text" in keep else out.drop("text")
 
 
