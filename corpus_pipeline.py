@@ -1,6 +1,10 @@
 """Corpus preparation: documents through five stages, each of them written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results: an empty table passes every stage empty; null and empty texts have no language and go in the first stage; rows that repeat an id
+are judged each by their own text, but for the near-duplicate stage (see there); columns beyond those of documents are dropped; the parts
+that stages hand on are deleted when the next one is written, only the last stays.
 """
 
 from __future__ import annotations
@@ -11,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, langid, ngram_join, pii
-from graphloom.session import cut_lineage, shared_folder, table
+from graphloom.session import cut_lineage, remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: From this share of letters in words of another language on, a text is a mixture. Whole documents of one language, with a quoted line or two, stay below 0.1.
+MIXED = 0.2
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: rejects are those without a letter, and those whose best language has less than half of the posterior."""
+    """Documents of one recognised language, with that as their lang: rejects are those without a letter, and mixtures of languages."""
     langs, p = langid.fit(langid.training_rows(docs))
     out = langid.predict(docs.select(COLUMNS), langs, p, keep=tuple(COLUMNS))
-    return out.where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
+    return out.where(f"lang_pred <> 'und' and foreign < {MIXED}").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each span of personal data replaced by its kind."""
-    out = pii.find(docs, keep=("doc_id", "lang", "source"), redact=True)
+    out = pii.find(docs, keep=("doc_id", "lang", "source"), redact=True, learnt=pii.learn(docs))
     return out.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("long").alias("n_chars"))
 
 
@@ -73,9 +81,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,15 +35,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or in its absence the context's checkpoint folder."""
+    """The folder that all nodes share: spark.checkpoint.dir, or in its absence the context's checkpoint folder.
+
+    A session in one process may fall back to a temporary folder; on a cluster executors couldn't read it, so that raises.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         if sc.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
         named = sc.getCheckpointDir()
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, wherever it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
