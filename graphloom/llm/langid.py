@@ -31,7 +31,7 @@ from graphloom.session import table
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 LONGEST_WORD = 48
-WORDS_HELD = 600_000
+WORDS_HELD = 400_000
 ALPHA = 0.05
 STRONG = 3.0
 

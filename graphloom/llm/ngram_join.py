@@ -10,7 +10,7 @@ Texts are sets of five-word shingles (fewer words: the whole text is one shingle
    as the posterior probability of similarity >= 0.8 (uniform prior) is below `tolerance`. Of the survivors a tile hands on a spanning
    forest, and pairs that are connected already are not compared, so a group of N near copies takes about N comparisons a band.
 4. Connected survivors form candidate components; in tiles of these the candidates are found again from the signatures and
-   verified exactly on their word tuples, a dense tile by one product of its incidence matrix. A tile hands on link counts and a
+   verified exactly on their word tuples, a dense tile by rows of bits. A tile hands on link counts and a
    spanning forest, so no step makes a row for each pair of a large group.
 
 Defined results: null texts and texts without words link to nothing; copies (equal words) are one class and count as
@@ -205,21 +205,19 @@ _TO_SPACE = {ord(c): " " for c in SPLIT}
 
 
 def in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many numbers the sets of each pair (x, y) share; many pairs by products of the incidence matrix, part by part."""
+    """How many numbers the sets of each pair (x, y) share; many pairs by the common bits of rows, 64 numbers at a time."""
     if len(x) < 4 * len(sets):
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
     own, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
     shared = np.bincount(col) > 1
     own, col = own[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
-    order = np.argsort(col, kind="stable")
-    own, col = own[order], col[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    for at in range(0, int(shared.sum()), 4096):
-        part = slice(*np.searchsorted(col, [at, at + 4096]))
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[own[part], col[part] - at] = 1
-        both += m @ m.T
-    return both[x, y].astype(np.int64)
+    bits = np.zeros((len(sets), -(-int(shared.sum()) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (own, col >> 6), U64(1) << (col & 63).astype(U64))
+    out, step = np.zeros(len(x), np.int64), max(1, (1 << 20) // max(1, bits.shape[1]))
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        out[part] = np.bitwise_count(bits[x[part]] & bits[y[part]]).sum(axis=1)
+    return out
 
 
 def _verify(threshold: Fraction, least: dict[int, int]):
