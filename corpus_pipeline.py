@@ -20,8 +20,8 @@ from graphloom.session import cut_lineage, remove, shared_folder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: From this share of letters in words of another language on, a text is a mixture. Whole documents of one language, with a quoted line or two, stay below 0.1.
-MIXED = 0.2
+#: From this share of letters in words of another language on, a text has no main language: that one holds less than two thirds of it.
+MIXED = 1 / 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
