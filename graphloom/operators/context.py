@@ -2,65 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import count_tokens
 from graphloom.operators.ranking import articulation_local, louvain_local
+from graphloom.session import cut_lineage
+
+
+def prefix_sums(rows: DataFrame, order: tuple, cost: str, out: str) -> DataFrame:
+    """rows and out: the sum of cost up to this row, in order. Rows are dealt by ranges of the order, summed in each range, and
+    shifted by the sums of the ranges before, of which there are as many as partitions; no task sees all rows."""
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt)  # the ranges stay as they are
+    before = dealt.groupBy("_range").agg(F.sum(cost).alias("_all"))
+    before = before.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_before"))
+    inside = F.sum(cost).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+    return both.withColumn(out, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_range", "_inside", "_before")
 
 
 def prefix_truncate(rows: DataFrame, budget: int, keys: tuple[str, ...] = (), order: tuple = ("pos",), cost: str = "cost") -> DataFrame:
-    """Rows up to the first that overflows the budget, in order, for each key."""
+    """Rows up to the first that overflows the budget, in order, for each key (without keys, over the whole table in ranges)."""
+    if not keys:
+        return prefix_sums(rows, order, cost, "_sum").where(F.col("_sum") <= budget).drop("_sum")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_sum", F.sum(cost).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def byte_cap(files: DataFrame, cap: int = 104_857_600) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped): files in path order stop at the first that would exceed the cap."""
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    run = files.withColumn("_over", F.sum("bytes").over(w) > cap)
-    out = run.withColumn("_cut", F.max("_over").over(w))
-    return out.where("not _cut").drop("_over", "_cut"), out.where("_cut").drop("_over", "_cut")
+    out = prefix_sums(files, ("path",), "bytes", "_sum")  # sizes aren't negative, so all after the first beyond the cap are beyond it too
+    return out.where(F.col("_sum") <= cap).drop("_sum"), out.where(F.col("_sum") > cap).drop("_sum")
 
 
 def greedy_fill(rows: DataFrame, budget: int) -> DataFrame:
     """(group, pos): in order, rows that still fit; those that don't are skipped and later ones may fit."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        for p, c in pdf.sort_values("pos")[["pos", "cost"]].itertuples(index=False):
-            if c <= left:
-                left -= c
-                keep.append(p)
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]] * len(keep), "pos": keep})
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, left = None, budget
+        for pdf in batches:
+            keep = []
+            for k, (g, c) in enumerate(zip(pdf["group"], pdf["cost"], strict=True)):
+                if k == 0 and own is None or g != own:
+                    own, left = g, budget
+                if c <= left:
+                    left -= c
+                    keep.append(k)
+            yield pdf.iloc[keep][["group", "pos"]]
 
-    kind = dict(rows.dtypes)
-    return rows.select("group", "pos", "cost").groupBy("group").applyInPandas(fill, f"group {kind['group']}, pos {kind['pos']}")
+    return _in_order(rows.where(F.col("cost") <= budget), fill, "")
 
 
 def token_batches(rows: DataFrame, budget: int) -> DataFrame:
     """(group, pos, batch): in order; a row that would overflow a batch that isn't empty opens the next."""
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        used, batch, out = 0, 0, []
-        for c in pdf["cost"]:
-            if used and used + c > budget:
-                batch, used = batch + 1, 0
-            used += c
-            out.append(batch)
-        return pd.DataFrame({"group": pdf["group"], "pos": pdf["pos"], "batch": out})
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, used, batch = None, 0, 0
+        for pdf in batches:
+            out = []
+            for k, (g, c) in enumerate(zip(pdf["group"], pdf["cost"], strict=True)):
+                if k == 0 and own is None or g != own:
+                    own, used, batch = g, 0, 0
+                if used and used + c > budget:
+                    batch, used = batch + 1, 0
+                used += c
+                out.append(batch)
+            yield pdf[["group", "pos"]].assign(batch=out)
+
+    return _in_order(rows, split, ", batch int")
+
 
+def _in_order(rows: DataFrame, run, more: str) -> DataFrame:
+    """A pass over each group in order of pos; a group is streamed, never held, and only three columns of it travel."""
     kind = dict(rows.dtypes)
-    return rows.select("group", "pos", "cost").groupBy("group").applyInPandas(split, f"group {kind['group']}, pos {kind['pos']}, batch int")
+    dealt = rows.where("group is not null").select("group", "pos", "cost").repartition("group").sortWithinPartitions("group", "pos")
+    return dealt.mapInPandas(run, f"group {kind['group']}, pos {kind['pos']}" + more)
 
 
 def truncate(rows: DataFrame, budget: int = 32_000, top: int = 50, share: float = 0.95) -> DataFrame:
     """The best `top` rows by score (missing 0), then the prefix within the share of the budget. rows: id, score, text."""
-    w = Window.orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "id")
-    best = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).withColumn("cost", count_tokens(F.col("text")))
-    return prefix_truncate(best, int(budget * share))
+    order = (F.desc(F.coalesce("score", F.lit(0.0))), F.col("id"))
+    best = rows.orderBy(*order).limit(top)  # each task sends its best only; the window is over that page
+    w = Window.orderBy(*order)
+    best = best.withColumn("pos", F.row_number().over(w)).withColumn("cost", count_tokens(F.col("text")))
+    return best.withColumn("_sum", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= int(budget * share)).drop("_sum")
 
 
 def truncate_component(pairs: list[tuple[str, str, float, int]], budget: int, boost: float = 1.5) -> list[int]:
@@ -116,11 +145,16 @@ def summarize_component(pairs: list[tuple[str, str]]) -> list[dict]:
 def community_summary(members: DataFrame) -> DataFrame:
     """(tenant_id, community_id, summary) from (tenant_id, community_id, label, name): counts by label, first ten names, and how many more."""
     c = F.coalesce("community_id", F.lit("unassigned"))
-    kinds = members.groupBy("tenant_id", c.alias("community_id"), "label").agg(F.count("*").alias("n"), F.collect_list("name").alias("names"))
+    own = members.select("tenant_id", c.alias("community_id"), "label", "name")
+    kinds = own.groupBy("tenant_id", "community_id", "label").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("tenant_id", "community_id").orderBy("name"))  # limited in each task before the shuffle
+    ten = own.withColumn("_r", first).where("_r <= 10").groupBy("tenant_id", "community_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
     part = F.concat(F.col("n").cast("string"), F.lit(" "), F.col("label"), F.when(F.col("n") > 1, "s").otherwise(""))
-    g = kinds.withColumn("part", part).groupBy("tenant_id", "community_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.array_sort(F.flatten(F.collect_list("names"))).alias("names"))
-    more = F.size("names") - 10
-    text = F.concat(F.array_join("parts", ", "), F.lit(": "), F.array_join(F.slice("names", 1, 10), ", "), F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    g = kinds.withColumn("part", part).groupBy("tenant_id", "community_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("n").alias("n"))
+    same = F.col("a.tenant_id").eqNullSafe(F.col("b.tenant_id")) & (F.col("a.community_id") == F.col("b.community_id"))
+    g = g.alias("a").join(ten.alias("b"), same).select("a.tenant_id", "a.community_id", "parts", "n", "names")
+    more = F.col("n") - 10
+    text = F.concat(F.array_join("parts", ", "), F.lit(": "), F.array_join("names", ", "), F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(""))
     return g.select("tenant_id", "community_id", text.alias("summary"))
 
 

@@ -12,7 +12,7 @@ from graphloom.operators.patterns import live
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """Last write wins by version, new before old on equal versions; nulls overwrite."""
+    """One row for each key: a new row replaces the old one whatever its version, and of several new rows the largest version stays; nulls overwrite."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.desc("_side"), F.desc(version))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")

@@ -17,7 +17,9 @@ from graphloom.session import cut_lineage
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, true_idf: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of the documents that hold a query term; idf is ln 2 unless true_idf. Repeated query terms count each time."""
     asked = docs.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).withColumn("dl", F.size("w"))
+    known = [r["term"] for r in asked.collect()]  # the words of one question
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    words = words.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(known)).alias("w"))  # other words are never made rows
     stats = words.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
     terms = words.select("id", "dl", F.explode("w").alias("term")).join(F.broadcast(asked), "term").groupBy("id", "dl", "term", "qn").agg(F.count("*").alias("tf"))
     if true_idf:
@@ -72,10 +74,11 @@ def mmr(candidates: DataFrame, lam: float = 0.7) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, score) over directed edges: (1 - d) / n + d * sum of score / out-degree, without dangling redistribution."""
-    n = nodes.count()
+    """(id, score) over directed edges: (1 - d) / n + d * sum of score / out-degree, without dangling redistribution. No nodes, no rows."""
+    nodes = cut_lineage(nodes.select("id"))
+    n = max(nodes.count(), 1)
     e = cut_lineage(edges.select("src", "dst").join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    s = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
+    s = nodes.select("id", F.lit(1.0 / n).alias("score"))
     for k in range(rounds):
         got = e.join(s, e["src"] == s["id"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("g"))
         s = nodes.select("id").join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("score"))
@@ -115,8 +118,9 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(m2)).agg(F.sum((1 - F.col("k") * F.col("kb") / F.col("m2")) / F.col("m2")).alias("q"))
 
 
-def louvain_local(pairs: list[tuple], resolution: float = 1.0, sweeps: int = 10) -> dict:
-    """Single-level greedy communities of one component; nodes in sorted order, moves only for strict gain."""
+def louvain_local(pairs: list[tuple], resolution: float = 1.0, sweeps: int = 10, m2: int | None = None) -> dict:
+    """Single-level greedy communities of one component; nodes in sorted order, moves only for strict gain. m2 is twice the edges of the
+    whole graph (by default, of these pairs). A community is named after the node that it began with, so names differ between components."""
     near: dict = {}
     for a, b in pairs:
         near.setdefault(a, []).append(b)
@@ -124,7 +128,7 @@ def louvain_local(pairs: list[tuple], resolution: float = 1.0, sweeps: int = 10)
     order = sorted(near)
     own = {v: k for k, v in enumerate(order)}
     total = {own[v]: len(near[v]) for v in order}
-    m2 = sum(map(len, near.values())) or 1
+    m2 = m2 or sum(map(len, near.values())) or 1
     for _ in range(sweeps):
         moved = False
         for v in order:
@@ -141,8 +145,7 @@ def louvain_local(pairs: list[tuple], resolution: float = 1.0, sweeps: int = 10)
                 own[v], moved = best, True
         if not moved:
             break
-    names = {c: f"community-{k}" for k, c in enumerate(sorted(set(own.values())))}
-    return {v: names[c] for v, c in own.items()}
+    return {v: f"community-{order[c]}" for v, c in own.items()}
 
 
 def articulation_local(pairs: list[tuple]) -> list:
@@ -202,7 +205,9 @@ def by_component(edges: DataFrame, local, column: str, kind: str, max_nodes: int
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    return by_component(edges, lambda p: louvain_local(p, resolution), "community", "string")
+    """(id, community): components don't touch each other, so each is partitioned by itself, with the edge count of the whole graph."""
+    m2 = 2 * edges.count()
+    return by_component(edges, lambda p: louvain_local(p, resolution, m2=m2), "community", "string")
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
@@ -271,7 +276,7 @@ def centroid(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 
 def per_hop_filter(edges: DataFrame, scores: DataFrame, top: int = 50, pass_above: int = 10_000) -> DataFrame:
-    """Edges that touch one of the top nodes; more than pass_above edges pass unfiltered."""
+    """Edges that touch one of the top nodes. More than pass_above edges pass unfiltered: that is what this operator is defined to do, not a short cut."""
     if edges.limit(pass_above + 1).count() > pass_above:
         return edges
     best = scores.orderBy(F.desc("score"), "id").limit(top).select("id")

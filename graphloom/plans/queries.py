@@ -130,7 +130,7 @@ def _(n, e):
     "p3 as (select c.dst d from p2 join c on c.src = p2.d where not (c.src = p2.a and c.dst = p2.b) and not (c.src = p2.b and c.dst = p2.d))",
 )
 def _(n, e):
-    return T.acl_multi_hop(n, e, TENANT, _visible_source(n, e), ACL, 3, 1_000_000)
+    return T.acl_multi_hop(n, e, TENANT, _visible_source(n, e), ACL, 3, None)
 
 
 @on_graph(
@@ -253,7 +253,7 @@ KNN = "select vec_id id, round(list_cosine_similarity(embedding::double[], (sele
 def _(spark, d):
     v = table(spark, d, "embeddings").withColumn("tenant_id", F.concat(F.lit("t"), (F.col("label") % 2).cast("string")))
     q = v.where("vec_id = 0").first()
-    return ranking.knn(v, q["embedding"], 10, TENANT).withColumn("score", F.round("score", 6))
+    return ranking.knn(v, q["embedding"] if q else [0.0], 10, TENANT).withColumn("score", F.round("score", 6))
 
 
 @query("centroid", "select label, pos, round(avg(x), 6) \"value\" from (select label, unnest(range(64)) pos, unnest(embedding)::double x from embeddings) group by 1, 2")
@@ -308,10 +308,10 @@ def _pagerank_sql(rounds: int) -> str:
     return steps
 
 
-@on_graph("pagerank_10", "select id, round(s * 1000, 6) score from r10", CALLS + ", " + _pagerank_sql(10))
+@on_graph("pagerank_10", "select id, s score from r10", CALLS + ", " + _pagerank_sql(10))
 def _(n, e):
     calls, own = _calls(n, e)
-    return ranking.pagerank(calls, own, 10).select("id", F.round(F.col("score") * 1000, 6).alias("score"))
+    return ranking.pagerank(calls, own, 10)
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -321,11 +321,11 @@ def _ppr_sql(rounds: int) -> str:
     return steps
 
 
-@on_graph("ppr_3", "select id, round(s * 1000, 6) score from t3", CALLS + ", " + _ppr_sql(3))
+@on_graph("ppr_3", "select id, s score from t3", CALLS + ", " + _ppr_sql(3))
 def _(n, e):
     calls, _ = _calls(n, e)
     seed = e.sparkSession.createDataFrame([(busiest(n, e),)], "id string")
-    return ranking.personalized_pagerank(calls, seed, 3).select("id", F.round(F.col("score") * 1000, 6).alias("score"))
+    return ranking.personalized_pagerank(calls, seed, 3)
 
 
 @on_graph("modularity", "select round(sum((1 - x.k * y.k / m.m2) / m.m2), 6) q from un join own cx on cx.id = a join own cy on cy.id = b join dg x on x.a = un.a join dg y on y.a = un.b cross join (select count(*)::double m2 from un) m where cx.c = cy.c", CALLS + ", un as (select src a, dst b from ce union all select dst, src from ce), dg as (select a, count(*) k from un group by 1), own as (select id, team_owner c from nodes)")
@@ -484,7 +484,14 @@ def _(n, e):
     return n.where("team_owner is not null").select("id", F.concat(F.lit("Team_"), F.lower(F.replace("team_owner", F.lit("#"), F.lit("-")))).alias("team"))
 
 
-@on_graph("community_summary")
+@on_graph(
+    "community_summary",
+    "select tenant_id, community_id, concat(parts, ': ', names, case when n > 10 then concat(', and ', (n - 10)::varchar, ' more') else '' end) summary from "
+    "(select tenant_id, community_id, string_agg(concat(k::varchar, ' ', label, case when k > 1 then 's' else '' end), ', ' order by concat(k::varchar, ' ', label, case when k > 1 then 's' else '' end)) parts, sum(k)::bigint n "
+    "from (select tenant_id, community_id, label, count(*) k from m group by all) group by 1, 2) join "
+    "(select tenant_id, community_id, string_agg(name, ', ' order by name) names from (select *, row_number() over (partition by tenant_id, community_id order by name) r from m) where r <= 10 group by 1, 2) using (tenant_id, community_id)",
+    "m as (select tenant_id, coalesce(team_owner, 'unassigned') community_id, label, name from nodes)",
+)
 def _(n, e):
     return context.community_summary(n.select("tenant_id", F.col("team_owner").alias("community_id"), "label", "name"))
 

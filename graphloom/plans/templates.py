@@ -64,13 +64,14 @@ def acl_single_hop(nodes, edges, tenant: str, source: str, rel: str, acl: list[s
     return P.hop(n, e, [rel]).where(F.col("s_id") == source).select(F.col("t_id").alias("id"), F.col("t_name").alias("name"), F.col("t_label").alias("label")).orderBy("id").limit(limit)
 
 
-def acl_multi_hop(nodes, edges, tenant: str, source: str, acl: list[str], depth: int = 3, limit: int = 10, admin: bool = False) -> DataFrame:
+def acl_multi_hop(nodes, edges, tenant: str, source: str, acl: list[str], depth: int = 3, limit: int | None = 10, admin: bool = False) -> DataFrame:
     """(name, hops), one row for each path of calls whose nodes are all visible."""
     n, e = P.tenant_view(nodes, edges, tenant, acl, admin)
     seen = n.select(F.col("id"))
     e = P.live(e).where("rel = 'CALLS'").join(seen.withColumnRenamed("id", "src"), "src", "left_semi").join(seen.withColumnRenamed("id", "dst"), "dst", "left_semi")
     p = P.paths(n.where(F.col("id") == source), e.withColumn("eid", F.xxhash64("src", "rel", "dst")), 1, min(depth, 5))
-    return p.join(n.select("id", "name"), "id").select("name", "hops").orderBy("hops", "name").limit(limit)
+    out = p.join(n.select("id", "name"), "id").select("name", "hops").orderBy("hops", "name")
+    return out if limit is None else out.limit(limit)
 
 
 def backpressure(nodes, edges, tenant: str) -> DataFrame:

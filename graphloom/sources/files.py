@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import service_id
 
+# Labels that name a team, in order of precedence.
+TEAM_LABELS = ("graphrag.io/team-owner", "team", "owner", "app.kubernetes.io/managed-by")
 # Folders that are never read, and endings that are.
 EXCLUDED = [".git", ".venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".tox", ".eggs", "venv"]
 ENDINGS = [".go", ".py", ".yaml", ".yml"]
@@ -34,11 +36,11 @@ def eligible(files: DataFrame) -> DataFrame:
 
 def decode_request(rows: DataFrame, cap: int = 104_857_600) -> DataFrame:
     """path, content, error from base64 content: bad base64, bad UTF-8, or beyond the cumulative cap in order of pos."""
-    from pyspark.sql import Window
+    from graphloom.operators.context import prefix_sums
 
     raw = F.try_to_binary("content", F.lit("base64"))
-    total = F.sum(F.coalesce(F.length("raw"), F.lit(0))).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("raw", raw).withColumn("total", total).withColumn("text", F.try_validate_utf8("raw"))
+    sized = rows.withColumn("raw", raw).withColumn("size", F.coalesce(F.length("raw"), F.lit(0)).cast("long"))
+    out = prefix_sums(sized, ("pos",), "size", "total").withColumn("text", F.try_validate_utf8("raw"))
     error = F.when(F.col("raw").isNull(), "base64").when(F.col("text").isNull(), "utf8").when(F.col("total") > cap, "too large")
     return out.select("pos", "path", F.when(error.isNull(), F.col("text")).alias("content"), error.alias("error"))
 
@@ -87,7 +89,7 @@ def manifests(files: DataFrame) -> DataFrame:
                     meta, labels = _meta(d)
                     spec = d.get("spec") if isinstance(d.get("spec"), dict) else {}
                     name = meta.get("name")
-                    team = next((str(labels[k]) for k in ("graphrag.io/team-owner", "team", "owner", "app.kubernetes.io/managed-by") if labels.get(k)), None)
+                    team = next((str(labels[k]) for k in TEAM_LABELS if labels.get(k)), None)
                     if name and d.get("kind") == "Deployment":
                         out.append((path, "deployment", str(name), str(meta.get("namespace") or "default"), int(spec.get("replicas", 1)), None, team))
                     elif name and d.get("kind") == "KafkaTopic":

@@ -5,9 +5,11 @@ One SQL text defines the node and edge tables; Spark runs it with DataFrames bou
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.session import table
+from graphloom.session import shared_folder, table
 
 GRAPH_CTES = """
 l as (select l_orderkey, l_partkey, max(year(l_shipdate)) y, bool_and(l_returnflag = 'R') dead
@@ -54,7 +56,24 @@ def oracle(select: str, ctes: str = "") -> str:
     return "with recursive " + GRAPH_CTES.format(**{t: t for t in TABLES}) + (", " + ctes if ctes else "") + " " + select
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges)."""
+def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as a plan over the relational tables."""
     own = {t: table(spark, sf_dir, t) for t in TABLES}
     return tuple(spark.sql("with " + GRAPH_CTES + f" select * from {what}", **own) for what in ("nodes", "edges"))
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges), derived once for each application and folder: Parquet in the shared folder, partitioned by tenant.
+
+    The tables of a folder are taken not to change while an application runs.
+    """
+    plans, key = derive(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        for name, plan in zip(("nodes", "edges"), plans, strict=True):
+            plan.write.partitionBy("tenant_id").parquet(f"{folder}/{name}")
+        _written[key] = folder
+    return tuple(spark.read.schema(p.schema).parquet(f"{_written[key]}/{name}").select(p.columns) for name, p in zip(("nodes", "edges"), plans, strict=True))

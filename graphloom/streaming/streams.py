@@ -20,7 +20,7 @@ def message_key(df: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame, keys: list[str], ts: str = "ts", horizon: str = "168 hours") -> DataFrame:
-    """The first row of each key within the horizon; state is bounded by the watermark."""
+    """The first row of each key. A stream forgets a key after the horizon, which bounds its state, so a repeat that comes later passes there; a batch sees all rows and drops it."""
     if df.isStreaming:
         return df.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
     w = Window.partitionBy(*keys).orderBy(ts)
@@ -78,7 +78,7 @@ def rate_limit(df: DataFrame, key: str, limit: float = 20, seconds: float = 60,
     """The rows with `admitted`; works on batches and, with state per key, on streams."""
 
     def judge(pdf: pd.DataFrame, before: list[tuple[float, float]]) -> tuple[pd.DataFrame, list[tuple[float, float]]]:
-        pdf = pdf.sort_values(ts)
+        pdf = pdf.sort_values(ts, kind="stable")
         t = (pdf[ts].astype("int64") / 1e9 if str(pdf[ts].dtype).endswith("ns]") else pdf[ts].astype("int64") / 1e6).tolist()
         c = pdf[cost].tolist() if cost else [1.0] * len(t)
         ok = admit([x for x, _ in before] + t, [x for _, x in before] + c, limit, seconds)[len(before) :]
@@ -86,8 +86,17 @@ def rate_limit(df: DataFrame, key: str, limit: float = 20, seconds: float = 60,
         return pdf.assign(admitted=ok), kept
 
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + ", admitted boolean"
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, before = None, []
+        for pdf in batches:  # sorted by key and time; only what the last key still holds in its window is kept
+            for value, part in pdf.groupby(key, sort=False, dropna=False):
+                out, before = judge(part, before if value == own else [])
+                own = value
+                yield out
+
     if not df.isStreaming:
-        return df.groupBy(key).applyInPandas(lambda pdf: judge(pdf, [])[0], schema)
+        return df.repartition(key).sortWithinPartitions(key, ts).mapInPandas(replay, schema)
 
     def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = list(zip(*state.get, strict=True)) if state.exists else []
