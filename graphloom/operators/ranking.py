@@ -55,7 +55,7 @@ def mmr(candidates: DataFrame, lam: float = 0.7) -> DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         top = pdf["score"].max()
         norm = (pdf["score"] / top if top > 0 else pdf["score"] * 0).to_numpy()
-        sets = [set(w) for w in pdf["words"]]
+        sets = [set() if w is None else set(w) for w in pdf["words"]]
         left, done, near = list(range(len(pdf))), [], np.zeros(len(pdf))
         if len(pdf) < 3:
             done = left
