@@ -338,9 +338,14 @@ def _(n, e):
     return ranking.condense(_calls(n, e)[0], n.where((F.col("label") == "Service") & (F.col("tenant_id") == TENANT)).select("id", F.col("team_owner").alias("community")), 1)[1]
 
 
-@on_graph("connected_components", "select a id, min(z) component from walk group by 1", "pe as (select src a, dst b from edges where rel = 'PRODUCES' union select dst, src from edges where rel = 'PRODUCES'), walk(a, z) as (select a, b from pe union select walk.a, pe.b from walk join pe on walk.z = pe.a)")
+@on_graph(
+    "connected_components",
+    "select id, z component from cc",
+    "pe as (select src a, dst b from edges where tombstoned_day is null union select dst, src from edges where tombstoned_day is null), cc(id, z) using key (id) as "
+    "(select distinct a, a from pe union select n.id, min(c.z) from cc c join pe on pe.a = c.id join recurring.cc n on n.id = pe.b where c.z < n.z group by n.id)",
+)
 def _(n, e):
-    return components.connected_components(e.where("rel = 'PRODUCES'"))
+    return components.connected_components(patterns.live(e))
 
 
 @query("token_prefix_truncate", "select doc_id, source from (select *, sum(greatest(1, length(text) // 4)) over (partition by source order by doc_id) s from documents) where s <= 3000")
@@ -393,19 +398,9 @@ def _redact_sql(c: str) -> str:
     return c
 
 
-@query("secret_redact", f"select doc_id, {_redact_sql('text')} text from documents where contains(text, 'AKIA') or contains(text, 'token')")
-def _(spark, d):
-    return table(spark, d, "documents").where("contains(text, 'AKIA') or contains(text, 'token')").select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
-
-
-def redacted(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
-
-
-@query("secret_redact_all")
+@query("secret_redact", f"select doc_id, {_redact_sql('text')} text from documents")
 def _(spark, d):
-    """Every document; secret_redact and its SQL hold those with 'AKIA' or 'token' only."""
-    return redacted(table(spark, d, "documents"))
+    return table(spark, d, "documents").select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
 
 
 @query("injection_rules", "select conv_id, turn, round(" + " + ".join(f"case when regexp_matches(text, '{p}') then {w} else 0.0 end" for _, w, p in X.RULES) + ", 6)::double score from conversations")
@@ -496,12 +491,6 @@ def _(n, e):
     return context.community_summary(n.select("tenant_id", F.col("team_owner").alias("community_id"), "label", "name"))
 
 
-@on_graph("connected_components_live")
-def _(n, e):
-    """All live edges; connected_components and its SQL hold PRODUCES only."""
-    return components.connected_components(patterns.live(e))
-
-
 @on_graph("louvain")
 def _(n, e):
     return ranking.communities(patterns.live(e))

@@ -20,7 +20,7 @@ def names():
 
 
 #: Without SQL: each is held against plain Python below, or by its properties.
-PLAIN = {"secret_redact_all", "connected_components_live", "louvain", "articulation_points", "fast_rp", "node2vec_walks", "beam_expansion", "mmr", "greedy_fill", "token_batches", "injection_score", "rate_limit", "content_blocked"}
+PLAIN = {"louvain", "articulation_points", "fast_rp", "node2vec_walks", "beam_expansion", "mmr", "greedy_fill", "token_batches", "injection_score", "rate_limit", "content_blocked"}
 
 
 @pytest.fixture(scope="module")
@@ -246,7 +246,7 @@ def test_secret_redaction_returns_every_document(spark, tmp_path):
     keys = ["sk-" + "a" * 20, "AKIA" + "A" * 16, "ghp_" + "a" * 36, "ghs_" + "a" * 36, pem, pem.replace("RSA PRIVATE ", "PUBLIC ")]
     rows = [(k, f"x {t} y") for k, t in enumerate(keys)] + [(90, "plain"), (91, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["text"] for r in QUERIES["secret_redact_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["text"] for r in QUERIES["secret_redact"](spark, str(tmp_path)).collect()}
     assert got == {k: "x [REDACTED_SECRET] y" for k in range(len(keys))} | {90: "plain", 91: None}
 
 
@@ -258,7 +258,7 @@ def test_graph_analytics_read_all_live_edges(spark):
 
     live = patterns.live(graph(spark, SF)[1])
     ids = {r["src"] for r in live.select("src").union(live.select("dst")).distinct().collect()}
-    for name in ("louvain", "connected_components_live"):
+    for name in ("louvain", "connected_components"):
         assert {r["id"] for r in QUERIES[name](spark, SF).collect()} == ids
     vectors = QUERIES["fast_rp"](spark, SF).select("id", "pos").collect()
     assert {r["id"] for r in vectors} <= ids and {r["pos"] for r in vectors} == set(range(128))
