@@ -3,9 +3,10 @@
 Tokens that may be disguised (symbols or digits next to letters, letters doubled or drawn out, single letters spaced out) become character lattices, which
 Viterbi decodes under a character trigram model of the whole corpus; the restored text is then scored. Features are word beginnings
 and whole words; each has the lower bound of its share of toxic texts, and a text's evidence is their noisy-or, calibrated by a logistic curve.
+A beginning counts only if the words that have it, but for those that count by themselves, aren't mostly in clean texts.
 
-The classifier is fitted on at most `SAMPLE` labelled texts of each class, chosen by hash; near copies (equal MinHash of word pairs)
-count once. The character model counts all texts, in a table of fixed size.
+The classifier is fitted on at most `SAMPLE` labelled texts of each class, chosen by hash; near copies (connected by
+shared bands of MinHash values of word pairs) count once in each class. The character model counts all texts, in a table of fixed size.
 
 Defined results: null and empty texts have no evidence and get the curve's floor; null labels are not learnt from; repeated rows
 are scored each; texts of any length are read whole; without labelled rows the score is 0 for all; only the named columns are read, so other
@@ -15,6 +16,7 @@ columns can't clash; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import map_batches, slices, texts
+from graphloom.llm.text import U64, map_batches, mix, slices, texts
 from graphloom.session import table
 
 SAMPLE = 4000
+COPY_BANDS, COPY_ROWS = 12, 3
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "€": "e", "£": "l", "#": "h"}
 SYMBOLS = 64
@@ -158,7 +161,7 @@ def restore(text: str, model: np.ndarray, cache: dict[str, str] | None = None) -
 
 def features(word: str) -> list[str]:
     """Beginnings of 4 to 6 letters, and the word itself, marked."""
-    return [word[:k] + "-" for k in (4, 5, 6) if len(word) > k] + [word]
+    return [word[:k] + "-" for k in (4, 5, 6, 7, 8) if len(word) > k] + [word]
 
 
 def evidence(words: set[str], weight: dict[str, float], cache: dict[str, float]) -> float:
@@ -182,23 +185,40 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     return docs.select("doc_id", "text").join(few.hint("shuffle_hash"), "doc_id").select("text", "toxic")
 
 
-def sketch_of(words: list[str]) -> int:
-    return min((hash_pair(a, b) for a, b in zip(words, words[1:], strict=False)), default=0)
+def copy_keys(words: list[str]) -> list[int]:
+    """COPY_BANDS keys of COPY_ROWS MinHash values of word pairs each; near copies share at least one."""
+    joined = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or [" ".join(words)]
+    pairs = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in set(joined)], U64)
+    with np.errstate(over="ignore"):
+        values = [int(mix(pairs + U64(k << 32)).min()) for k in range(COPY_BANDS * COPY_ROWS)]
+    return [hash((k, *values[k * COPY_ROWS : (k + 1) * COPY_ROWS])) for k in range(COPY_BANDS)]
 
 
-def hash_pair(a: str, b: str) -> int:
-    import zlib
+def near_copies(docs: list[list[str]]) -> list[int]:
+    """For each text the first of those that it is connected to by shared keys."""
+    label, first = list(range(len(docs))), {}
 
-    return zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) * 2654435761 % (1 << 32)
+    def root(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    for k, words in enumerate(docs):
+        for key in copy_keys(words):
+            a, b = root(first.setdefault(key, k)), root(k)
+            label[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(docs))]
 
 
 def fit(rows: list[tuple[str, int]], model: np.ndarray) -> dict:
     """Feature weights and the curve, from (text, toxic) rows."""
     seen: dict[tuple[int, int], set[str]] = {}
     readings: dict[str, str] = {}
-    for text, toxic in sorted((t or "", y) for t, y in rows):
-        found = WORD.findall(restore(text, model, readings))
-        seen.setdefault((sketch_of(found), toxic), set(found))
+    rows = sorted((t or "", y) for t, y in rows)
+    found = [WORD.findall(restore(text, model, readings)) for text, _ in rows]
+    for group, words, (_, toxic) in zip(near_copies(found), found, rows, strict=True):
+        seen.setdefault((group, toxic), set(words))
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for (_, toxic), words in seen.items():
         for f in {f for w in words for f in features(w)}:
@@ -215,6 +235,14 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> dict:
         low = (share + z * z / (2 * k) - z * np.sqrt(share * (1 - share) / k + z * z / (4 * k * k))) / (1 + z * z / k)
         if toxic >= 3 and low > max(0.5, prior + 0.4 * (1 - prior)):
             weight[f] = float(-np.log(1 - min(low, 0.999)))
+    # A beginning may have all its evidence from a toxic word; where its other words are mostly clean, only that word counts.
+    apart: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for (_, toxic), words in seen.items():
+        for f in {f for w in words if w not in weight for f in features(w)[:-1] if f in weight}:
+            apart[f][toxic] += 1
+    for f, (clean, toxic) in apart.items():
+        if clean > toxic:
+            del weight[f]
     if not weight:
         return {"weight": {}, "curve": (float(np.log(min(prior, 0.49) / (1 - min(prior, 0.49)))), 0.0)}
     cache: dict[str, float] = {}
