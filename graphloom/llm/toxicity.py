@@ -15,9 +15,11 @@ columns can't clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -134,29 +136,64 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(out[::-1])
 
 
+def reading(token: str, model: np.ndarray) -> str:
+    """A token as it is, or decoded if it may be disguised."""
+    if not DISGUISED.search(token):
+        return token
+    return decode(token, model) if SIGNED.search(token) else LETTER_RUN.sub(lambda w: decode(w[0], model), token)
+
+
+def _together(low: str) -> str:
+    """Lower-case text with single letters that stand apart joined."""
+    return SPACED.sub(lambda m: m[0][0] + re.sub(r"[ .*_-]+", "", m[0][1:]), low) if DISGUISED.search(low) else low
+
+
 def restore(text: str, model: np.ndarray, cache: dict[str, str] | None = None) -> str:
     """Lower-case text with disguised tokens decoded; other tokens stay. The cache holds readings of short tokens under this model."""
     low = text.lower()
     if not DISGUISED.search(low):
         return low
     cache = {} if cache is None else cache
-    low = SPACED.sub(lambda m: m[0][0] + re.sub(r"[ .*_-]+", "", m[0][1:]), low)
 
     def read(m: re.Match) -> str:
         token = m[0]
         out = cache.get(token)
         if out is None:
-            if SIGNED.search(token):
-                out = decode(token, model)
-            else:
-                out = LETTER_RUN.sub(lambda w: decode(w[0], model), token) if DISGUISED.search(token) else token
+            out = reading(token, model)
             if len(token) <= 40:
                 if len(cache) > SEEN_HELD:
                     cache.clear()
                 cache[token] = out
         return out
 
-    return TOKEN.sub(read, low)
+    return TOKEN.sub(read, _together(low))
+
+
+class Reader:
+    """The different words of restored texts; each different token is read once while it is held."""
+
+    def __init__(self, model: np.ndarray) -> None:
+        self.model, self.words, self.decoded = model, {}, set()
+
+    def __call__(self, text: str) -> tuple[set[str], bool]:
+        """The words that WORD finds in restore(text), and whether that differs from the lower-case text."""
+        low = text.lower()
+        clear = _together(low)
+        tokens = set(clear.split())
+        if len(self.words) > SEEN_HELD:
+            self.words, self.decoded = {}, set()
+        long = []
+        for t in tokens.difference(self.words):
+            r = reading(t, self.model)
+            if len(t) > 40:
+                long.append((t, r))
+                continue
+            self.words[t] = WORD.findall(r)
+            if r != t:
+                self.decoded.add(t)
+        tokens.difference_update(t for t, _ in long)
+        words = set().union(*map(self.words.__getitem__, tokens), *(WORD.findall(r) for _, r in long))
+        return words, clear != low or not self.decoded.isdisjoint(tokens) or any(t != r for t, r in long)
 
 
 def features(word: str) -> list[str]:
@@ -166,15 +203,11 @@ def features(word: str) -> list[str]:
 
 def evidence(words: set[str], weight: dict[str, float], cache: dict[str, float]) -> float:
     """Minus the log of the chance that no word is toxic."""
-    total = 0.0
-    for w in words:
-        v = cache.get(w)
-        if v is None:
-            if len(cache) > SEEN_HELD:
-                cache.clear()
-            v = cache[w] = max((weight.get(f, 0.0) for f in features(w)), default=0.0)
-        total += v
-    return total
+    if len(cache) > SEEN_HELD:
+        cache.clear()
+    for w in words.difference(cache):
+        cache[w] = max(map(weight.get, features(w), repeat(0.0)))
+    return math.fsum(map(cache.__getitem__, words))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
@@ -265,17 +298,17 @@ def score(docs: DataFrame, model: np.ndarray, fitted: dict, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast((model, fitted))  # a fixed table, and the features of a bounded sample
     kind = docs.schema[id_col].dataType.simpleString()
     cache: dict[str, float] = {}
-    readings: dict[str, str] = {}
+    held: dict[str, Reader] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         chars, own = shared.value
+        read = held.setdefault("it", Reader(chars))
         a, b = own["curve"]
         scores, changed = [], []
         for text in texts(batch):
-            clear = restore(text, chars, readings)
-            e = evidence(set(WORD.findall(clear)), own["weight"], cache)
-            scores.append(1 / (1 + np.exp(-np.clip(a + b * e, -30, 30))))
-            changed.append(clear != text.lower())
+            words, decoded = read(text)
+            scores.append(1 / (1 + np.exp(-np.clip(a + b * evidence(words, own["weight"], cache), -30, 30))))
+            changed.append(decoded)
         return pa.RecordBatch.from_pydict({id_col: batch.column(0), "restored_changed": pa.array(changed, pa.bool_()), "score": pa.array(scores, pa.float64())})
 
     return map_batches(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"`{id_col}` {kind}, restored_changed boolean, score double")

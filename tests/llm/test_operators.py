@@ -203,6 +203,16 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, model, toxicity.fit([], model)).where("score > 0.01").count() == 0
 
 
+def test_toxicity_reader_finds_the_words_of_the_restored_text():
+    r = np.random.default_rng(7)
+    model = toxicity.char_model(r.integers(0, 50, toxicity.SYMBOLS**3))
+    read, signs = toxicity.Reader(model), list("abcilos013$!é  .-\n") + ["LL", "i d i o t", "x" * 50 + "1d10t", "\x1c", "\u2003"]
+    for _ in range(400):
+        text = "".join(signs[k] for k in r.integers(0, len(signs), r.integers(0, 60)))
+        clear = toxicity.restore(text, model)
+        assert read(text) == (set(toxicity.WORD.findall(clear)), clear != text.lower()), text
+
+
 def test_toxicity_reads_signs_at_ends_doubles_and_wide_spacing(spark):
     plain = "the loser is an idiot and stupid with hate in a book of good will " * 50
     model = toxicity.char_model(toxicity.char_counts(spark.createDataFrame([(plain,)], "text string")))
