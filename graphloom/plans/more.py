@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import commit, extraction, firewall, mutations, patterns
+from graphloom.operators import cache, commit, extraction, firewall, mutations, patterns
 from graphloom.plans import retrieval
 from graphloom.plans.queries import ENDS, KNN, LIVE, ORACLE_SQL, QUERIES, QUESTIONS, TENANT, WORDS, _case, busiest, on_graph, query
 from graphloom.session import table
@@ -283,3 +283,18 @@ def _(spark, d):
 )
 def _(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", extraction.shortened(F.col("text"), 80).alias("text"))
+
+
+@query(
+    "semantic_lookup",
+    "select vec_id, case when b1 >= coalesce(greatest(0.85, least(0.98, 0.92 + 0.15 * (0.5 - (b1 - b2)))), 0.92) then key end key, round(b1, 6) similarity from "
+    "(select vec_id, max(case when k = 1 then key end) key, max(case when k = 1 then s end) b1, max(case when k = 2 then s end) b2 from r group by 1)",
+    "live as (select * from embeddings where vec_id + 300 >= 400 order by vec_id desc limit 1024), "
+    "s as (select a.vec_id, b.vec_id key, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) s from embeddings a left join live b on a.label = b.label), "
+    "r as (select *, row_number() over (partition by vec_id order by s desc, key) k from s)",
+)
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    entries = v.select(F.col("vec_id").alias("key"), "label", "embedding", (F.col("vec_id") + 300).alias("expires_at"), F.col("vec_id").alias("used_at"))
+    out = cache.lookup(v.select("vec_id", "label", "embedding"), cache.kept(entries, F.lit(400)), ["label"], adaptive=True)
+    return out.select("vec_id", "key", F.round("similarity", 6).alias("similarity"))

@@ -160,3 +160,20 @@ def test_outbox_claims_and_routes(spark):
     assert outbox.route(True, "reject") == "stream" and outbox.route(False) == "memory"
     with pytest.raises(RuntimeError):
         outbox.route(False, "reject")
+
+
+def test_cache_lookup_stays_in_scope_and_bound(spark):
+    from graphloom.operators import cache
+
+    schema = "key long, tenant string, acl string, embedding array<double>, expires_at long, used_at long"
+    entries = spark.createDataFrame([(1, "a", "x", [1.0, 0.0], 9, 1), (2, "a", "x", [1.0, 0.0], 9, 2), (3, "b", "x", [0.0, 1.0], 9, 3), (4, "a", "x", [0.0, 1.0], 1, 4), (5, "a", "x", None, 9, 5)], schema)
+    asked = spark.createDataFrame([(1, "a", "x", [1.0, 0.1], 7), (2, "a", "x", [0.0, 1.0], 7), (3, "b", "x", [0.0, 2.0], 7), (4, "c", "x", [1.0, 0.0], 7), (5, None, "x", [1.0, 0.0], 7), (6, "a", "x", None, 7), (6, "a", "x", None, 7)], "id long, tenant string, acl string, embedding array<double>, key0 long")
+    live = cache.kept(entries, F.lit(2))
+    assert [r["key"] for r in live.collect()] == [5, 3, 2, 1] and [r["key"] for r in cache.kept(entries, F.lit(2), 2).collect()] == [5, 3]
+    got = sorted((r["id"], r["key"], r["similarity"] is None) for r in cache.lookup(asked, live, ["tenant", "acl"]).collect() if r["id"] < 6)
+    assert got == [(1, 1, False), (2, None, False), (3, 3, False), (4, None, True), (5, None, True)]
+    wide = cache.lookup(asked, live, ["tenant", "acl"], adaptive=True).where("id in (1, 6)").collect()
+    assert sorted(str(r["key"]) for r in wide) == ["1", "None", "None"]  # best and second best are alike, so the threshold is 0.98 at most
+    assert cache.lookup(asked, live.limit(0), ["tenant", "acl"]).where("key is not null").count() == 0
+    with pytest.raises(ValueError):
+        cache.lookup(asked, live, ["tenant", "acl"], capacity=2)
