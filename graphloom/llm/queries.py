@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, decontam, langid, ngram_join, pii, secrets, substring, topk, toxicity, urls
+from graphloom.llm import bpe, centroids, codes, decontam, langid, ngram_join, pii, secrets, substring, topk, toxicity, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_bpe,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_url_filters": urls.op8_urls,
     "op9_substring_dedup": substring.op9_substring,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_join,
+    "op11_centroid_clustering": centroids.op11_centroids,
+    "op13_vector_codes": codes.op13_codes,
     "secret_ledger_history": secrets.blob_history,
 }
 
@@ -23,5 +25,7 @@ ORACLE_SQL = {
     "op5_benchmark_decontamination": decontam.OP5_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
+    "op11_centroid_clustering": centroids.OP11_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
     "secret_ledger_history": secrets.BLOB_HISTORY_SQL,
 }
