@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, centroids, codes, decontam, langid, ngram_join, pii, secrets, substring, topk, toxicity, urls
+from graphloom.llm import bpe, centroids, codes, decontam, htmltext, langid, ngram_join, pii, secrets, substring, topk, toxicity, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_join,
     "op11_centroid_clustering": centroids.op11_centroids,
+    "op12_html_extraction": htmltext.op12_html,
     "op13_vector_codes": codes.op13_codes,
     "secret_ledger_history": secrets.blob_history,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_ngram_jaccard_join": ngram_join.OP10_SQL,
     "op11_centroid_clustering": centroids.OP11_SQL,
+    "op12_html_extraction": htmltext.OP12_SQL,
     "op13_vector_codes": codes.OP13_SQL,
     "secret_ledger_history": secrets.BLOB_HISTORY_SQL,
 }
