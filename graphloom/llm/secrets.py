@@ -63,11 +63,14 @@ def address(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def stored(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame | None:
-    """The ledger's rows of one rule version (a partition of the Parquet folder), or None before the first increment."""
+    """The ledger's rows of one rule version (a partition of the Parquet folder), or None before the first increment.
+
+    One row for each blob, though a scan was appended twice or increments overlapped: scans of a blob by the same rules are equal.
+    """
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         return None
-    return spark.read.schema(f"blob string, base {FINDINGS}, added {FINDINGS}, rule_version string").parquet(path).where(F.col("rule_version") == rule_version)
+    return spark.read.schema(f"blob string, base {FINDINGS}, added {FINDINGS}, rule_version string").parquet(path).where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
 
 def append(path: str, found: DataFrame) -> None:

@@ -351,3 +351,13 @@ def test_word_hashes_depend_on_words_only():
     a, at, _ = text.words(pa.array(["one  two\nthree", None, "", "three one"]))
     assert at.tolist() == [0, 3, 3, 3, 5] and a[0] == a[4] and a[2] == a[3] and a[0] != a[1]
     assert hashlib  # the digests of the queries come from Spark's sha2
+
+
+def test_a_scan_appended_twice_counts_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdefabcdef0123"), (2, "token = abcdefabcdef0123"), (3, None)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    found = secrets.scan_new(docs)
+    secrets.append(path, found)
+    secrets.append(path, found)
+    once = secrets.findings_by_path(docs, secrets.stored(spark, path)).collect()
+    assert sorted(r["doc_id"] for r in once) == [1, 2, 3] and secrets.unseen(secrets.address(docs).select("doc_id", "blob"), secrets.stored(spark, path), secrets.RULE_VERSION).count() == 0
