@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,38 +41,38 @@ def byte_cap(files: DataFrame, cap: int = 104_857_600) -> tuple[DataFrame, DataF
 
 
 def greedy_fill(rows: DataFrame, budget: int) -> DataFrame:
-    """(group, pos): in order, rows that still fit; those that don't are skipped and later ones may fit."""
+    """(group, pos): in order, rows that still fit; those that don't are skipped and later ones may fit. Null is a group like others, a null cost is 0."""
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, left = None, budget
-        for pdf in batches:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, left = object(), budget
+        for b in batches:
             keep = []
-            for k, (g, c) in enumerate(zip(pdf["group"], pdf["cost"], strict=True)):
-                if k == 0 and own is None or g != own:
+            for k, (g, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if g != own:
                     own, left = g, budget
                 if c <= left:
                     left -= c
                     keep.append(k)
-            yield pdf.iloc[keep][["group", "pos"]]
+            yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return _in_order(rows.where(F.col("cost") <= budget), fill, "")
+    return _in_order(rows, fill, "")
 
 
 def token_batches(rows: DataFrame, budget: int) -> DataFrame:
-    """(group, pos, batch): in order; a row that would overflow a batch that isn't empty opens the next."""
+    """(group, pos, batch): in order; a row that would overflow a batch that isn't empty opens the next. Null is a group like others, a null cost is 0."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, used, batch = None, 0, 0
-        for pdf in batches:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, used, batch = object(), 0, 0
+        for b in batches:
             out = []
-            for k, (g, c) in enumerate(zip(pdf["group"], pdf["cost"], strict=True)):
-                if k == 0 and own is None or g != own:
+            for g, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if g != own:
                     own, used, batch = g, 0, 0
                 if used and used + c > budget:
                     batch, used = batch + 1, 0
                 used += c
                 out.append(batch)
-            yield pdf[["group", "pos"]].assign(batch=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], ["group", "pos", "batch"])
 
     return _in_order(rows, split, ", batch int")
 
@@ -79,8 +80,8 @@ def token_batches(rows: DataFrame, budget: int) -> DataFrame:
 def _in_order(rows: DataFrame, run, more: str) -> DataFrame:
     """A pass over each group in order of pos; a group is streamed, never held, and only three columns of it travel."""
     kind = dict(rows.dtypes)
-    dealt = rows.where("group is not null").select("group", "pos", "cost").repartition("group").sortWithinPartitions("group", "pos")
-    return dealt.mapInPandas(run, f"group {kind['group']}, pos {kind['pos']}" + more)
+    dealt = rows.select("group", "pos", F.coalesce("cost", F.lit(0)).alias("cost")).repartition("group").sortWithinPartitions("group", "pos")
+    return dealt.mapInArrow(run, f"group {kind['group']}, pos {kind['pos']}" + more)
 
 
 def truncate(rows: DataFrame, budget: int = 32_000, top: int = 50, share: float = 0.95) -> DataFrame:

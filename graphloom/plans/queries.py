@@ -524,16 +524,32 @@ def _(spark, d):
     return ranking.mmr(rows.join(words, "id").withColumn("query_id", F.lit(1)))
 
 
-@query("greedy_fill")
+#: One source has no name, so that a group without a key takes part too.
+COSTS = "d as (select nullif(source, 'src1') g, doc_id pos, case when coalesce(text, '') = '' then 0 else greatest(1, length(text) // 4) end cost, row_number() over (partition by nullif(source, 'src1') order by doc_id) n from documents)"
+
+
+def _costs(spark, d):
+    return table(spark, d, "documents").select(F.expr("nullif(source, 'src1')").alias("group"), F.col("doc_id").alias("pos"), S.count_tokens(F.col("text")).alias("cost"))
+
+
+@query(
+    "greedy_fill",
+    "select g \"group\", pos from r where fits",
+    "recursive " + COSTS + ", r as (select g, pos, n, cost <= 3000 fits, case when cost <= 3000 then 3000 - cost else 3000 end free from d where n = 1 "
+    "union all select d.g, d.pos, d.n, cost <= free, case when cost <= free then free - cost else free end from r join d on d.g is not distinct from r.g and d.n = r.n + 1)",
+)
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("pos"), S.count_tokens(F.col("text")).alias("cost"))
-    return context.greedy_fill(rows, 3000)
+    return context.greedy_fill(_costs(spark, d), 3000)
 
 
-@query("token_batches")
+@query(
+    "token_batches",
+    "select g \"group\", pos, batch from r",
+    "recursive " + COSTS + ", r as (select g, pos, n, cost used, 0 batch from d where n = 1 "
+    "union all select d.g, d.pos, d.n, case when used > 0 and used + cost > 3000 then cost else used + cost end, batch + (used > 0 and used + cost > 3000)::int from r join d on d.g is not distinct from r.g and d.n = r.n + 1)",
+)
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("pos"), S.count_tokens(F.col("text")).alias("cost"))
-    return context.token_batches(rows, 3000)
+    return context.token_batches(_costs(spark, d), 3000)
 
 
 @query("injection_score")
@@ -541,6 +557,12 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(X.injection_score(F.col("text")), 6).alias("score"))
 
 
-@query("rate_limit")
+@query(
+    "rate_limit",
+    "select event_id, u user_id, ts, admitted from r",
+    "recursive d as (select event_id, nullif(user_id, 7) u, ts, epoch(ts) t, row_number() over (partition by nullif(user_id, 7) order by ts, event_id) n from events), "
+    "r as (select event_id, u, ts, n, true admitted, [t] kept from d where n = 1 union all select event_id, u, ts, n, len(near) < 2, case when len(near) < 2 then list_append(near, t) else near end "
+    "from (select d.*, list_filter(r.kept, lambda x: x > d.t - 3600) near from r join d on d.u is not distinct from r.u and d.n = r.n + 1))",
+)
 def _(spark, d):
-    return streams.rate_limit(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", 2, 3600)
+    return streams.rate_limit(table(spark, d, "events").selectExpr("event_id", "nullif(user_id, 7) user_id", "ts"), "user_id", 2, 3600)

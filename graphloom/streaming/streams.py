@@ -75,7 +75,7 @@ def admit(times: list[float], costs: list[float], limit: float, seconds: float)
 
 
 def rate_limit(df: DataFrame, key: str, limit: float = 20, seconds: float = 60, ts: str = "ts", cost: str | None = None) -> DataFrame:
-    """The rows with `admitted`; works on batches and, with state per key, on streams."""
+    """The rows with `admitted`; works on batches and, with state per key, on streams. Null is a key like others."""
 
     def judge(pdf: pd.DataFrame, before: list[tuple[float, float]]) -> tuple[pd.DataFrame, list[tuple[float, float]]]:
         pdf = pdf.sort_values(ts, kind="stable")
@@ -88,9 +88,10 @@ def rate_limit(df: DataFrame, key: str, limit: float = 20, seconds: float = 60,
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + ", admitted boolean"
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, before = None, []
+        own, before = object(), []
         for pdf in batches:  # sorted by key and time; only what the last key still holds in its window is kept
             for value, part in pdf.groupby(key, sort=False, dropna=False):
+                value = None if pd.isna(value) else value
                 out, before = judge(part, before if value == own else [])
                 own = value
                 yield out

@@ -177,3 +177,19 @@ def test_cache_lookup_stays_in_scope_and_bound(spark):
     assert cache.lookup(asked, live.limit(0), ["tenant", "acl"]).where("key is not null").count() == 0
     with pytest.raises(ValueError):
         cache.lookup(asked, live, ["tenant", "acl"], capacity=2)
+
+
+def test_null_groups_and_keys_are_kept_across_arrow_batches(spark):
+    from graphloom.operators import context
+    from graphloom.streaming import streams
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        r = spark.createDataFrame([(None, 1, 3), (None, 2, None), ("a", 1, 3), ("a", 2, 8)], "group string, pos int, cost int")
+        assert {(x["group"], x["pos"]) for x in context.greedy_fill(r, 9).collect()} == {(None, 1), (None, 2), ("a", 1)}
+        assert {tuple(x) for x in context.token_batches(r, 9).collect()} == {(None, 1, 0), (None, 2, 0), ("a", 1, 0), ("a", 2, 1)}
+        events = spark.createDataFrame([(k, key, k) for key in (None, 4, 5) for k in range(20)], "event int, key long, at long").withColumn("at", F.col("at").cast("timestamp"))
+        out = streams.rate_limit(events, "key", 2, 60, ts="at").where("admitted").groupBy("key").count().collect()
+        assert {x["key"]: x["count"] for x in out} == {None: 2, 4: 2, 5: 2}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
