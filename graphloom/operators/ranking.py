@@ -240,29 +240,6 @@ def fast_rp(edges: DataFrame, dims: int = 128, weights: tuple[float, ...] = (0.0
     return out.groupBy("id", "pos").agg(F.sum("x").alias("value"))
 
 
-def random_walks(edges: DataFrame, length: int = 80, per_node: int = 10, p: float = 1.0, q: float = 0.5, seed: int = 0) -> DataFrame:
-    """(id, walk_no, walk): second-order biased walks, one join a step; choices are hashes, so runs repeat exactly."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
-    both = cut_lineage(both)
-    near = both.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
-    w = near.select(F.col("a").alias("id"), F.col("a").alias("at")).withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
-    w = w.select("id", "walk_no", "at", F.lit(None).cast("array<string>").alias("last_near"), F.lit(None).cast(dict(both.dtypes)["a"]).alias("last"), F.array("at").alias("walk"))
-    for k in range(length - 1):
-        j = w.join(near, w["at"] == near["a"])
-        weight = F.transform("near", lambda x: F.when(x == F.col("last"), 1 / p).when(F.array_contains("last_near", x), 1.0).when(F.col("last").isNull(), 1.0).otherwise(1 / q))  # noqa: B023
-        u = F.pmod(F.xxhash64("id", "walk_no", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        total = F.aggregate(weight, F.lit(0.0), lambda s, x: s + x)
-        pick = F.aggregate(
-            F.arrays_zip(F.col("near").alias("n"), weight.alias("w")),
-            F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("v")),
-            lambda s, x: F.struct((s["s"] + x["w"]).alias("s"), F.when(s["v"].isNull() & (s["s"] + x["w"] > u * total), x["n"]).otherwise(s["v"]).alias("v")),  # noqa: B023
-        )["v"]
-        w = j.select("id", "walk_no", pick.alias("nxt"), "near", "at", "walk").select("id", "walk_no", F.col("nxt").alias("at"), F.col("near").alias("last_near"), F.col("at").alias("last"), F.concat("walk", F.array("nxt")).alias("walk"))
-        if k % 8 == 7:
-            w = cut_lineage(w)
-    return w.select("id", "walk_no", "walk")
-
-
 def knn(vectors: DataFrame, query: list[float], k: int = 10, tenant: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, score) of the k nearest by cosine; native, one pass, limited in each task before the merge."""
     rows = vectors if tenant is None else vectors.where(F.col("tenant_id") == tenant)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.functions import text as X
-from graphloom.operators import components, context, evaluate, mutations, patterns, ranking
+from graphloom.operators import components, context, evaluate, mutations, patterns, ranking, walks
 from graphloom.plans import templates as T
 from graphloom.session import table
 from graphloom.sources import files
@@ -508,7 +508,13 @@ def _(n, e):
 
 @on_graph("node2vec_walks")
 def _(n, e):
-    return ranking.random_walks(patterns.live(e))
+    return walks.random_walks(patterns.live(e))
+
+
+@on_graph("node2vec_embedding")
+def _(n, e):
+    out = walks.hash_embedding(walks.random_walks(patterns.live(e)))
+    return out.select("id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 
 @on_graph("beam_expansion")

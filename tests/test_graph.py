@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import components, context, evaluate, governance, mutations, patterns, ranking
+from graphloom.operators import components, context, evaluate, governance, mutations, patterns, ranking, walks
 from graphloom.functions import scalars as S
 from graphloom.functions import text as X
 
@@ -99,7 +99,7 @@ def test_rrf_and_mmr(spark):
 def test_walks_stay_on_edges(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     both = {(r[0], r[1]) for r in e.collect()} | {(r[1], r[0]) for r in e.collect()}
-    for r in ranking.random_walks(e, 6, 2).collect():
+    for r in walks.random_walks(e, 6, 2).collect():
         assert len(r["walk"]) == 6 and all(x in both for x in zip(r["walk"], r["walk"][1:]))
 
 

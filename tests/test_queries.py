@@ -10,9 +10,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def registry():
-    from graphloom.plans import catalogue, more
+    from graphloom.plans import catalogue, indexed
 
-    return catalogue.QUERIES | more.QUERIES, catalogue.ORACLE_SQL | more.ORACLE_SQL
+    return catalogue.QUERIES | indexed.QUERIES, catalogue.ORACLE_SQL | indexed.ORACLE_SQL
 
 
 def names():
@@ -20,7 +20,7 @@ def names():
 
 
 #: Without SQL: each is held against plain Python below, or by its properties.
-PLAIN = {"louvain", "articulation_points", "fast_rp", "node2vec_walks", "beam_expansion", "mmr", "injection_score", "content_blocked"}
+PLAIN = {"louvain", "articulation_points", "fast_rp", "node2vec_walks", "node2vec_embedding", "beam_expansion", "mmr", "injection_score", "content_blocked"}
 
 
 @pytest.fixture(scope="module")
