@@ -1,13 +1,11 @@
-"""Commits of a topology to tables, with their checks, outboxes and side tables. A new state is a new folder; a marker makes it current."""
+"""Commits of a topology to versioned tables, with their checks, outboxes and side tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import mutations
+from graphloom.operators import snapshots
 from graphloom.operators.context import prefix_sums
 
 # Labels and relationship types of the ontology, what a relationship joins, and the signs that no reference may hold.
@@ -67,32 +65,37 @@ def topology_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.union(edges.where(~F.coalesce(known, F.lit(False))).select(F.concat(F.lit("Unknown entity type: "), F.coalesce("rel", F.lit("null"))).alias("error")).distinct())
 
 
-def commit_topology(spark: SparkSession, folder: str, nodes: DataFrame, edges: DataFrame, outbox: DataFrame | None = None, hot: int = 10) -> str:
-    """Writes nodes, then regular edges, then edges of hot targets, and the outbox events of the same batch if given; returns the version.
-
-    Types outside the ontology raise before anything is written. The marker `current` is written last, so readers see whole commits only.
-    """
+def checked(nodes: DataFrame, edges: DataFrame) -> None:
+    """Raises on types outside the ontology."""
     for rows, column, known in ((nodes, "label", (*NODE_LABELS, "MacroNode")), (edges, "rel", (*EDGE_ENDS, "READS_FROM", "WRITES_TO"))):
         bad = [r[0] for r in unknown_types(rows, column, known).limit(5).collect()]
         if bad:
             raise TypeError(f"unknown types {bad}")
-    if nodes.isEmpty() and edges.isEmpty():
-        return ""
-    version = uuid.uuid4().hex
-    at = f"{folder}/{version}"
-    nodes.withColumn("content_hash", content_hash(nodes.columns)).write.parquet(f"{at}/nodes")
-    regular, busy = mutations.split_hot(edges, hot)
-    regular.write.parquet(f"{at}/edges")
-    busy.write.mode("append").parquet(f"{at}/edges")
-    if outbox is not None:
-        outbox.withColumn("batch", F.lit(version)).write.parquet(f"{at}/outbox")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-    return version
+
+
+def topology_tables(nodes: DataFrame, edges: DataFrame) -> dict:
+    """Tables for snapshots.commit: nodes first, then the edges whose ends are among the nodes as merged."""
+
+    def joined(tables: dict) -> tuple[DataFrame, list[str]]:
+        rows = edges
+        for end in ("src", "dst"):
+            rows = snapshots.present(edges.sparkSession, tables.get("nodes"), rows, {"tenant_id": "tenant_id", "id": end})
+        return rows, ["tenant_id", "src", "rel", "dst"]
+
+    return {"nodes": (nodes, ["tenant_id", "id"]), "edges": joined}
+
+
+def commit_topology(spark: SparkSession, folder: str, nodes: DataFrame, edges: DataFrame, outbox: DataFrame | None = None, app: str = "", number: int | None = None) -> int:
+    """Merges nodes, then edges, and the outbox events of the same batch if given, in one commit; returns the version.
+
+    Types outside the ontology raise before anything is written; edges without both nodes are left out; rows of unchanged content are left alone.
+    """
+    checked(nodes, edges)
+    return snapshots.commit(spark, folder, topology_tables(nodes, edges), outbox, app, number)
 
 
 def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/current").first()[0]
-    return spark.read.parquet(f"{folder}/{version}/{name}")
+    return snapshots.read(spark, folder, name)
 
 
 def durable_sink(publish, commit):

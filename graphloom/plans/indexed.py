@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import search_index, vector_index
+from graphloom.operators import commit, search_index, snapshots, vector_index
 from graphloom.plans.more import ORACLE_SQL, QUERIES
 from graphloom.plans.queries import WORDS, on_graph, query
 from graphloom.session import shared_folder, table
@@ -46,3 +46,24 @@ def _(spark, d):
     vector_index.add(v, folder, "1")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return vector_index.search(asked, folder, exact=True).withColumn("score", F.round("score", 6))
+
+
+FIRST = "label in ('Service', 'KafkaTopic') and coalesce(team_owner, '') <> 'Brand#11'"
+NOW = "label <> 'Database'"
+OWNER = "case when team_owner = 'Brand#12' then 'core' else team_owner end"
+
+
+#: A first commit of some nodes and all edges among them, then one of all nodes but databases, some with another owner, and all edges: each row with
+#: the version that wrote it last.
+@on_graph(
+    "committed_topology",
+    "select 'node' kind, id, case when id in (select id from f) and coalesce(team_owner, '') <> 'Brand#12' then 1 else 2 end::bigint \"version\" from s union all "
+    "select 'edge', concat_ws('|', src, rel, dst), case when src in (select id from f) and dst in (select id from f) then 1 else 2 end from edges where src in (select id from s) and dst in (select id from s)",
+    f"f as (select * from nodes where {FIRST}), s as (select * from nodes where {NOW})",
+)
+def _(n, e):
+    spark, folder = n.sparkSession, _folder(n.sparkSession, "topology")
+    commit.commit_topology(spark, folder, n.where(FIRST), e)
+    commit.commit_topology(spark, folder, n.where(NOW).withColumn("team_owner", F.expr(OWNER)), e)
+    own = snapshots.read(spark, folder, "nodes", details=True).select(F.lit("node").alias("kind"), "id", F.col("_version").alias("version"))
+    return own.union(snapshots.read(spark, folder, "edges", details=True).select(F.lit("edge"), F.concat_ws("|", "src", "rel", "dst"), "_version"))

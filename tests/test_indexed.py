@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ranking, search_index, vector_index, walks
+from graphloom.operators import ranking, search_index, snapshots, vector_index, walks
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -124,3 +124,74 @@ def test_walk_embedding_covers_every_node(spark):
     rows = QUERIES["node2vec_embedding"](spark, SF).collect()
     assert rows and {len(r["embedding"]) for r in rows} == {128} and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 for r in rows)
     assert table(spark, SF, "part").count() <= len(rows)
+
+
+def test_a_merge_shuffles_its_own_rows_only(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("x"))
+    assert snapshots.commit(spark, folder, {"t": (rows, ["id"])}, buckets=4) == 1
+    assert snapshots.commit(spark, folder, {"t": (rows, ["id"])}, buckets=4) == 1  # nothing new
+    some = rows.where("id < 20").withColumn("x", F.when(F.col("id") < 10, F.col("x")).otherwise(99)).withColumn("_gone", F.col("id") == 19)
+    assert snapshots.commit(spark, folder, {"t": (some, ["id"])}, buckets=4) == 2
+    got = {r["id"]: (r["x"], r["_version"]) for r in snapshots.read(spark, folder, "t", details=True).collect()}
+    assert got == {k: (99, 2) if 10 <= k < 19 else (k % 7, 1) for k in range(1000) if k != 19}
+    assert snapshots.read(spark, folder, "t", version=1).count() == 1000
+    assert sorted((r["id"], r["_gone"]) for r in snapshots.changes(spark, folder, "t", 1).collect()) == [(k, k == 19) for k in range(10, 20)]
+    about = snapshots.entry(spark, folder)["tables"]["t"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = snapshots.present(spark, about, some, {"id": "id"})._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        merge = snapshots.read(spark, folder, "t")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in merge
+    many = rows.withColumn("x", F.col("x") + 1)
+    assert snapshots.commit(spark, folder, {"t": (many, ["id"])}, buckets=4) == 3 and snapshots.entry(spark, folder)["tables"]["t"]["delta"] is None
+    assert snapshots.read(spark, folder, "t").agg(F.sum("x")).first()[0] == sum(k % 7 + 1 for k in range(1000))
+
+
+def test_a_crash_at_any_step_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    folder, rows = str(tmp_path / "t"), spark.range(10).withColumn("x", F.lit(1))
+    events = spark.createDataFrame([("e",)], "event string")
+    snapshots.commit(spark, folder, {"t": (rows, ["id"])}, events)
+    for step in ("_store", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(snapshots, step, lambda *a: (_ for _ in ()).throw(OSError("crash")))
+            with pytest.raises(OSError):
+                snapshots.commit(spark, folder, {"t": (rows.withColumn("x", F.lit(2)), ["id"])}, events)
+        assert snapshots.read(spark, folder, "t").where("x = 1").count() == 10 and snapshots.outbox(spark, folder).count() == 1
+    last = snapshots.entry(spark, folder)
+    snapshots._publish(spark, folder, {**last, "version": 2})
+    with pytest.raises(Exception, match="(?i)exist"):
+        snapshots._publish(spark, folder, {**last, "version": 2})  # the other writer of version 2
+
+
+def test_a_stream_that_dies_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    from graphloom.streaming import loop
+
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for k in range(5):
+        (source / f"{k}.json").write_text("".join(f'{{"id": {10 * k + n}, "x": {n}}}\n' for n in range(10)))
+        os.utime(source / f"{k}.json", (k, k))
+    tables = lambda batch: {"t": (batch, ["id"])}
+    events = lambda batch: batch.select(F.col("id").alias("event"))
+    drain = lambda: loop.drain(loop.intake(spark, str(source), "id long, x long", files=1), folder, "app", tables, events, 300, 4)
+    real, calls = snapshots._publish, []
+
+    def dies(spark, folder, new):
+        calls.append(new["version"])
+        if len(calls) == 2:
+            raise OSError("before the commit")
+        real(spark, folder, new)
+        if len(calls) == 4:
+            raise OSError("after the commit, before the stream heard of it")
+
+    monkeypatch.setattr(snapshots, "_publish", dies)
+    for _ in range(2):
+        with pytest.raises(Exception, match="the commit"):
+            drain()
+    assert drain() and drain()
+    assert sorted(r["id"] for r in snapshots.read(spark, folder, "t").collect()) == list(range(50))
+    assert sorted(r["event"] for r in snapshots.outbox(spark, folder).collect()) == list(range(50))
+    assert calls == [1, 2, 2, 3, 4, 5]  # one file each

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import commit, context, extraction, firewall, ranking
+from graphloom.operators import commit, context, extraction, firewall, ranking, snapshots
 from graphloom.plans import retrieval
 from graphloom.sources import messages
 from graphloom.streaming import outbox
@@ -30,13 +30,16 @@ def test_prefix_sums_equal_one_window(spark):
 def test_topology_commits_are_whole(spark, g, tmp_path):
     nodes, edges = g
     folder = str(tmp_path / "graph")
-    assert commit.commit_topology(spark, folder, nodes.limit(0), edges.limit(0)) == ""
-    commit.commit_topology(spark, folder, nodes, edges, spark.createDataFrame([("e1",)], "event_id string"))
-    assert commit.current(spark, folder, "nodes").where("length(content_hash) = 64").count() == 4
-    assert commit.current(spark, folder, "edges").count() == 4 and commit.current(spark, folder, "outbox").count() == 1
+    assert commit.commit_topology(spark, folder, nodes.limit(0), edges.limit(0)) == 0
+    assert commit.commit_topology(spark, folder, nodes, edges, spark.createDataFrame([("e1",)], "event_id string")) == 1
+    assert commit.current(spark, folder, "nodes").count() == 4
+    assert commit.current(spark, folder, "edges").count() == 4 and snapshots.outbox(spark, folder).count() == 1
     with pytest.raises(TypeError):
         commit.commit_topology(spark, folder, nodes.withColumn("label", F.lit("Other")), edges)
-    assert commit.current(spark, folder, "nodes").count() == 4
+    assert commit.commit_topology(spark, folder, nodes, edges) == 1
+    lost = edges.limit(1).withColumn("dst", F.lit("nowhere"))
+    assert commit.commit_topology(spark, folder, nodes.limit(1).withColumn("name", F.lit("new")), edges.union(lost)) == 2
+    assert commit.current(spark, folder, "nodes").count() == 4 and commit.current(spark, folder, "edges").count() == 4
     bad = commit.topology_errors(nodes.where("id <> 'd'"), edges.union(edges.limit(1).withColumn("rel", F.lit("LIKES"))))
     assert sorted(r["error"] for r in bad.collect()) == ["CallsEdge references unknown target service: d"] * 2 + ["Unknown entity type: LIKES"]
 
