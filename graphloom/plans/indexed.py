@@ -10,6 +10,7 @@ from graphloom.operators import commit, search_index, snapshots, vector_index
 from graphloom.plans.more import ORACLE_SQL, QUERIES
 from graphloom.plans.queries import WORDS, on_graph, query
 from graphloom.session import shared_folder, table
+from graphloom.streaming import emissions
 
 __all__ = ["ORACLE_SQL", "QUERIES", "on_graph"]  # with those of the other modules, which share the registry
 
@@ -67,3 +68,19 @@ def _(n, e):
     commit.commit_topology(spark, folder, n.where(NOW).withColumn("team_owner", F.expr(OWNER)), e)
     own = snapshots.read(spark, folder, "nodes", details=True).select(F.lit("node").alias("kind"), "id", F.col("_version").alias("version"))
     return own.union(snapshots.read(spark, folder, "edges", details=True).select(F.lit("edge"), F.concat_ws("|", "src", "rel", "dst"), "_version"))
+
+
+#: Orders as writes of a customer's event, every fifth of them answered by an ack a day later; the window is an hour, a lease 36 hours.
+@query(
+    "outbox_emissions",
+    "select key, event_id, version, a attempt, case when a > 3 then 'dead' else 'emit' end status, ms + 3600000 + a * 129600000 at_ms from e, (select unnest(range(5))::int a) where ms + 3600000 + a * 129600000 < least(coalesce(nxt, 99999999999999), coalesce(ack, 99999999999999), 904608000000)",
+    "w0 as (select o_custkey::varchar key, o_orderkey::varchar event_id, o_orderkey version, epoch_ms(o_orderdate) ms, o_orderkey % 5 = 0 acked from orders), "
+    "w1 as (select *, max(version) over (partition by key order by ms, version, event_id rows between unbounded preceding and 1 preceding) top from w0), "
+    "e as (select *, lead(ms) over (partition by key order by ms, version, event_id) nxt, case when acked then ms + 86400000 end ack from w1 where top is null or version >= top)",
+)
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_orderkey").alias("version"))
+    acks = o.where("version % 5 = 0").select("key", (F.col("at") + F.expr("interval 1 day")).alias("at"), F.lit("ack").alias("kind"), "event_id", "version")
+    messages = o.select("key", "at", F.lit("write").alias("kind"), "event_id", "version").unionByName(acks)
+    out = emissions.emitted(messages, F.timestamp_millis(F.lit(904_608_000_000)), 3_600_000, 129_600_000, 3)
+    return out.select("key", "event_id", "version", "attempt", "status", F.unix_millis("at").alias("at_ms"))

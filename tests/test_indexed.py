@@ -195,3 +195,34 @@ def test_a_stream_that_dies_loses_and_doubles_nothing(spark, tmp_path, monkeypat
     assert sorted(r["id"] for r in snapshots.read(spark, folder, "t").collect()) == list(range(50))
     assert sorted(r["event"] for r in snapshots.outbox(spark, folder).collect()) == list(range(50))
     assert calls == [1, 2, 2, 3, 4, 5]  # one file each
+
+
+MESSAGES = [
+    ("a", 0, "write", "1", 1), ("a", 2, "write", "2", 2), ("a", 3, "write", "0", 0), ("a", 30, "ack", "2", 0), ("b", 1, "write", "3", 5), ("b", 45, "write", "4", 5), ("b", 46, "ack", "3", 0), ("c", 7, "write", "5", None),
+    ("c", 12, "ack", "5", 0), ("d", 9, "ack", "6", 0), ("d", 10, "write", "6", 1), (None, 11, "write", "7", 1), ("e", 13, "write", "8", 1), ("e", 13, "write", "9", 2), ("e", 14, "other", "9", 2), ("f", 200, "write", "10", 1), ("g", 201, "write", "11", 1),
+]
+
+
+def test_outbox_timers_survive_a_restart_and_equal_the_plan(spark, tmp_path):
+    from graphloom.streaming import emissions
+
+    schema = "key string, s long, kind string, event_id string, version long"
+    whole = spark.createDataFrame(MESSAGES, schema).withColumn("at", F.timestamp_seconds("s"))
+    want = sorted((r["key"], r["event_id"], r["attempt"], r["status"], r["at"]) for r in emissions.emitted(whole, F.timestamp_seconds(F.lit(201))).collect())
+    assert [x[:4] for x in want if x[0] == "a"] == [("a", "2", 0, "emit")] and [x[2:4] for x in want if x[0] == "c"] == [(0, "emit")] * 0
+    assert [x[1:4] for x in want if x[0] == "b"] == [("3", 0, "emit"), ("3", 1, "emit")] + [("4", k, "emit") for k in range(4)] + [("4", 4, "dead")]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    try:
+        m = sorted(MESSAGES, key=lambda r: r[1])
+        for k, part in enumerate((m[:5], m[5:12], m[12:16], m[16:])):
+            rows = spark.createDataFrame(part, schema).withColumn("at", F.timestamp_seconds("s")).toJSON().collect()
+            (source / f"{k}.json").write_text("\n".join(rows))
+            stream = spark.readStream.schema(schema + ", at timestamp").json(str(source))
+            q = emissions.emit(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()  # a new start each time
+            assert q.awaitTermination(120)
+        got = sorted((r["key"], r["event_id"], r["attempt"], r["status"], r["at"]) for r in spark.read.parquet(out).collect())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == want
