@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import commit, search_index, snapshots, vector_index
+from graphloom.operators import commit, patterns, search_index, snapshots, traversal, vector_index
 from graphloom.plans.more import ORACLE_SQL, QUERIES
-from graphloom.plans.queries import WORDS, on_graph, query
+from graphloom.plans.queries import ENDS, LIVE, TENANT, WORDS, on_graph, query
 from graphloom.session import shared_folder, table
 from graphloom.streaming import emissions
 
@@ -84,3 +84,67 @@ def _(spark, d):
     messages = o.select("key", "at", F.lit("write").alias("kind"), "event_id", "version").unionByName(acks)
     out = emissions.emitted(messages, F.timestamp_millis(F.lit(904_608_000_000)), 3_600_000, 129_600_000, 3)
     return out.select("key", "event_id", "version", "attempt", "status", F.unix_millis("at").alias("at_ms"))
+
+
+def _traversal(hops: int, beam: int, per_source: int, limit: int, visited: int, ceiling: int, supernode: int) -> tuple[str, str]:
+    """The hops one after another, as one chain of tables."""
+    cost = "greatest(1, length(concat_ws(' ', src, rel, dst)) // 4)::bigint"
+    out = [
+        ENDS,
+        "d0 as (select n0.id, count(e.id) degree from n0 left join (select src id from edges where tenant_id = 't0' union all select dst from edges where tenant_id = 't0' and src <> dst) e on e.id = n0.id group by 1)",
+        "t0 as materialized (select * from (select src, rel, dst, t.degree, s.degree > "
+        f"{supernode} sup, {cost} c, row_number() over (partition by src order by t.degree desc, dst, rel) n from (select distinct src, rel, dst from live) join d0 t on t.id = dst join d0 s on s.id = src) where n <= {per_source})",
+        "f1 as materialized (select id q, id from n0 where label = 'Service' and try_cast(substring(id, 5) as int) % 20 = 0)",
+    ]
+    for h in range(1, hops + 1):
+        out.append(f"x{h} as materialized (select * from (select q, src, rel, dst, degree, c, sup, row_number() over (partition by q, sup order by degree desc, src, dst, rel) k from f{h} join t0 on src = id) where sup or k <= {limit})")
+        so_far = " union all ".join(f"select q, c from x{k}" for k in range(1, h + 1))
+        seen = " union all ".join(f"select q, id from f{k}" for k in range(1, h + 1))
+        out.append(f"g{h} as (select q from ({so_far}) group by q having sum(c) < {ceiling}), m{h} as (select q from ({seen}) group by q having count(*) < {visited})")
+        out.append(
+            f"f{h + 1} as materialized (select q, id from (select q, id, row_number() over (partition by q order by degree desc, id) k from (select distinct q, dst id, degree from x{h}) n "
+            f"where q in (select q from g{h}) and q in (select q from m{h}) and not exists (select 1 from ({seen}) s where s.q = n.q and s.id = n.id)) where k <= {beam})"
+        )
+    return ", ".join(out), " union all ".join(f"select q query_id, {h} hop, src, rel, dst, c \"cost\" from x{h}" for h in range(1, hops + 1))
+
+
+_BOUNDS = (5, 8, 6, 30, 40, 1200, 60)
+_CTES, _SELECT = _traversal(*_BOUNDS)
+
+
+#: Every service whose number is divisible by 20 asks at once.
+@on_graph("batched_traversal", _SELECT, LIVE + ", " + _CTES)
+def _(n, e):
+    own, edges = patterns.tenant_view(n, e, TENANT)
+    asked = own.where("label = 'Service' and try_cast(substring(id, 5) as int) % 20 = 0").select(F.col("id").alias("query_id"), "id")
+    hops, beam, per_source, limit, visited, ceiling, supernode = _BOUNDS
+    return traversal.traverse(asked, own, edges, hops, beam, per_source, limit, visited, ceiling, supernode)
+
+
+#: Of every service: is there a path to the service of the next number, and to the topic of its own?
+@on_graph(
+    "claimed_paths",
+    "select src, dst, min(h)::int hops from p left join r on r.seed = p.src and r.id = p.dst group by 1, 2",
+    "lv as materialized (select distinct src, dst from edges where tombstoned_day is null), s as (select id, try_cast(substring(id, 5) as int) k from nodes where label = 'Service'), "
+    "p as materialized (select id src, concat('svc-', k + 1) dst from s union select id, concat('svc-', k + 2) from s union select id, concat('topic-', k) from s union select id, id from s where k % 7 = 0), "
+    "r as (select distinct src seed, src id, 0 h from p union select seed, lv.dst, h + 1 from r join lv on lv.src = r.id where h < 5)",
+)
+def _(n, e):
+    s = n.where("label = 'Service'").select("id", F.expr("try_cast(substring(id, 5) as int)").alias("k"))
+    claim = lambda dst, rows=s: rows.select(F.col("id").alias("src"), F.expr(dst).alias("dst"))
+    pairs = claim("concat('svc-', k + 1)").union(claim("concat('svc-', k + 2)")).union(claim("concat('topic-', k)")).union(claim("id", s.where("k % 7 = 0")))
+    return traversal.claimed_paths(pairs, e)
+
+
+#: Page rank from every service whose number is divisible by 20, and the edges that touch the best of each.
+@on_graph(
+    "push_pagerank",
+    "select q query_id, id, round(p, 9) score from st where n = (select max(n) from st) and p > 0",
+    "lv as (select src, dst from edges where tombstoned_day is null), nb as materialized (select a, b, count(*) m from (select src a, dst b from lv union all select dst, src from lv) group by 1, 2), dg as materialized (select a, sum(m)::bigint d from nb group by 1), "
+    "st as (select 0 n, id q, id, d, 0::double p, 1::double r from nodes join dg on a = id where label = 'Service' and try_cast(substring(id, 5) as int) % 20 = 0 union all "
+    "select n + 1, q, id, d, p, r from (select n, q, id, any_value(dg.d) d, sum(p) p, sum(r) r from (select n, q, id, p + case when r > 1e-4 * d then 0.15::double * r else 0 end p, case when r > 1e-4 * d then 0 else r end r from st "
+    "union all select n, q, b, 0, 0.85::double * r / d * m from st join nb on nb.a = st.id where r > 1e-4 * d) x join dg on dg.a = x.id group by n, q, id) where exists (select 1 from st where r > 1e-4 * d))",
+)
+def _(n, e):
+    asked = n.where("label = 'Service' and try_cast(substring(id, 5) as int) % 20 = 0").select(F.col("id").alias("query_id"), "id")
+    return traversal.forward_push(asked, e, 1e-4).withColumn("score", F.round("score", 9))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ranking, search_index, snapshots, vector_index, walks
+from graphloom.operators import ranking, search_index, snapshots, traversal, vector_index, walks
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -226,3 +226,43 @@ def test_outbox_timers_survive_a_restart_and_equal_the_plan(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == want
+
+
+def test_forward_push_is_within_its_tolerance(spark):
+    r = random.Random(1)
+    edges = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(120)] + [("hub", f"n{k}") for k in range(40)] + [("x", "y")]
+    e = spark.createDataFrame([(a, "R", b, None) for a, b in edges], "src string, rel string, dst string, tombstoned_day long")
+    seeds = {1: ["n1"], 2: ["hub", "n3", "n3", "nowhere"], 3: ["x"]}
+    ids = sorted({v for x in edges for v in x})
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in edges:
+        m[ids.index(a), ids.index(b)] += 1
+        m[ids.index(b), ids.index(a)] += 1
+    asked = spark.createDataFrame([(q, s) for q, own in seeds.items() for s in own] + [(4, "nowhere")], "query_id int, id string")
+    for tolerance, part in ((1e-3, 10_000), (1e-7, 7)):
+        traversal.PART = part
+        try:
+            got = {(x["query_id"], x["id"]): x["score"] for x in traversal.forward_push(asked, e, tolerance).collect()}
+        finally:
+            traversal.PART = 10_000
+        for q, own in seeds.items():
+            start = np.array([i in own for i in ids], float)
+            p = start = start / start.sum()
+            for _ in range(300):
+                p = 0.15 * start + 0.85 * (p / m.sum(axis=1)) @ m
+            for k, i in enumerate(ids):
+                assert -1e-9 <= p[k] - got.get((q, i), 0.0) <= tolerance * m.sum(axis=1)[k] + 1e-9
+    assert {q for q, _ in got} == {1, 2, 3} and {i for q, i in got if q == 3} == {"x", "y"}
+    near = traversal.ranked_filter(e.select("src", "rel", "dst"), traversal.forward_push(asked, e, 1e-4), 1).where("query_id = 3").collect()
+    assert [(x["src"], x["dst"]) for x in near] == [("x", "y")]
+
+
+def test_claimed_paths_meet_in_the_middle(spark):
+    e = spark.createDataFrame([(f"a{k}", f"a{k + 1}", None) for k in range(8)] + [("a3", "a0", None), ("a0", "a8", 5), ("b", "b", None)], "src string, dst string, tombstoned_day long")
+    pairs = [(f"a{i}", f"a{j}") for i in range(9) for j in range(9)] + [("b", "b"), ("b", "a0"), (None, "a1"), ("a1", "zz")]
+    got = {(r["src"], r["dst"]): r["hops"] for r in traversal.claimed_paths(spark.createDataFrame(pairs + pairs[:9], "src string, dst string"), e).collect()}
+    for i in range(9):
+        for j in range(9):
+            n = j - i if j >= i else 3 - i + 1 + j if i <= 3 else 99
+            assert got[f"a{i}", f"a{j}"] == (n if n <= 5 else None), (i, j)
+    assert got["b", "b"] == 0 and got["b", "a0"] is None and got["a1", "zz"] is None and (None, "a1") not in got
