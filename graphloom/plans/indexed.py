@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import commit, patterns, search_index, snapshots, traversal, vector_index
+from graphloom.operators import commit, ingest, patterns, projection, search_index, snapshots, traversal, vector_index
 from graphloom.plans.more import ORACLE_SQL, QUERIES
 from graphloom.plans.queries import ENDS, LIVE, TENANT, WORDS, on_graph, query
 from graphloom.session import shared_folder, table
@@ -148,3 +149,48 @@ def _(n, e):
 def _(n, e):
     asked = n.where("label = 'Service' and try_cast(substring(id, 5) as int) % 20 = 0").select(F.col("id").alias("query_id"), "id")
     return traversal.forward_push(asked, e, 1e-4).withColumn("score", F.round("score", 9))
+
+
+#: Two runs over the documents as files; in the first, texts with an address of one kind fail, and their chunks with them.
+@query(
+    "ingestion_resume",
+    "select path, case when max(bad) over (partition by chunk) = 1 then 2 else 1 end run, n n_entities from c",
+    "f as (select concat('docs/', lpad(doc_id::varchar, 12, '0')) path, coalesce(text, '') t from documents where doc_id is not null), "
+    "c as (select path, (row_number() over (order by path) - 1) // 50 chunk, (contains(t, '@') and contains(t, '+'))::int bad, len(regexp_extract_all(t, '[a-z0-9.]+@[a-z]'))::int n from f)",
+)
+def _(spark, d):
+    files = table(spark, d, "documents").where("doc_id is not null").select(F.concat(F.lit("docs/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.md5("text").alias("version"), F.col("text").alias("content"))
+    folder = _folder(spark, "ingestion")
+
+    def addresses(path: str, content: str | None) -> list[str]:
+        return re.findall("[a-z0-9.]+@[a-z]", content or "")
+
+    def strict(path: str, content: str | None) -> list[str]:
+        if content and "@" in content and "+" in content:
+            raise ValueError("an address with a plus")
+        return addresses(path, content)
+
+    ingest.run(files, folder, strict)
+    ingest.run(files, folder, addresses)
+    return ingest.results(spark, folder).select("path", "run", F.size("entities").alias("n_entities"))
+
+
+_SIGN = "case ('0x' || substring(md5(concat(id, ':', pos)), 1, 8))::bigint % 6 when 0 then sqrt(3.0) when 1 then -sqrt(3.0) else 0 end"
+_MEAN = "select a id, pos, sum(m * x) / (select sum(m) from nb n where n.a = nb.a) x from nb join {} on id = b group by a, pos"
+
+
+#: The embeddings after every fiftieth part's calls went, from the layers of the graph before.
+@on_graph(
+    "fast_rp_updated",
+    "select id, pos, round(h1.x + h2.x + 0.8 * h3.x, 6) x from h1 join h2 using (id, pos) join h3 using (id, pos)",
+    "e0 as (select src, dst from edges where tombstoned_day is null and not (rel = 'CALLS' and substring(src, 5)::int % 50 = 0)), nb as materialized (select a, b, count(*) m from (select src a, dst b from e0 union all select dst, src from e0) group by 1, 2), "
+    f"h0 as materialized (select id, pos, {_SIGN} x from (select distinct a id from nb), (select unnest(range(16)) pos)), "
+    f"h1 as materialized ({_MEAN.format('h0')}), h2 as materialized ({_MEAN.format('h1')}), h3 as materialized ({_MEAN.format('h2')})",
+)
+def _(n, e):
+    now = patterns.live(e)
+    goes = "rel = 'CALLS' and try_cast(substring(src, 5) as int) % 50 = 0"
+    before = projection.layers(now, 16)
+    after, _ = projection.updated(before, now.where(f"not ({goes})"), now.where(goes), 16)
+    out = projection.embeddings(after, dims=16).select("id", F.posexplode("embedding").alias("pos", "x"))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))

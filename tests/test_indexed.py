@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ranking, search_index, snapshots, traversal, vector_index, walks
+from graphloom.operators import ingest, projection, ranking, search_index, snapshots, traversal, vector_index, walks
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -266,3 +266,50 @@ def test_claimed_paths_meet_in_the_middle(spark):
             n = j - i if j >= i else 3 - i + 1 + j if i <= 3 else 99
             assert got[f"a{i}", f"a{j}"] == (n if n <= 5 else None), (i, j)
     assert got["b", "b"] == 0 and got["b", "a0"] is None and got["a1", "zz"] is None and (None, "a1") not in got
+
+
+def test_updated_layers_equal_a_full_run(spark):
+    r = random.Random(2)
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(300)] + [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("hub", f"n{k}") for k in range(0, 300, 3)]
+    gone, new = [*pairs[5:7], ("n299", "n300")], [("n5", "n9"), ("new", "n8"), ("n7", None)]
+    frame = lambda x: spark.createDataFrame(x, "src string, dst string").repartition(3)
+    before = projection.layers(frame(pairs), 8)
+    now = frame([p for p in pairs if p not in gone] + new)
+    after, near = projection.updated(before, now, frame(gone + new), 8)
+    want = {r["id"]: r["embedding"] for r in projection.embeddings(projection.layers(now, 8), dims=8).collect()}
+    got = {r["id"]: r["embedding"] for r in projection.embeddings(after, dims=8).collect()}
+    assert set(got) == set(want) and "new" in got and "n300" not in got and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert near.count() < 250
+    flat = {r["id"]: r["embedding"] for r in projection.embeddings(projection.layers(frame([("a", "b"), ("b", "c")]), 8), dims=8).collect()}
+    h = {r["id"]: np.array(r["v"]) for r in spark.createDataFrame([("a",), ("b",), ("c",)], "id string").withColumn("v", projection.signs(F.col("id"), 8)).collect()}
+    ends = (h["a"] + h["c"]) / 2  # layer 1 of b; layer 1 of a and c is h(b), and so on
+    assert flat["b"] == pytest.approx(list(ends + h["b"] + 0.8 * ends)) and flat["a"] == pytest.approx(list(h["b"] + ends + 0.8 * h["b"]))
+    with pytest.raises(ValueError, match="limit"):
+        projection.guard(11, most_nodes=10)
+    with pytest.raises(ValueError, match="MB"):
+        projection.guard(10, most_mb=0.001)
+
+
+def test_a_second_run_reads_only_what_is_left(spark, tmp_path):
+    folder, seen = str(tmp_path / "m"), tmp_path / "seen"
+    seen.mkdir()
+
+    def extract(path, content):
+        (seen / f"{path}-{len(list(seen.iterdir()))}").write_text("")
+        if content == "bad":
+            raise ValueError("bad file")
+        return [content or "none"]
+
+    files = [(f"f{k:02}", "1", "bad" if k == 7 else None if k == 3 else f"c{k}") for k in range(20)]
+    frame = lambda x: spark.createDataFrame([*x, (None, "1", "x")], "path string, version string, content string")
+    assert ingest.run(frame(files), folder, extract, 5) == {"done_chunks": 3, "done_files": 15, "failed_chunks": 1, "failed_files": 5}
+    told = {r["path"]: (r["status"], r["error"]) for r in ingest.manifest(spark, folder).collect()}
+    assert told["f07"] == ("failed", "ValueError: bad file") and told["f06"] == ("failed", None) and told["f04"] == ("done", None)
+    for f in seen.iterdir():
+        f.unlink()
+    files = [(p, "2" if p == "f00" else v, "fixed" if c == "bad" else c) for p, v, c in files]
+    assert ingest.run(frame(files), folder, extract, 5) == {"done_chunks": 2, "done_files": 6, "failed_chunks": 0, "failed_files": 0}
+    assert {f.name.split("-")[0] for f in seen.iterdir()} == {"f00", "f05", "f06", "f07", "f08", "f09"}
+    got = {r["path"]: (r["version"], r["run"], r["entities"]) for r in ingest.results(spark, folder).collect()}
+    assert got["f00"] == ("2", 2, ["c0"]) and got["f07"] == ("1", 2, ["fixed"]) and got["f03"] == ("1", 1, ["none"]) and len(got) == 20
+    assert ingest.run(frame(files), folder, extract, 5)["done_files"] == 0
