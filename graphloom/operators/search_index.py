@@ -107,7 +107,7 @@ def search(questions: DataFrame, folder: str, k: int = 10, true_idf: bool = Fals
     if len(known) <= few:
         at = spark.createDataFrame([(t,) for t in known], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
         blocks = blocks.where(F.col("bucket").isin([r["b"] for r in at]) & F.col("term").isin(known))
-    size = increments(spark, folder).agg((F.sum("total") / F.sum("n_long")).alias("avgdl"), F.sum("n_docs").alias("n")).first()
+    size = increments(spark, folder).agg(F.try_divide(F.sum("total"), F.sum("n_long")).alias("avgdl"), F.sum("n_docs").alias("n")).first()
     avgdl = F.lit(float(size["avgdl"] or 1.0))
     bound = F.max(weight(F.col("most_tf"), F.col("least_dl"), avgdl))
     # By term: its bound, its best block, and in how many documents it is. The lists of a block aren't read for this but in the best one.

@@ -90,9 +90,13 @@ def _view(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return parts[0].where(f"not {GONE}")
 
 
-def read(spark: SparkSession, folder: str, name: str, version: int | None = None, details: bool = False) -> DataFrame:
-    """A table as of a version (the last one if not given); with details also _version, in which a row was last written."""
-    about = entry(spark, folder, version)["tables"][name]
+def read(spark: SparkSession, folder: str, name: str, version: int | None = None, details: bool = False, schema: str | None = None) -> DataFrame:
+    """A table as of a version (the last one if not given); with details also _version, in which a row was last written. A table without rows
+    so far is empty, of the schema given, or else raises KeyError."""
+    tables = entry(spark, folder, version)["tables"]
+    if schema and name not in tables:
+        return spark.createDataFrame([], schema)
+    about = tables[name]
     out = _view(_parts(spark, about), about["keys"])
     return out.drop(HASH, GONE, *(() if details else (VERSION,)))
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import commit, ingest, patterns, projection, search_index, snapshots, traversal, vector_index
+from graphloom.operators import commit, ingest, patterns, projection, search_index, snapshots, structure, traversal, vector_index
 from graphloom.plans.more import ORACLE_SQL, QUERIES
 from graphloom.plans.queries import ENDS, LIVE, TENANT, WORDS, on_graph, query
 from graphloom.session import shared_folder, table
@@ -67,8 +67,9 @@ def _(n, e):
     spark, folder = n.sparkSession, _folder(n.sparkSession, "topology")
     commit.commit_topology(spark, folder, n.where(FIRST), e)
     commit.commit_topology(spark, folder, n.where(NOW).withColumn("team_owner", F.expr(OWNER)), e)
-    own = snapshots.read(spark, folder, "nodes", details=True).select(F.lit("node").alias("kind"), "id", F.col("_version").alias("version"))
-    return own.union(snapshots.read(spark, folder, "edges", details=True).select(F.lit("edge"), F.concat_ws("|", "src", "rel", "dst"), "_version"))
+    form = "id string, src string, rel string, dst string, _version long"
+    own = snapshots.read(spark, folder, "nodes", details=True, schema=form).select(F.lit("node").alias("kind"), "id", F.col("_version").alias("version"))
+    return own.union(snapshots.read(spark, folder, "edges", details=True, schema=form).select(F.lit("edge"), F.concat_ws("|", "src", "rel", "dst"), "_version"))
 
 
 #: Orders as writes of a customer's event, every fifth of them answered by an ack a day later; the window is an hour, a lease 36 hours.
@@ -194,3 +195,14 @@ def _(n, e):
     after, _ = projection.updated(before, now.where(f"not ({goes})"), now.where(goes), 16)
     out = projection.embeddings(after, dims=16).select("id", F.posexplode("embedding").alias("pos", "x"))
     return out.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+#: Of the graph without calls: services hang on topics, deployments and databases.
+@on_graph(
+    "cut_vertices",
+    "select id from (select v id, count(*) n from nb0 group by v) t where n > (select count(*) from r join nb0 on nb0.v = r.v and nb0.u = r.id where r.v = t.id)",
+    "lv as (select src, dst from edges where tombstoned_day is null and rel in ('PRODUCES', 'CONSUMES') and src <> dst), nb0 as materialized (select distinct src v, dst u from lv union select distinct dst, src from lv), "
+    "r as (select v, min(u) id from nb0 group by v union select r.v, nb0.u from r join nb0 on nb0.v = r.id where nb0.u <> r.v)",
+)
+def _(n, e):
+    return structure.cut_vertices(patterns.live(e).where("rel in ('PRODUCES', 'CONSUMES')"))
