@@ -6,10 +6,11 @@ word for the substrings of urls; a hashed table of fixed size only spares look-u
 
 Naive Bayes learns from the pages that a rule decides: the rule's verdict is the label, the words of their urls are counted by class in
 SLOTS hashed counters. Two short lists of words speak for a class from the start and weigh SEED_SHARE of what is counted. Pages whose
-crc32(id as text) mod HELD_OUT is 0 are never learnt from, so accuracy can be measured on those that a rule decides.
+crc32(id as text) mod HELD_OUT is 0 are never learnt from, so accuracy can be measured on those that a rule decides. Words that the rules are made of, endings of hosts, and words of one or two letters
+(language folders) are left out of the model: labels follow from them, and it would learn nothing else. Words whose rates differ by less than CERTAIN standard errors say nothing.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; it has no words, so the prior decides;
-without any page that a rule decides the lists alone are the model and the prior is one in five; words never seen say nothing; a score of
+without any page that a rule decides the lists alone are the model; words never seen say nothing; a score of
 exactly 0.5 blocks; an unclosed script or style hides the rest of its page; repeated rows are judged each; only the named columns are read, so
 other columns can't clash; an empty table gives an empty result.
 """
@@ -154,30 +155,54 @@ def segmented(runs: DataFrame, words: DataFrame, slots: np.ndarray) -> DataFrame
     return runs.join(known, "token", "left").select("token", "n", "n_block", "n_allow", "words", "ks").mapInArrow(split, "token string, own array<string>, n long, n_block long, n_allow long")
 
 
+#: By how many standard errors the rates of a word must differ between the classes before it counts.
+CERTAIN = 3.0
+#: The share of pages to block, before any word is seen. What rules block of the pages that they decide says nothing about the others.
+PRIOR = 0.2
+#: Endings of hosts, which rules decide on, as they do on languages, whose folders have two letters.
+ENDINGS = ("com", "net", "org", "edu", "gov", "info", "biz")
+
+
+def rule_words(rules=None) -> list[str]:
+    """The words that labels are made of: those of the rules, and endings of hosts. A model that saw them would only learn the rules again."""
+    return sorted({w for _, h, p in (RULES if rules is None else rules) for w in LETTERS_RUN.findall(h + p)} | set(ENDINGS))
+
+
 class Bayes:
-    """Multinomial naive Bayes over hashed words: log odds of block for each slot, 0 for slots that were never counted."""
+    """Multinomial naive Bayes over hashed words: log odds of block for each slot, 0 for slots that were never counted, for words of
+    one or two letters (languages), and for left_out words."""
 
-    def __init__(self, blocked: np.ndarray, allowed: np.ndarray, pages: tuple[int, int] = (0, 0)) -> None:
+    def __init__(self, blocked: np.ndarray, allowed: np.ndarray, left_out: list[str] | None = None) -> None:
         own = [blocked.astype(float), allowed.astype(float)]
+        self.left_out = set(left_out or ())
         for counts, words in zip(own, (BLOCK_WORDS, ALLOW_WORDS), strict=True):
             share = max(1.0, SEED_SHARE * float(blocked.sum() + allowed.sum()) / (len(BLOCK_WORDS) + len(ALLOW_WORDS)))
             np.add.at(counts, [slot(w) for w in words], share)
         used = (own[0] + own[1]) > 0
         rate = [(c + SMOOTHING) / (c.sum() + SMOOTHING * used.sum()) for c in own]
         self.weight = np.where(used, np.log(rate[0]) - np.log(rate[1]), 0.0)
-        self.start = math.log((pages[0] + 1) / (pages[1] + 4))
+        chance = CERTAIN * np.sqrt(1 / (own[0] + SMOOTHING) + 1 / (own[1] + SMOOTHING))
+        told = np.zeros(len(chance), bool)
+        told[[slot(w) for w in BLOCK_WORDS + ALLOW_WORDS]] = True
+        self.weight[(np.abs(self.weight) < chance) & ~told] = 0.0  # what chance explains says nothing
+        self.start = math.log(PRIOR / (1 - PRIOR))
 
     def odds(self, words: list[str]) -> float:
-        return float(sum(self.weight[slot(w)] for w in words))
+        return float(sum(self.weight[slot(w)] for w in words if self.heard(w)))
+
+    def heard(self, w: str) -> bool:
+        return len(w) > 2 and w not in self.left_out
 
 
-def learnt(facts: DataFrame, pages: tuple[int, int]) -> Bayes:
-    """The model of the labelled words of facts; SLOTS rows at most come to the driver."""
+def learnt(facts: DataFrame, rules=None) -> Bayes:
+    """The model of the labelled words of facts, without those that make the labels; SLOTS rows at most come to the driver."""
+    left_out = rule_words(rules)
     words = facts.where("n_block + n_allow > 0").select(F.explode("own").alias("word"), "n_block", "n_allow")
+    words = words.where((F.length("word") > 2) & ~F.col("word").isin(left_out))
     rows = words.groupBy((F.crc32("word") % SLOTS).cast("int").alias("slot")).agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")).toPandas()
     blocked, allowed = np.zeros(SLOTS), np.zeros(SLOTS)
     blocked[rows["slot"].to_numpy()], allowed[rows["slot"].to_numpy()] = rows["b"].to_numpy(), rows["a"].to_numpy()
-    return Bayes(blocked, allowed, pages)
+    return Bayes(blocked, allowed, left_out)
 
 
 def host_path(url):
@@ -223,8 +248,7 @@ def judge(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str =
 
     runs = cut_lineage(base.select("__row", "host", "path", "label").mapInArrow(cut, "row long, at int, token string, label string"))
     facts = cut_lineage(segmented(runs, vocabulary, counts))
-    n = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}  # three rows
-    bayes = learnt(facts, (n.get("block", 0), n.get("allow", 0)))
+    bayes = learnt(facts, rules)
     shared = spark.sparkContext.broadcast(bayes)  # SLOTS numbers, whatever the input
 
     def weigh(batches):

@@ -131,13 +131,18 @@ def test_url_model_learns_from_rules_and_is_held_out(spark):
 
 def test_bayes_equals_the_formula():
     a, b = np.zeros(urls.SLOTS), np.zeros(urls.SLOTS)
-    a[urls.slot("foo")], b[urls.slot("bar")] = 30, 10
-    m = urls.Bayes(a, b, (3, 1))
-    n_block, n_allow = 30 + len(urls.BLOCK_WORDS), 10 + len(urls.ALLOW_WORDS)
-    used = len({urls.slot(w) for w in [*urls.BLOCK_WORDS, *urls.ALLOW_WORDS, "foo", "bar"]})
+    a[urls.slot("foo")], b[urls.slot("bar")], a[urls.slot("both")], b[urls.slot("both")] = 3000, 10, 40, 30
+    m = urls.Bayes(a, b, urls.rule_words())
+    share = urls.SEED_SHARE * 3080 / (len(urls.BLOCK_WORDS) + len(urls.ALLOW_WORDS))
+    n_block, n_allow = 3040 + share * len(urls.BLOCK_WORDS), 40 + share * len(urls.ALLOW_WORDS)
+    used = len({urls.slot(w) for w in [*urls.BLOCK_WORDS, *urls.ALLOW_WORDS, "foo", "bar", "both"]})
     size = 0.5 * used
-    assert math.isclose(m.odds(["foo"]), math.log(30.5 / (n_block + size)) - math.log(0.5 / (n_allow + size)))
-    assert m.odds(["neverseenword"]) == 0 and math.isclose(m.start, math.log(4 / 5))
+    foo = math.log(3000.5 / (n_block + size)) - math.log(0.5 / (n_allow + size))
+    assert share > 1 and math.isclose(m.odds(["foo"]), foo) and math.isclose(m.odds(["foo", "net", "en", "foo"]), 2 * foo)
+    rate = math.log(40.5 / (n_block + size)) - math.log(30.5 / (n_allow + size))
+    assert (m.odds(["both"]) == 0) == (abs(rate) < 3 * math.sqrt(1 / 40.5 + 1 / 30.5))
+    assert m.odds(["neverseenword"]) == 0 and math.isclose(m.start, math.log(0.25))
+    assert {"com", "net", "org", "example", "www", "en", "es", "fr"} <= set(urls.rule_words()) and m.odds(["com", "net", "de", "example"]) == 0
 
 
 def test_splitting_equals_exhaustive_search():
