@@ -30,7 +30,7 @@ from graphloom.operators.components import heavy_join
 from graphloom.session import cut_lineage, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-LEAF = 6
+LEAF = 16
 
 
 class VantageTree:
@@ -42,7 +42,7 @@ class VantageTree:
 
     def _build(self, own: np.ndarray):
         if len(own) <= LEAF:
-            return own
+            return np.sort(own)
         x = self.entries[own].astype(np.float64)
         top = int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1)))  # an outlying entry spreads the distances
         rest = np.delete(own, top)
@@ -56,6 +56,11 @@ class VantageTree:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(index, squared distance) for each row of x, and how many distances that took."""
         best, index, count = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), -1, np.int64), 0
+        # Whole numbers whose products' sums stay below 2**53 are exact in floats too, in which matrices multiply faster.
+        most = max(np.abs(x).max(initial=0), np.abs(self.entries).max(initial=0))
+        kind = np.float64 if 4 * x.shape[1] * int(most) ** 2 < 1 << 53 else np.int64
+        own, entries = x.astype(kind), self.entries.astype(kind)
+        squares, sizes = (own * own).sum(axis=1), (entries * entries).sum(axis=1)
 
         def compare(rows: np.ndarray, entry: int) -> np.ndarray:
             nonlocal count
@@ -67,9 +72,13 @@ class VantageTree:
             return d
 
         def visit(node, rows: np.ndarray) -> None:
-            if isinstance(node, np.ndarray):
-                for entry in node.tolist():
-                    compare(rows, entry)
+            nonlocal count
+            if isinstance(node, np.ndarray):  # its entries in order of index, all at once
+                d = (squares[rows][:, None] + sizes[node] - 2 * (own[rows] @ entries[node].T)).astype(np.int64)
+                first = d.argmin(axis=1)
+                d, entry, count = d[np.arange(len(rows)), first], node[first], count + d.size
+                won = (d < best[rows]) | ((d == best[rows]) & (entry < index[rows]))
+                best[rows[won]], index[rows[won]] = d[won], entry[won]
                 return
             entry, halves = node
             d = np.sqrt(compare(rows, entry).astype(np.float64))
