@@ -1,9 +1,11 @@
 """Language ID by segmentation-marginalised unigrams (operator 4).
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood in a language is summed
-over all its segmentations into pieces by the forward algorithm; a text's is the product over its words. The probabilities come from
+over all its segmentations into pieces by the forward algorithm; a text's is the product over its words, which are whole runs of letters of any
+length: runs above LONGEST_SHORT letters are summed in logarithms, in parts that hand on the sums of their last positions. The probabilities come from
 one expectation step: piece counts under all segmentations (forward-backward, equal piece weights), summed over every training
-text. Counts are at most vocabulary x languages, so the model is bounded whatever the corpus.
+text. Counts are at most vocabulary x languages; more than MOST_LANGUAGES languages raise before anything is gathered, so the model is at most
+MOST_LANGUAGES * 8 bytes for each piece (130 MB for 32,000), whatever the corpus.
 
 The posterior of a whole text is near 1 for all but the shortest, whatever it holds; `foreign` doesn't saturate: it is the share of the
 text's letters that stand in words for which another language is at least e**STRONG times likelier than the one predicted.
@@ -30,8 +32,12 @@ from graphloom.session import table
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-LONGEST_WORD = 48
+LONGEST_SHORT = 48  # letters; longer runs are summed in logarithms
+PART = 65_536  # letters of a long run at a time
+CELLS = 1 << 19  # positions of long runs at a time
+MOST_LANGUAGES = 512
 WORDS_HELD = 400_000
+LETTERS_HELD = 16_000_000  # of long runs
 ALPHA = 0.05
 STRONG = 3.0
 
@@ -53,11 +59,8 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case letter runs; longer ones in parts."""
-    found = WORD.findall(text.lower())
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[k : k + LONGEST_WORD] for w in found for k in range(0, len(w), LONGEST_WORD)]
-    return found
+    """Lower-case letter runs, whole."""
+    return WORD.findall(text.lower())
 
 
 @lru_cache(maxsize=2)
@@ -78,11 +81,14 @@ def piece_hashes(path: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Lattice:
-    """The edges (word, start, stop, piece) of all segmentations of many words, sorted by stop, then word."""
+    """The edges (word, start, stop, piece) of all segmentations of many words, sorted by stop, then word.
 
-    def __init__(self, words: list[str], path: str) -> None:
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        codes = np.frombuffer((START + START.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    Each word follows the mark; of parts of words, which have none, only edges that stop after the lead are kept.
+    """
+
+    def __init__(self, words: list[str], path: str, mark: str = START, lead: int = 0) -> None:
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + len(mark)
+        codes = np.frombuffer((mark + mark.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.concatenate([[0], np.cumsum(self.sizes)])
         word = np.repeat(np.arange(len(words)), self.sizes)
         place = np.arange(len(codes)) - at[word]
@@ -106,6 +112,7 @@ class Lattice:
                 piece.append(number)
         self.owner, self.begin, self.end, self.piece = (np.concatenate(x) for x in (owner, begin, end, piece))
         order = np.argsort(self.end * len(words) + self.owner, kind="stable")
+        order = order[np.searchsorted(self.end[order], lead, side="right") :]
         for name in ("owner", "begin", "end", "piece"):
             setattr(self, name, getattr(self, name)[order])
 
@@ -145,6 +152,85 @@ class Lattice:
         return f[self.owner, self.begin] * weight * back[self.owner, self.end] / z[self.owner]
 
 
+def long_batches(words: list[str]) -> Iterable[list[str]]:
+    """Long runs by falling length, in batches of at most CELLS positions; a longer run is alone."""
+    words = sorted(words, key=len, reverse=True)
+    at = 0
+    while at < len(words):
+        n = max(1, CELLS // (len(words[at]) + 2))
+        yield words[at : at + n]
+        at += n
+
+
+class LongLattice:
+    """Forward sums and edge posteriors of runs of falling length, as logarithms, part by part of the positions.
+
+    A part's edges start at most one piece before it, so that the sums of those positions are all that it needs of what comes before.
+    """
+
+    def __init__(self, words: list[str], path: str) -> None:
+        self.words, self.path, self.back = [START + w for w in words], path, pieces(path)[1]
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(words))
+
+    def part(self, at: int) -> tuple[int, Lattice]:
+        """(lead, lattice) of the runs longer than at, from lead positions before it on."""
+        lead = min(at, self.back)
+        n = int((self.sizes > at).sum())
+        return lead, Lattice([w[at - lead : at + PART] for w in self.words[:n]], self.path, "", lead)
+
+    def starts(self) -> range:
+        return range(0, int(self.sizes.max(initial=0)), PART)
+
+    def forward(self, p: np.ndarray) -> Iterable[tuple[int, int, Lattice, np.ndarray]]:
+        """(start of the part, lead, lattice, log sums of runs x positions from start - lead x languages)."""
+        carry = np.zeros((len(self.words), 1, p.shape[1]))
+        for at in self.starts():
+            lead, lattice = self.part(at)
+            n, width = len(lattice.sizes), int(lattice.sizes.max()) + 1
+            out = np.zeros((n, width, p.shape[1]))
+            out[:, : lead + 1] = carry[:n, -lead - 1 :]
+            cuts = np.searchsorted(lattice.end, np.arange(width + 1))
+            for j in range(lead + 1, width):
+                e = slice(cuts[j], cuts[j + 1])
+                own = lattice.owner[e]
+                heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                last = out[own, j - 1]
+                total = np.add.reduceat(np.exp(out[own, lattice.begin[e]] - last) * p[lattice.piece[e]], heads, axis=0)
+                out[own[heads], j] = last[heads] + np.log(total)
+            yield at, lead, lattice, out
+            carry = out[:, max(0, width - 1 - self.back) :]
+
+    def log_likelihood(self, p: np.ndarray) -> np.ndarray:
+        """Runs x languages."""
+        found = np.zeros((len(self.words), p.shape[1]))
+        for at, lead, lattice, out in self.forward(p):
+            n = len(lattice.sizes)
+            found[:n] = out[np.arange(n), lattice.sizes]
+        return found
+
+    def expected(self, weight: float = 1e-3) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(run, piece, posterior) of each edge when all pieces weigh the same, part by part.
+
+        A posterior is that of its stop as a boundary, times the share of the forward sum there that came over this edge; so it needs no backward
+        sums, whose scale would differ along a run.
+        """
+        size = len(pieces(self.path)[0]) + 1
+        logs = np.zeros((len(self.words), int(self.sizes.max(initial=0)) + 1))
+        for at, lead, _, out in self.forward(np.full((size, 1), weight)):
+            logs[: len(out), at - lead : at - lead + out.shape[1]] = out[:, :, 0]
+        bound = np.zeros_like(logs)
+        bound[np.arange(len(logs)), self.sizes] = 1
+        for at in reversed(self.starts()):
+            lead, lattice = self.part(at)
+            own, begin, end = lattice.owner, lattice.begin + at - lead, lattice.end + at - lead
+            share = np.exp(logs[own, begin] - logs[own, end]) * weight
+            cuts = np.searchsorted(end, np.arange(at + 1, int(end.max()) + 2))
+            for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+                share[a:b] *= bound[own[a:b], end[a]]
+                bound[own[a:b], begin[a:b]] += share[a:b]  # edges of one run and stop have different starts
+            yield own, lattice.piece, share
+
+
 def gather(rows: DataFrame, path: str) -> DataFrame:
     """lang, piece, n: expected piece counts over all rows of (lang, text); each task sends its sums only."""
     size = len(pieces(path)[0]) + 1
@@ -154,26 +240,36 @@ def gather(rows: DataFrame, path: str) -> DataFrame:
         sums: list[np.ndarray] = []
         held: dict[str, Counter[str]] = {}
 
+        def take(words, own, piece, share):
+            for lang, c in held.items():
+                n = np.array([c.get(w, 0) for w in words], float)
+                sums[langs[lang]] += np.bincount(piece, share * n[own], size)
+
         def flush():
             distinct = list({w: None for c in held.values() for w in c})
-            for at in range(0, len(distinct), 8000):
-                part = distinct[at : at + 8000]
+            short = [w for w in distinct if len(w) <= LONGEST_SHORT]
+            for at in range(0, len(short), 8000):
+                part = short[at : at + 8000]
                 lattice = Lattice(part, path)
-                share = lattice.expected()
-                for lang, c in held.items():
-                    n = np.array([c.get(w, 0) for w in part], float)
-                    sums[langs[lang]] += np.bincount(lattice.piece, share * n[lattice.owner], size)
+                take(part, lattice.owner, lattice.piece, lattice.expected())
+            for part in long_batches([w for w in distinct if len(w) > LONGEST_SHORT]):
+                for found in LongLattice(part, path).expected():
+                    take(part, *found)
             held.clear()
 
+        long = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, text in zip(part.column(0).to_pylist(), texts(part), strict=True):
                     if lang not in langs:
                         langs[lang] = len(langs)
                         sums.append(np.zeros(size))
-                    held.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, held.values())) > WORDS_HELD:
+                    found = words_of(text)
+                    held.setdefault(lang, Counter()).update(found)
+                    long += sum(n for n in map(len, found) if n > LONGEST_SHORT)
+                if sum(map(len, held.values())) > WORDS_HELD or long > LETTERS_HELD:
                     flush()
+                    long = 0
         flush()
         for lang, k in langs.items():
             used = np.flatnonzero(sums[k])
@@ -186,6 +282,8 @@ def fit(rows: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
     """(languages in order, pieces x languages probabilities) from rows of (lang, text) with lang not null."""
     path = path or default_path()
     size = len(pieces(path)[0]) + 1
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # Counts are rounded before they are summed, so that the order of tasks doesn't matter.
     counts = gather(rows, path).groupBy("lang", "piece").agg(F.sum(F.round(F.col("n") * 1000).cast("long")).alias("n")).toPandas()
     langs = sorted(counts["lang"].unique().tolist())
@@ -202,14 +300,19 @@ class Scorer:
         self.p, self.path = p, path
         self.place: dict[str, int] = {}
         self.rows = np.zeros((0, p.shape[1]))
+        self.room, self.letters = WORDS_HELD * 8 // max(8, p.shape[1]), 0
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self.place) > WORDS_HELD:
-            self.place, self.rows = {}, self.rows[:0]
+        if len(self.place) > self.room or self.letters > LETTERS_HELD:
+            self.place, self.rows, self.letters = {}, self.rows[:0], 0
         new = [w for w in dict.fromkeys(words) if w not in self.place]
-        more = [Lattice(new[k : k + 8000], self.path).log_likelihood(self.p) for k in range(0, len(new), 8000)]
-        for w in new:
+        short, long = [w for w in new if len(w) <= LONGEST_SHORT], list(long_batches([w for w in new if len(w) > LONGEST_SHORT]))
+        step = max(1, 64_000 // max(8, self.p.shape[1]))
+        more = [Lattice(short[k : k + step], self.path).log_likelihood(self.p) for k in range(0, len(short), step)]
+        more += [LongLattice(part, self.path).log_likelihood(self.p) for part in long]
+        for w in (w for part in (short, *long) for w in part):
             self.place[w] = len(self.place)
+        self.letters += sum(len(w) for part in long for w in part)
         self.rows = np.concatenate([self.rows, *more])
 
     def judge(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:

@@ -135,6 +135,59 @@ def test_language_model_sums_all_segmentations():
     assert np.allclose(np.bincount(lattice.owner, share), [len(w) + 1 for w in words])
 
 
+@pytest.mark.parametrize("part", [23, 64, 65_536])
+def test_language_model_sums_whole_long_runs(monkeypatch, part):
+    """Runs above 48 letters, in parts or not: the same sums and expected counts as plain forward and backward passes over the whole run."""
+    monkeypatch.setattr(langid, "PART", part)
+    path = langid.default_path()
+    vocab, _ = langid.pieces(path)
+    rng = np.random.default_rng(1)
+    words = ["thehouseandthegarden" * 9, "straßenbahnhaltestelle" * 4, "日本語の文" * 20, "".join(rng.choice(list("abcdeéñ"), 135)), "x" * 49]
+    p = rng.random((len(vocab) + 1, 2)) * 1e-3
+    edges = lambda s: [(i, j, vocab.get(s[i:j], 0)) for j in range(1, len(s) + 1) for i in range(max(0, j - 30), j) if s[i:j] in vocab or j == i + 1]
+
+    def passes(s, weigh):
+        f, b = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+        for i, j, n in edges(s):
+            f[j] += f[i] * weigh(n)
+        for i, j, n in sorted(edges(s), key=lambda e: -e[0]):
+            b[i] += b[j] * weigh(n)
+        return f, b
+
+    ordered = sorted(words, key=len, reverse=True)
+    (batch,) = langid.long_batches(words)
+    assert batch == ordered
+    lattice = langid.LongLattice(batch, path)
+    want = [[float(np.log(passes(langid.START + w, lambda n, k=k: float(p[n, k]) * 300)[0][-1])) for k in (0, 1)] for w in ordered]
+    assert np.allclose(lattice.log_likelihood(p * 300), want)
+    got = np.zeros((len(batch), len(vocab) + 1))
+    for own, piece, share in lattice.expected():
+        np.add.at(got, (own, piece), share)
+    for k, w in enumerate(ordered):
+        s = langid.START + w
+        f, b = passes(s, lambda n: 0.3)
+        plain = np.zeros(len(vocab) + 1)
+        for i, j, n in edges(s):
+            plain[n] += f[i] * 0.3 * b[j] / f[-1]
+        by_weight = np.zeros(len(vocab) + 1)
+        for own, piece, share in lattice.expected(0.3):
+            np.add.at(by_weight, piece[own == k], share[own == k])
+        assert np.allclose(by_weight, plain)
+        assert abs(sum(got[k, n] * len(x) for x, n in vocab.items()) + got[k, 0] - len(s)) < 1e-6
+    assert langid.words_of("A" * 135 + " b") == ["a" * 135, "b"]
+
+
+def test_language_ties_long_runs_and_bound(spark, monkeypatch):
+    both = [("en", "the house the house"), ("de", "the house the house"), ("fr", "lamaisonetlejardin" * 30)]
+    langs, p = langid.fit(spark.createDataFrame(both, "lang string, text string"))
+    asked = spark.createDataFrame([(1, "the house"), (2, "lamaisonetlejardin" * 200), (3, "日本語" * 50)], "doc_id long, text string")
+    got = by_id(langid.predict(asked, langs, p), "lang_pred", "score")
+    assert got[1][0] == "de" and got[2] == ("fr", 1.0) and 0 <= got[3][1] <= 1
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.createDataFrame(both, "lang string, text string"))
+
+
 def test_language_id(spark, docs):
     rows = spark.createDataFrame([("en", "the house and the garden of this town"), ("fr", "la maison et le jardin de cette ville"), ("en", None)], "lang string, text string")
     langs, p = langid.fit(rows.where("text is not null"))
