@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphloom.operators import commit, ingest, patterns, projection, search_index, snapshots, structure, traversal, vector_index
+from graphloom.plans import questions
 from graphloom.plans.more import ORACLE_SQL, QUERIES
 from graphloom.plans.queries import ENDS, LIVE, TENANT, WORDS, on_graph, query
-from graphloom.session import shared_folder, table
+from graphloom.session import cut_lineage, shared_folder, table
+from graphloom.sources.fixture import graph, oracle
 from graphloom.streaming import emissions
 
 __all__ = ["ORACLE_SQL", "QUERIES", "on_graph"]  # with those of the other modules, which share the registry
@@ -206,3 +208,74 @@ def _(n, e):
 )
 def _(n, e):
     return structure.cut_vertices(patterns.live(e).where("rel in ('PRODUCES', 'CONSUMES')"))
+
+
+#: One question for each part, of eleven kinds; every fourth may see two labels only, every third carries a vector.
+ASKED = (
+    "case p_partkey % 11 when 0 then concat('What is the blast radius of svc-', p_partkey, ' service?') when 1 then concat('Which services are most critical for svc-', p_partkey, '?') "
+    "when 2 then concat('how many calls from svc-', p_partkey, '?') when 3 then concat('count who consumes from topic-', p_partkey % 100) when 4 then concat('rank who produces to topic-', p_partkey % 100) "
+    "when 5 then concat('top 5 pods of svc-', p_partkey, ' deployed') when 6 then concat('rank namespace ', case p_partkey % 3 when 0 then 'africa' when 1 then 'asia' else 'europe' end, ' services') "
+    "when 7 then concat('count databases of svc-', p_partkey) when 8 then 'how many calls across teams' when 9 then concat('What topics does svc-', p_partkey, ' produce to?') else concat('tell me about svc-', p_partkey) end"
+)
+SEES = "(not {q}.few or coalesce({n}acl_label in ('Ns_asia', 'Ns_europe'), false))"
+_sees = lambda q, n: SEES.format(q=q, n=n)
+_both = _sees("q", "s_") + " and " + _sees("q", "t_")
+_ONE = lambda k, where, on, values, rest="": f"select query_id, concat_ws(' ', {values}) \"text\" from q join h on h.tenant_id = q.tenant_id and {on} where k = {k} and {where} and {_both}{rest}"
+_TOP = lambda rows, order, k=10: f"select query_id, \"text\" from (select *, row_number() over (partition by query_id order by {order}) n from ({rows})) where n <= {k}"
+_CALL = f"from q join h on h.tenant_id = q.tenant_id where rel = 'CALLS' and not back and {_both}"
+
+
+@query(
+    "question_contexts",
+    oracle(
+        "select query_id, rank, kind, \"text\" from (select *, sum(case when \"text\" = '' then 0 else greatest(1, length(\"text\") // 4) end) over (partition by query_id order by rank) used from "
+        "(select query_id, kind, \"text\", case when kind = 'notice' then 0 else row_number() over (partition by query_id order by round(coalesce(score, 0), 9) desc, id) end::int rank from r left join sc using (query_id, id))) where used <= 2000",
+        f"q as materialized (select p_partkey query_id, {ASKED} \"text\", p_partkey % 11 k, concat('t', p_partkey % 2) tenant_id, p_partkey % 4 = 0 few, p_partkey % 3 = 0 has, concat('svc-', p_partkey) svc, concat('topic-', p_partkey % 100) topic, "
+        "case p_partkey % 3 when 0 then 'africa' when 1 then 'asia' else 'europe' end ns from part), "
+        + ENDS.replace("ends as", "ends as materialized").replace("deg as", "deg as materialized")
+        + ", h0 as (select tenant_id, src, rel, dst, false back from edges where tombstoned_day is null union all select tenant_id, dst, rel, src, true from edges where tombstoned_day is null and src <> dst), "
+        "h as materialized (select h0.*, s.name s_name, s.label s_label, s.acl_label s_acl_label, s.team_owner s_team, t.name t_name, t.label t_label, t.acl_label t_acl_label, t.team_owner t_team, t.namespace t_ns, t.replicas t_replicas, t.db_type t_db "
+        "from h0 join nodes s on s.id = src and s.tenant_id = h0.tenant_id join nodes t on t.id = dst and t.tenant_id = h0.tenant_id), "
+        "nr as materialized (select query_id, concat('svc-', vec_id) id, s score from (select *, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) n from (select query_id, c.vec_id, list_cosine_similarity(v.embedding::double[], c.embedding::double[]) s "
+        "from q join embeddings v on has and v.vec_id = query_id % 500 join embeddings c on true)) where n <= 50), "
+        "dg as (select query_id from q where query_id not in (select query_id from nr)), "
+        f"c0 as (select query_id, id, score from nr union all select query_id, id, 1.0 from (select q.query_id, n.id, row_number() over (partition by q.query_id order by n.name, n.id) n from (select q.*, unnest(list_distinct(regexp_extract_all(lower(\"text\"), '[a-z0-9][a-z0-9_-]*'))) w from q join dg using (query_id)) q "
+        f"join nodes n on lower(n.name) = w and n.tenant_id = q.tenant_id where {_sees('q', 'n.')}) where n <= 50), "
+        f"c as materialized (select q.query_id, q.k, n.*, score from c0 join q using (query_id) join nodes n on n.id = c0.id and n.tenant_id = q.tenant_id where {_sees('q', 'n.')} and n.id not in (select src from edges where tombstoned_day is not null)), "
+        f"b0 as materialized (select distinct q.query_id, q.few, n.id from q join nodes n on n.name = svc and n.tenant_id = q.tenant_id where k = 0 and n.label = 'Service' and {_sees('q', 'n.')}), be as materialized (select distinct src, dst from edges where tombstoned_day is null and rel in ('CALLS', 'PRODUCES', 'CONSUMES')), "
+        "b1 as materialized (select distinct query_id, few, dst id from b0 join be on src = id), b2 as materialized (select distinct query_id, few, dst id from b1 join be on src = id), b3 as (select distinct query_id, few, dst id from b2 join be on src = id), "
+        "r0 as (select query_id, 'candidate' kind, concat_ws(' ', acl_label, db_type, id, label, language, name, \"namespace\", replicas::varchar, printf('%.4f', score), team_owner) \"text\" from c "
+        f"union select query_id, 'notice', '{questions.NOTICE}' from dg "
+        "union select query_id, 'result', concat_ws(' ', rel, s_name, t_name) from (select *, row_number() over (partition by query_id order by degree desc, t_name, s_name, rel) n from q join (select distinct query_id, name from c) x using (query_id) "
+        f"join h on h.tenant_id = q.tenant_id and s_name = x.name join deg on deg.id = dst where k = 9 and degree < 500 and {_sees('q', 't_')}) where n <= 500 "
+        "union select query_id, 'result', \"text\" from ("
+        + " union all ".join(
+            [
+                _TOP(_ONE(2, "s_label = 'Service'", "s_name = svc", "rel, s_name, t_name, t_label").replace("select query_id", "select query_id, rel, t_name", 1), "rel, t_name"),
+                _ONE(5, "rel = 'DEPLOYED_IN' and not back", "s_name = svc", "t_ns, t_replicas::varchar, s_name"),
+                _ONE(7, "rel in ('READS_FROM', 'WRITES_TO') and not back", "s_name = svc", "dst, t_db, s_name"),
+                _TOP(_ONE(3, "rel = 'CONSUMES' and not back", "t_name = topic", "s_name, t_name").replace("select query_id", "select query_id, s_name", 1), "s_name"),
+                _TOP(_ONE(4, "rel = 'PRODUCES' and not back", "t_name = topic", "s_name, t_name").replace("select query_id", "select query_id, s_name", 1), "s_name"),
+                _ONE(6, "rel = 'DEPLOYED_IN' and not back", "t_ns = ns", "t_ns, s_name"),
+                f"select b.query_id, concat_ws(' ', n.name, n.label) from (select * from b1 union select * from b2 union select * from b3) b join nodes n using (id) where {_sees('b', 'n.')}",
+                _TOP(f"select query_id, count(*) m, t_name, concat_ws(' ', count(*)::varchar, t_name) \"text\" {_CALL} and k = 1 and s_label = 'Service' and t_label = 'Service' group by query_id, t_name", "m desc, t_name"),
+                _TOP(f"select query_id, s_team, t_team, s_name, t_name, concat_ws(' ', t_name, t_team, s_name, s_team) \"text\" {_CALL} and k = 8 and s_team <> t_team", "s_team, t_team, s_name, t_name"),
+            ]
+        )
+        + ")), r as materialized (select *, concat(kind, ':', sha256(\"text\")) id from r0), "
+        f"w as materialized (select query_id, id, {WORDS} w from r), qw as (select query_id, term, count(*) qn from (select query_id, unnest({WORDS}) term from q) group by 1, 2), "
+        "sc as (select query_id, id, sum(qn * ln(2.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w.w) / avgdl))) score from (select query_id, id, term, count(*) tf from (select query_id, id, unnest(w) term from w) group by 1, 2, 3) "
+        "join qw using (query_id, term) join w using (query_id, id) join (select query_id, avg(len(w)) avgdl from w group by 1) using (query_id) group by 1, 2)",
+    ),
+)
+def _(spark, d):
+    n, e = graph(spark, d)
+    part, v, folder = table(spark, d, "part"), table(spark, d, "embeddings"), _folder(spark, "question-vectors")
+    acl = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("Ns_asia"), F.lit("Ns_europe")))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.expr(ASKED).alias("text"), F.concat(F.lit("t"), F.col("p_partkey") % 2).alias("tenant_id"), acl.alias("acl"))
+    carried = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 500).alias("vec_id"))
+    vector_index.create(spark, folder, vector_index.fit(v, 16))
+    vector_index.add(v, folder, "1")
+    near = vector_index.search(carried.join(v, "vec_id").select("query_id", F.col("embedding").alias("v")), folder, k=50, exact=True)
+    near = near.select("query_id", F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("id"), "score")
+    return questions.contexts(asked, n, e, cut_lineage(near), budget=2000)
