@@ -120,6 +120,34 @@ def embedding_upsert(nodes: DataFrame, vectors: DataFrame, by_tenant: bool = Tru
     return nodes.join(new, keys, "left").withColumn("embedding", F.coalesce("_new", old)).drop("_new")
 
 
+#: What of a node is embedded, by label; a property that is missing is left out.
+EMBEDDED = {
+    "Service": ["{name}", "{language}", "{framework}"],
+    "KafkaTopic": ["{name}", "partitions={partitions}", "retention={retention_ms}ms"],
+    "Database": ["{id}", "type={db_type}"],
+    "K8sDeployment": ["{id}", "namespace={namespace}", "replicas={replicas}"],
+}
+
+
+def embedding_text(columns: list[str]) -> Column:
+    """The text that stands for a node, from the columns that exist; null for labels that aren't embedded."""
+    out = F.lit(None).cast("string")
+    for label, parts in EMBEDDED.items():
+        shown = []
+        for part in parts:
+            head, name, tail = part.replace("}", "{").split("{")
+            if name in columns:
+                shown.append(F.concat(F.lit(head), F.col(name).cast("string"), F.lit(tail)))
+        out = F.when(F.col("label") == label, F.concat_ws(" ", *shown)).otherwise(out)
+    return out
+
+
+def embeddings_due(nodes: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, tenant_id, text, content_hash) of nodes whose text isn't the one that the store (id, tenant_id, content_hash) was made from."""
+    own = nodes.withColumn("text", embedding_text(nodes.columns)).where("text is not null").select("id", "tenant_id", "text", F.sha2("text", 256).alias("content_hash"))
+    return own.join(stored.select("id", "tenant_id", "content_hash").distinct(), ["id", "tenant_id", "content_hash"], "left_anti").select(own.columns)
+
+
 def vector_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     """store (id, tenant_id, embedding, ...) with rows of the same id and tenant replaced."""
     return store.join(new.select("id", "tenant_id"), ["id", "tenant_id"], "left_anti").unionByName(new, allowMissingColumns=True)

@@ -16,16 +16,20 @@ from graphloom.operators.commit import first_of_window
 from graphloom.sources.files import first_json
 
 Model = Callable[[str], str | None]
+#: Token budgets in a stretch of files that one task packs.
+STRETCH = 1000
 
 
 def extract(files: DataFrame, model: Model | None = None, budget: int = 8000) -> tuple[DataFrame, DataFrame]:
     """(services, calls) that a model reads in batches of .go and .py files (path, content) within a budget of tokens.
 
     services: id, name, language, framework, team_owner, read_roles, each id once; calls: src, dst. Bad answers and no model give no rows.
+    Files are taken in order of path, cut into stretches of about STRETCH budgets by running sums in ranges, and packed stretch by stretch.
     """
     rows = files.where(F.col("path").rlike(r"\.(go|py)$")).withColumn("text", sanitize_query(F.col("content"), 100_000))
-    sized = rows.select(F.lit("all").alias("group"), F.col("path").alias("pos"), count_tokens(F.col("text")).alias("cost"))
-    batches = context.token_batches(sized, budget).select(F.col("pos").alias("path"), "batch")
+    sized = context.prefix_sums(rows.select("path", count_tokens(F.col("text")).alias("cost")), ("path",), "cost", "_sum")
+    sized = sized.select(F.floor((F.col("_sum") - F.col("cost")) / (budget * STRETCH)).alias("group"), F.col("path").alias("pos"), "cost")
+    batches = context.token_batches(sized, budget).select(F.col("pos").alias("path"), (F.shiftleft("group", 32) + F.col("batch")).alias("batch"))
     prompts = rows.join(batches, "path").groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: F.concat(F.lit("# "), x["path"], F.lit("\n"), x["text"])), "\n\n").alias("prompt"))
 
     def ask(parts):
@@ -37,7 +41,7 @@ def extract(files: DataFrame, model: Model | None = None, budget: int = 8000) ->
                 out += [(batch, "call", c.get("source"), c.get("target"), None, None, None, None, None) for c in told.get("calls", []) if c.get("source") and c.get("target")]
             yield pd.DataFrame(out, columns=["batch", "kind", "id", "dst", "name", "language", "framework", "team_owner", "path"])
 
-    told = prompts.mapInPandas(ask, "batch int, kind string, id string, dst string, name string, language string, framework string, team_owner string, path string")
+    told = prompts.mapInPandas(ask, "batch long, kind string, id string, dst string, name string, language string, framework string, team_owner string, path string")
     services = first_of_window(told.where("kind = 'service'"), ["id"], "batch")
     services = acl_defaults(services.select("id", "name", "language", "framework", "team_owner", "path"))
     return services, told.where("kind = 'call'").select(F.col("id").alias("src"), "dst").distinct()

@@ -14,7 +14,6 @@ from graphloom.functions.text import nfkc
 from graphloom.operators.governance import _code
 
 # Rules of the content firewall, in order: category, what stands in for a match, pattern.
-_SAID = r"(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"
 CONTENT_RULES = [
     ("instruction_override", "[BLOCKED]", r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+(instructions?|rules?|prompts?)"),
     ("instruction_override", "[BLOCKED]", r"(?i)disregard\s+(all\s+)?(previous|above|prior)?\s*instructions?"),
@@ -25,12 +24,12 @@ CONTENT_RULES = [
     ("system_prompt_marker", "", r"<\|im_end\|>"),
     ("system_prompt_marker", "", r"\[/?INST\]"),
     ("system_prompt_marker", "", r"<{2}/?SYS>{2}"),
-    ("system_prompt_marker", "[BLOCKED]", r"(?im)^\s*system\s*:" + _SAID),
+    ("system_prompt_marker", "[BLOCKED]", r"(?im)^\s*system\s*:(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"),
     ("system_prompt_marker", "[BLOCKED]", r"(?im)^#{1,3}\s+System\s*$"),
-    ("role_injection", "[BLOCKED]", r"(?im)^\s*assistant\s*:" + _SAID),
-    ("role_injection", "[BLOCKED]", r"(?im)^\s*user\s*:" + _SAID),
-    ("role_injection", "[BLOCKED]", r"(?im)^\s*Human\s*:" + _SAID),
-    ("role_injection", "[BLOCKED]", r"(?im)^\s*AI\s*:" + _SAID),
+    ("role_injection", "[BLOCKED]", r"(?im)^\s*assistant\s*:(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"),
+    ("role_injection", "[BLOCKED]", r"(?im)^\s*user\s*:(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"),
+    ("role_injection", "[BLOCKED]", r"(?im)^\s*Human\s*:(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"),
+    ("role_injection", "[BLOCKED]", r"(?im)^\s*AI\s*:(?=[ \t]+[^ \t\n]+[ \t]+[^ \t\n]+[ \t]+[^ \t\n])"),
     ("tag_injection", "", r"(?i)<\s*/?\s*(?:graph_context|user_query|system|assistant)\s*>"),
 ]
 # Letters of other scripts that look like Latin ones, and what they look like.

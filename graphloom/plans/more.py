@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import scalars as S
 from graphloom.functions import text as X
 from graphloom.operators import cache, commit, extraction, firewall, mutations, patterns
 from graphloom.plans import retrieval
@@ -132,9 +133,9 @@ def _threat(p: str) -> str:
     return f"regexp_matches(\"text\", '{'(?' + flags + ')' if flags else ''}{own}')"
 
 
-@query("content_threats", "select conv_id, turn, array_to_string(list_sort(list_distinct([" + ", ".join(f"case when {_threat(p)} then '{c}' end" for c, _, p in firewall.CONTENT_RULES) + "])), ',') threats from conversations where \"text\" is not null")
+@query("content_threats", "select conv_id, turn, case when \"text\" is not null then array_to_string(list_sort(list_distinct([" + ", ".join(f"case when {_threat(p)} then '{c}' end" for c, _, p in firewall.CONTENT_RULES) + "])), ',') end threats from conversations")
 def _(spark, d):
-    rows = table(spark, d, "conversations").where("text is not null")
+    rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", F.array_join(firewall.threats(F.col("text")), ",").alias("threats"))
 
 
@@ -165,10 +166,10 @@ def _(n, e):
     return commit.topology_errors(n.where("label <> 'K8sDeployment'"), e)
 
 
-@query("embedding_upsert", "select a.vec_id id, coalesce(b.embedding, a.embedding)[1]::double x from embeddings a left join embeddings b on b.vec_id + 7 = a.vec_id and b.label % 2 = a.label % 2")
+@query("embedding_upsert", "select a.vec_id id, coalesce(b.embedding, a.embedding)[1]::double x, substring(sha256(array_to_string(list_transform(coalesce(b.embedding, a.embedding), lambda x: printf('%.6f', x::double)), '|')), 1, 16) hash from embeddings a left join embeddings b on b.vec_id + 7 = a.vec_id and b.label % 2 = a.label % 2")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("tenant_id"), "embedding")
-    return commit.embedding_upsert(v, v.withColumn("id", F.col("id") + 7)).select("id", F.col("embedding")[0].cast("double").alias("x"))
+    return commit.embedding_upsert(v, v.withColumn("id", F.col("id") + 7)).select("id", F.col("embedding")[0].cast("double").alias("x"), S.embedding_hash(F.col("embedding")).alias("hash"))
 
 
 @query("vector_delete", "select count(*) n_removed from embeddings where label % 2 = 0 and label < 5")
@@ -177,6 +178,25 @@ def _(spark, d):
     return commit.vector_delete(v, v.where("label < 5").select("id"), TENANT)[1]
 
 
+@query("vector_store_left", "select vec_id id, concat('t', label % 2) tenant_id, substring(sha256(array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::double)), '|')), 1, 16) hash from embeddings where vec_id is not null and not (label % 2 = 0 and label < 5)")
+def _(spark, d):
+    v = table(spark, d, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("label") % 2).alias("tenant_id"), "embedding", "label")
+    left = commit.vector_delete(v, v.where("label < 5").select("id"), TENANT)[0]
+    return left.select("id", "tenant_id", S.embedding_hash(F.col("embedding")).alias("hash"))
+
+
+#: The store was made when services had no language and topics were as now.
+@on_graph(
+    "embeddings_due",
+    "select id, tenant_id, t \"text\", sha256(t) content_hash from (select id, tenant_id, label, language, case label when 'Service' then concat_ws(' ', name, language) when 'Database' then concat_ws(' ', id, concat('type=', db_type)) "
+    "when 'K8sDeployment' then concat_ws(' ', id, concat('namespace=', \"namespace\"), concat('replicas=', replicas)) end t from nodes) where t is not null and (label <> 'Service' or language is not null)",
+)
+def _(n, e):
+    before = n.where("label in ('Service', 'KafkaTopic')").withColumn("language", F.lit(None).cast("string"))
+    stored = before.select("id", "tenant_id", F.sha2(commit.embedding_text(before.columns), 256).alias("content_hash"))
+    return commit.embeddings_due(n, stored)
+
+
 @query("upload_keys", "select doc_id, concat(source, '/raw/a/', doc_id) key from documents where source is not null")
 def _(spark, d):
     docs = table(spark, d, "documents").where("source is not null")
@@ -199,9 +219,12 @@ def _(n, e):
     return commit.export_tenant(n, e, TENANT).select("kind", "id")
 
 
-@on_graph("erasure_verified", "select 0::bigint remaining, true verified")
+#: What is left after a tenant's erasure, and after that of its nodes only.
+@on_graph("erasure_verified", "select 'all' erased, 0::bigint remaining, true verified union all select 'nodes', count(*), count(*) = 0 from edges where tenant_id = 't0'")
 def _(n, e):
-    return commit.verify_erasure(*mutations.erase_tenant(n, e, TENANT), TENANT)
+    left = mutations.erase_tenant(n, e, TENANT)
+    told = [commit.verify_erasure(left[0], rows, TENANT).select(F.lit(what).alias("erased"), "remaining", "verified") for what, rows in (("all", left[1]), ("nodes", e))]
+    return told[0].union(told[1])
 
 
 @on_graph("macro_texts", "select concat('[MacroNode macro-', team_owner, '] (community=', team_owner, ', members=', count(*), '): ', count(*), ' services') \"text\" from nodes where team_owner is not null group by team_owner")

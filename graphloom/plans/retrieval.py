@@ -145,15 +145,20 @@ def neighbourhood_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, top
 
 
 def rerank(candidates: DataFrame, question: str, structure: DataFrame | None = None, lam: float | None = 0.7) -> DataFrame:
-    """(id, rank) of candidates (id, text): BM25 over the candidates, mixed with structural similarity if given, then diversity unless lam is None."""
+    """(id, rank) of candidates (id, text): BM25 over the candidates, mixed with structural similarity if given; unless lam is None the best CANDIDATES are put in
+    order of diversity, and the others follow. Ranks are counted in ranges, so that no task sees all rows; equal scores (to nine decimals) go by id.
+    """
     scored = ranking.bm25(candidates, question, id_col="id")
     scored = candidates.select("id", "text").join(scored, "id", "left").select("id", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     if structure is not None:
         scored = ranking.linear_fusion(scored.select("id", "score"), structure).join(candidates.select("id", "text"), "id")
+    placed = scored.withColumn("score", F.round("score", 9)).withColumn("_one", F.lit(1))
+    placed = context.prefix_sums(placed, (F.desc("score"), F.col("id")), "_one", "rank").withColumn("rank", F.col("rank").cast("int"))
     if lam is None:
-        return scored.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))  # a page of candidates
-    page = scored.select(F.lit(1).alias("query_id"), "id", "score", X.tokens(F.col("text")).alias("words"))
-    return ranking.mmr(page, lam).select("id", "rank")
+        return placed.select("id", "rank")
+    page = placed.where(F.col("rank") <= CANDIDATES).select(F.lit(1).alias("query_id"), "id", "score", X.tokens(F.col("text")).alias("words"))
+    page = ranking.mmr(page, lam).select("id", F.col("rank").alias("_rank"))
+    return placed.join(page, "id", "left").select("id", F.coalesce("_rank", "rank").alias("rank"))
 
 
 @dataclass

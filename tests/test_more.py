@@ -196,3 +196,39 @@ def test_null_groups_and_keys_are_kept_across_arrow_batches(spark):
         assert {x["key"]: x["count"] for x in out} == {None: 2, 4: 2, 5: 2}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prompts_hold_their_budget_across_stretches(spark, monkeypatch):
+    """Files fall in order into stretches; within one, batches stay in the budget unless a file alone is larger; each file is asked about once."""
+    sizes = [40, 400, 8, 120, 80, 4, 4, 300, 60, 60, 60, 20]
+    files = spark.createDataFrame([(f"p{k:02d}.py", "x" * n) for k, n in enumerate(sizes)], "path string, content string")
+    echo = lambda prompt: '{"services": [' + ", ".join(f'{{"id": "{x}", "name": "{hash(prompt)}"}}' for x in prompt.split() if x.endswith(".py")) + "]}"
+    for stretch in (1, 3, 1000):
+        monkeypatch.setattr(extraction, "STRETCH", stretch)
+        rows = extraction.extract(files, echo, budget=50)[0].collect()
+        assert sorted(r["id"] for r in rows) == [f"p{k:02d}.py" for k in range(len(sizes))]
+        own = {}
+        for r in rows:
+            own.setdefault(r["name"], []).append(sizes[int(r["id"][1:3])])
+        assert all(sum(v) // 4 <= 50 or len(v) == 1 for v in own.values()) and len(own) < len(sizes)
+
+
+def test_only_a_page_is_put_in_order_of_diversity(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "login " * (6 - k) + f"w{k % 2}") for k in range(6)] + [(9, None)], "id int, text string")
+    monkeypatch.setattr(retrieval, "CANDIDATES", 4)
+    plain = [r["id"] for r in retrieval.rerank(texts, "login", lam=None).orderBy("rank").collect()]
+    mixed = retrieval.rerank(texts, "login", lam=0.5).orderBy("rank").collect()
+    assert [r["rank"] for r in mixed] == list(range(1, 8)) and [r["id"] for r in mixed][4:] == plain[4:] and {r["id"] for r in mixed[:4]} == set(plain[:4])
+
+
+def test_embeddings_that_are_due(spark):
+    nodes = spark.createDataFrame(
+        [("a", "t", "Service", "a", "go", None), ("b", "t", "Service", "b", None, None), ("d", "t", "Database", "d", None, "pg"), ("m", "t", "MacroNode", "m", None, None), (None, "t", "Service", None, None, None)],
+        "id string, tenant_id string, label string, name string, language string, db_type string",
+    )
+    text = {r["id"]: r["text"] for r in nodes.withColumn("text", commit.embedding_text(nodes.columns)).collect()}
+    assert text == {"a": "a go", "b": "b", "d": "d type=pg", "m": None, None: ""}
+    due = commit.embeddings_due(nodes, nodes.limit(0).withColumn("content_hash", F.lit("x")))
+    assert {r["id"] for r in due.collect()} == {"a", "b", "d", None}
+    changed = nodes.withColumn("language", F.when(F.col("id") == "b", "rust").otherwise(F.col("language")))
+    assert {r["id"] for r in commit.embeddings_due(changed, due).where("id is not null").collect()} == {"b"}
