@@ -58,8 +58,20 @@ def team_owner(path: Column) -> Column:
     return F.when((F.size(parts) > 2) & (F.size(spots) > 0), F.try_element_at(parts, F.try_element_at(spots, F.lit(1)) + 1))
 
 
+def six_decimals(x: Column) -> Column:
+    """A float as C's printf shows it with %.6f: the exact value, ties to even (Java's formatter rounds them up). A float times 10^6 is exact as a double, so rint
+    sees the ties. Null stays null; magnitudes from 9e12 on, which have no fraction, show Java's 17 significant digits."""
+    d = x.cast("double")
+    n = F.abs(F.rint(d * 1e6)).cast("long")
+    sign = F.when(d < 0, "-").when((d == 0) & d.cast("string").startswith("-"), "-").otherwise("")
+    plain = F.concat(sign, F.rint((n - n % 1000000) / 1000000).cast("long").cast("string"), F.lit("."), F.lpad((n % 1000000).cast("string"), 6, "0"))
+    odd = F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(F.format_string("%.6f", d))
+    return F.when(F.abs(d) < 9e12, plain).when(d.isNotNull(), odd)
+
+
 def embedding_hash(v: Column) -> Column:
-    return F.substring(F.sha2(F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), "|"), 256), 1, 16)
+    """Null components don't count."""
+    return F.substring(F.sha2(F.array_join(F.transform(v, six_decimals), "|"), 256), 1, 16)
 
 
 def topology_hash(ids: Column) -> Column:

@@ -264,3 +264,18 @@ def test_graph_analytics_read_all_live_edges(spark):
     assert {r["id"] for r in vectors} <= ids and {r["pos"] for r in vectors} == set(range(128))
     walks = QUERIES["node2vec_walks"](spark, SF).collect()
     assert len(walks) == 10 * len(ids) and {len(r["walk"]) for r in walks} == {80}
+
+
+def test_embedding_hash_rounds_ties_to_even(spark):
+    import hashlib
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.scalars import embedding_hash
+
+    floats = [0.0078125, 0.0234375, -0.0078125, -0.0390625, 0.0, -0.0, -1e-9, 1.5, -123456.789, 8388607.5, 8.9e12, float("nan"), float("inf"), float("-inf"), None]
+    shown = lambda x: "%.6f" % struct.unpack("f", struct.pack("f", x))[0]
+    rows = [(k, [x]) for k, x in enumerate(floats)] + [(98, floats), (99, [])]
+    got = {r["k"]: r["h"] for r in spark.createDataFrame(rows, "k int, v array<float>").select("k", embedding_hash(F.col("v")).alias("h")).collect()}
+    assert got == {k: hashlib.sha256("|".join(shown(x) for x in v if x is not None).encode()).hexdigest()[:16] for k, v in rows}
