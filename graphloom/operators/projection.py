@@ -13,7 +13,9 @@ Defined results: edges with a null end are left out, repeated edges count each t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, remove, shared_folder, stored
 
 DIMS, WEIGHTS = 128, (0.0, 1.0, 1.0, 0.8)
+#: So many numbers of a vector travel along the edges at a time.
+STEP = 32
 
 
 def guard(nodes: int, most_nodes: int = 50_000_000, bytes_per_node: int = 8 * DIMS * 4, most_mb: float = 1_000_000) -> None:
@@ -45,10 +49,10 @@ def _both(edges: DataFrame) -> DataFrame:
     return e.union(e.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("m"))
 
 
-def _added(rows: DataFrame, kind: str, dims: int) -> DataFrame:
-    """(a, n, v): sums of n and of the vectors by a, first within tasks, then over all."""
+def _added(rows: DataFrame, kind: str, dims: int, mean: bool = True) -> DataFrame:
+    """(a, v): the sums of n * v by a, divided by the sum of n if mean; first within tasks, then over all."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch], weigh: bool, divide: bool) -> Iterator[pa.RecordBatch]:
         """Adds rows of equal a that stand together; a batch's last group is carried to the next."""
         held = None
         for b in batches:
@@ -56,6 +60,7 @@ def _added(rows: DataFrame, kind: str, dims: int) -> DataFrame:
                 continue
             x = np.asarray(b.column(2).flatten()).reshape(-1, dims)
             n, own = b.column(1).to_numpy(), b.column(0)
+            x = x * n[:, None] if weigh else x
             new = np.concatenate([[True], np.asarray(pc.not_equal(own[1:], own[:-1]))]) if b.num_rows > 1 else np.ones(1, bool)
             first = np.flatnonzero(new)
             ids, counts, total = own.take(pa.array(first)), np.add.reduceat(n, first), np.add.reduceat(x, first, axis=0)
@@ -63,27 +68,65 @@ def _added(rows: DataFrame, kind: str, dims: int) -> DataFrame:
                 if held[0][0] == ids[0]:
                     counts[0], total[0] = counts[0] + held[1][0], total[0] + held[2][0]
                 else:
-                    yield made(*held)
+                    yield made(*held, divide)
             if len(first) > 1:
-                yield made(ids[:-1], counts[:-1], total[:-1])
+                yield made(ids[:-1], counts[:-1], total[:-1], divide)
             held = ids[-1:], counts[-1:], total[-1:]
         if held is not None:
-            yield made(*held)
+            yield made(*held, divide)
 
-    def made(ids, counts, total) -> pa.RecordBatch:
+    def made(ids, counts, total, divide) -> pa.RecordBatch:
+        total = total / counts[:, None] if divide else total
         lists = pa.FixedSizeListArray.from_arrays(pa.array(total.reshape(-1)), dims).cast(pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([ids, pa.array(counts), lists], ["a", "n", "v"])
 
     schema = f"a {kind}, n long, v array<double>"
-    own = rows.select("a", "n", "v").sortWithinPartitions("a").mapInArrow(fold, schema)
-    return own.repartition("a").sortWithinPartitions("a").mapInArrow(fold, schema)
+    own = rows.select("a", "n", "v").sortWithinPartitions("a").mapInArrow(lambda x: fold(x, True, False), schema)
+    return own.repartition("a").sortWithinPartitions("a").mapInArrow(lambda x: fold(x, False, mean), schema).select("a", "v")
 
 
 def _means(both: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """(id, v): the mean of the neighbours' vectors."""
+    met = both.join(vectors, both["b"] == vectors["id"]).select("a", F.col("m").alias("n"), "v")
+    return _added(met, dict(both.dtypes)["a"], dims).select(F.col("a").alias("id"), "v")
+
+
+def values(edges: DataFrame, dims: int, weights: tuple[float, ...], first: Callable[[Column, int, int], Column], step: int = STEP) -> DataFrame:
+    """(id, pos, value): the weighted sum of all layers, of which first(id, from, until) makes layer 0; a value without any term has no row.
+
+    Positions are worked off in groups of `step`, so what travels along the edges at a time is `step` numbers an edge, and no group leaves more than its values.
+    A vector's -0.0 stands for "no term": sums, means and positive factors keep it, and a sum with another term loses it, even if it is nought.
+    """
+    spark, kept = edges.sparkSession, []
+    both, folder = stored(_both(edges))
     kind = dict(both.dtypes)["a"]
-    met = both.join(vectors, both["b"] == vectors["id"]).select("a", F.col("m").alias("n"), F.transform("v", lambda x: x * F.col("m")).alias("v"))
-    return _added(met, kind, dims).select(F.col("a").alias("id"), F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    out = f"id {kind}, pos int, value double"
+    path = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+
+    def told(lo: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column(1).flatten()).reshape(-1, width)
+            row, at = np.nonzero((x != 0) | ~np.signbit(x))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at + lo).astype(np.int32)), pa.array(x[row, at])], ["id", "pos", "value"])
+
+    def term(x: Column, w: float) -> Column:
+        return F.transform(x, lambda y: F.when((y == 0) & y.cast("string").startswith("-"), y).otherwise(y * w + 0.0))
+
+    for lo in range(0, dims, step):
+        width = min(step, dims - lo)
+        last = both.select(F.col("a").alias("id")).distinct().withColumn("v", first(F.col("id"), lo, lo + width))
+        parts = [last.select("id", term(F.col("v"), weights[0]).alias("v"))]
+        for w in weights[1:]:
+            last, at = stored(_means(both, last, width))
+            kept.append(at)
+            parts.append(last.select("id", term(F.col("v"), w).alias("v")))
+        rows = reduce(DataFrame.union, parts).select(F.col("id").alias("a"), F.lit(1).cast("long").alias("n"), "v")
+        stored(_added(rows, kind, width, mean=False).mapInArrow(lambda x, lo=lo, width=width: told(lo, width, x), out), path, "append")
+        for at in kept:
+            remove(spark, at)
+        kept = []
+    remove(spark, folder)
+    return spark.read.schema(out).parquet(path)
 
 
 def layers(edges: DataFrame, dims: int = DIMS, depth: int = len(WEIGHTS) - 1) -> DataFrame:

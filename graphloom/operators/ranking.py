@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import cosine
@@ -225,19 +225,14 @@ def condense(edges: DataFrame, members: DataFrame, least: int = 3) -> tuple[Data
 
 def fast_rp(edges: DataFrame, dims: int = 128, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 0.8)) -> DataFrame:
     """(id, pos, value): sparse random projection and weighted iterated neighbour means; random signs are hashes of (id, pos)."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
-    deg = both.groupBy("a").agg(F.count("*").alias("deg"))
-    h = F.pmod(F.xxhash64("id", "pos"), F.lit(6))
-    at = both.select(F.col("a").alias("id")).distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
-    v = cut_lineage(at.select("id", "pos", F.when(h == 0, math.sqrt(3.0)).when(h == 1, -math.sqrt(3.0)).otherwise(0.0).alias("x")).where("x <> 0"))
-    parts = [v.select("id", "pos", (F.col("x") * weights[0]).alias("x"))]
-    for w in weights[1:]:
-        v = cut_lineage(both.join(v, both["b"] == v["id"]).groupBy("a", "pos").agg(F.sum("x").alias("x")).join(deg, "a").select(F.col("a").alias("id"), "pos", (F.col("x") / F.col("deg")).alias("x")))
-        parts.append(v.select("id", "pos", (F.col("x") * w).alias("x")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("id", "pos").agg(F.sum("x").alias("value"))
+    from graphloom.operators import projection
+
+    h = lambda node, k: F.pmod(F.xxhash64(node, k), F.lit(6))
+
+    def signs(node: Column, lo: int, until: int) -> Column:
+        return F.transform(F.sequence(F.lit(lo), F.lit(until - 1)), lambda k: F.when(h(node, k) == 0, math.sqrt(3.0)).when(h(node, k) == 1, -math.sqrt(3.0)).otherwise(-0.0))
+
+    return projection.values(edges, dims, weights, signs)
 
 
 def knn(vectors: DataFrame, query: list[float], k: int = 10, tenant: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -152,3 +152,45 @@ def test_guards():
     m.upgrade()
     m.rollback(0)
     assert done == [] and m.pending() == [1]
+
+
+def test_fast_rp_in_groups_equals_plain_sums_and_leaves_no_rounds(spark, tmp_path):
+    import math
+    import os
+
+    from graphloom.operators import projection
+    from graphloom.session import shared_folder
+
+    pairs = [(f"n{a}", f"n{b}") for a, b in [(0, 1), (1, 2), (1, 2), (2, 2), (3, 4), (0, 5), (0, 6), (6, 7)]]
+    edges = spark.createDataFrame([*pairs, ("n0", None)], "src string, dst string")
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    got = {(r["id"], r["pos"]): r["value"] for r in ranking.fast_rp(edges, 5).collect()}
+    assert got == pytest.approx({(r["id"], r["pos"]): r["value"] for r in projection.values(edges, 5, projection.WEIGHTS, _plain_signs, 2).collect()})
+    left = set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before
+    assert {x.split("-")[0] for x in left} <= {"values"}, "the rounds' rows are gone"
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    h = {(r["id"], r["pos"]): r["h"] for r in spark.createDataFrame([(v, k) for v in near for k in range(5)], "id string, pos int").selectExpr("id", "pos", "pmod(xxhash64(id, pos), 6) h").collect()}
+    x = {k: math.sqrt(3) * (1 if v == 0 else -1) for k, v in h.items() if v < 2}
+    want = {k: 0.0 for k in x}
+    for w in (1.0, 1.0, 0.8):
+        new: dict = {}
+        for v, us in near.items():
+            for k in range(5):
+                if told := [x[u, k] for u in us if (u, k) in x]:
+                    new[v, k] = sum(told) / len(us)
+        x = new
+        for k, value in x.items():
+            want[k] = want.get(k, 0.0) + w * value
+    assert got == pytest.approx(want)
+
+
+def _plain_signs(node, lo, until):
+    import math
+
+    from pyspark.sql import functions as F
+
+    h = lambda k: F.pmod(F.xxhash64(node, k), F.lit(6))
+    return F.transform(F.sequence(F.lit(lo), F.lit(until - 1)), lambda k: F.when(h(k) == 0, math.sqrt(3.0)).when(h(k) == 1, -math.sqrt(3.0)).otherwise(-0.0))
