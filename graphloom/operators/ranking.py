@@ -211,7 +211,10 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
-    return by_component(edges, articulation_local, "is_cut", "boolean").select("id")
+    """(id) of the cut vertices, of components of any size."""
+    from graphloom.operators.structure import cut_vertices
+
+    return cut_vertices(edges)
 
 
 def condense(edges: DataFrame, members: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:

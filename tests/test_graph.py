@@ -194,3 +194,9 @@ def _plain_signs(node, lo, until):
 
     h = lambda k: F.pmod(F.xxhash64(node, k), F.lit(6))
     return F.transform(F.sequence(F.lit(lo), F.lit(until - 1)), lambda k: F.when(h(k) == 0, math.sqrt(3.0)).when(h(k) == 1, -math.sqrt(3.0)).otherwise(-0.0))
+
+
+def test_articulation_points_have_no_largest_component(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "by_component", lambda *a, **k: pytest.fail("a component in one task"))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("d", "e"), ("d", "e")], "src string, dst string")
+    assert {r["id"] for r in ranking.articulation_points(edges).collect()} == {"c", "d"}
