@@ -272,10 +272,11 @@ def _(spark, d):
     n, e = graph(spark, d)
     part, v, folder = table(spark, d, "part"), table(spark, d, "embeddings"), _folder(spark, "question-vectors")
     acl = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("Ns_asia"), F.lit("Ns_europe")))
-    asked = part.select(F.col("p_partkey").alias("query_id"), F.expr(ASKED).alias("text"), F.concat(F.lit("t"), F.col("p_partkey") % 2).alias("tenant_id"), acl.alias("acl"))
-    carried = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 500).alias("vec_id"))
+    carried = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 500)
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.expr(ASKED).alias("text"), F.concat(F.lit("t"), F.col("p_partkey") % 2).alias("tenant_id"), acl.alias("acl"), carried.alias("near_id"))
     vector_index.create(spark, folder, vector_index.fit(v, 16))
     vector_index.add(v, folder, "1")
-    near = vector_index.search(carried.join(v, "vec_id").select("query_id", F.col("embedding").alias("v")), folder, k=50, exact=True)
-    near = near.select("query_id", F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("id"), "score")
+    vectors = v.join(asked.select(F.col("near_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    near = vector_index.search(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), folder, k=50, exact=True)
+    near = near.select(F.col("query_id").alias("near_id"), F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("id"), "score")
     return questions.contexts(asked, n, e, cut_lineage(near), budget=2000)

@@ -1,6 +1,7 @@
 """Contexts of many questions in one plan: routes, candidates, hops and templates, ranking and budgets are joins and windows keyed by the question.
 
-questions: query_id, text, tenant_id, and acl (array of access labels; null: all, empty: the public label only). No step brings a question to the driver.
+questions: query_id (unique), text, tenant_id, acl (array of access labels; null: all, empty: the public label only), and near_id if several questions share the
+nearest rows. No step brings a question to the driver. Questions that ask the same (tenant, labels, text, near_id) are answered once, for the one of least query_id.
 What is joined by name or namespace is joined with the tenant, so a question never meets rows of another. Null texts ask nothing.
 """
 
@@ -33,9 +34,27 @@ def permitted(label: Column, acl: Column) -> Column:
 def routed(questions: DataFrame) -> DataFrame:
     """query_id, tenant_id, acl, text, route, intent, and what the template needs: name, topic_name, namespace."""
     m = R.template_match(F.col("text"))
-    own = questions.where("query_id is not null and text is not null").select("query_id", "tenant_id", "acl", "text", X.route(X.classify(F.col("text"))).alias("route"), m.alias("m"))
+    kept = [c for c in ("query_id", "tenant_id", "acl", "text", "near_id") if c in questions.columns]
+    own = questions.where("query_id is not null and text is not null").select(*kept, X.route(X.classify(F.col("text"))).alias("route"), m.alias("m"))
     intent = F.when(F.col("route").isin("cypher", "hybrid"), F.col("m.intent"))
-    return own.select("query_id", "tenant_id", "acl", "text", "route", intent.alias("intent"), "m.name", "m.topic_name", "m.namespace")
+    return own.select(*kept, "route", intent.alias("intent"), "m.name", "m.topic_name", "m.namespace")
+
+
+def shared(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, _rep): the question that is answered for it, the rows of those questions)."""
+    same = F.sha2(F.to_json(F.struct(*(c for c in ("tenant_id", "acl", "text", "near_id") if c in asked.columns))), 256)
+    keyed = asked.withColumn("_key", same)
+    least = keyed.groupBy("_key").agg(F.min("query_id").alias("_rep"), F.count("*").alias("_n"))
+    members = cut_lineage(keyed.select("_key", "query_id").join(least, "_key").select("query_id", "_rep", "_n").distinct())
+    return members, asked.join(members.where("query_id = _rep").select("query_id"), "query_id", "left_semi")
+
+
+def expanded(out: DataFrame, members: DataFrame, each: int = 1000) -> DataFrame:
+    """out for every question; questions that many ask alike are dealt in parts of about `each`, so no task gets all of them."""
+    parts = lambda n: F.ceil(n / each).cast("int")
+    dealt = members.select("query_id", "_rep", F.pmod(F.xxhash64("query_id"), parts(F.col("_n"))).cast("int").alias("_part"))
+    counts = members.where("query_id = _rep").select("_rep", F.explode(F.sequence(F.lit(0), parts(F.col("_n")) - 1)).alias("_part"))
+    return out.withColumnRenamed("query_id", "_rep").join(counts, "_rep").join(dealt, ["_rep", "_part"]).select("query_id", "rank", "kind", "text")
 
 
 def candidates(asked: DataFrame, nodes: DataFrame, edges: DataFrame, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -111,12 +130,14 @@ def _text(values: list) -> Column:
     return F.concat_ws(" ", *(F.col(v).cast("string") if isinstance(v, str) else v for v in values))
 
 
-def templates(asked: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 3, limit: int = 10) -> DataFrame:
-    """(query_id, text): the rows of the template that each question asks for. Questions of equal scope (tenant and labels) share the two counts over all calls."""
+def templates(asked: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 3, limit: int = 10, without: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, text): the rows of the template that each question asks for, but those of `without`. Questions of equal scope (tenant and labels) share the two counts over all calls."""
     h = cut_lineage(hops_of(nodes, edges))
     visible = lambda rows: rows.where(permitted(F.col("s_acl_label"), F.col("acl")) & permitted(F.col("t_acl_label"), F.col("acl")))
     out = []
     for intent, (where, column, need, values, order, most, once) in ONE_HOP.items():
+        if intent in without:
+            continue
         q = asked.where(F.col("intent") == intent).select("query_id", "tenant_id", "acl", F.col(need).alias(column))
         rows = visible(h.where(where).join(q, ["tenant_id", column]))
         rows = _best(rows, order, most).select("query_id", _text(values).alias("text"))
@@ -142,11 +163,39 @@ def templates(asked: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int =
     return reduce(DataFrame.union, out)
 
 
-def ranked(rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, lam: float | None = None) -> DataFrame:
+def namespace_rows(asked: DataFrame, nodes: DataFrame, edges: DataFrame, most: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, text), (query_id, n, total)): services of a namespace that can have a place within the budget, and how many rows and words the others have.
+
+    Their number grows with the graph for every question, so they are made once for each scope and namespace. For one wording, rows of equal length that hold its words
+    equally often have equal scores and stand in the order of their ids; so the rows of such a class after those that fill the budget by themselves, and after the first
+    `most`, are never reached. They count in the mean length.
+    """
+    where, column, _, values, _, _, _ = ONE_HOP["namespace_services"]
+    told = asked.where("intent = 'namespace_services'").select("query_id", "tenant_id", F.to_json(F.struct("acl")).alias("scope"), "acl", "text", F.col("namespace").alias(column))
+    keys = ["tenant_id", "scope", column]
+    scopes = told.select(*keys, "acl").dropDuplicates(keys)
+    rows = hops_of(nodes, edges).where(where).join(scopes, ["tenant_id", column])
+    rows = rows.where(permitted(F.col("s_acl_label"), F.col("acl")) & permitted(F.col("t_acl_label"), F.col("acl"))).select(*keys, _text(values).alias("row")).distinct()
+    rows = rows.withColumn("w", X.tokens(F.col("row"))).join(told.select(*keys, "text").distinct(), keys)
+    often = F.transform(F.array_sort(F.array_distinct(X.tokens(F.col("text")))), lambda t: F.size(F.filter("w", lambda x: x == t)))
+    rows = cut_lineage(rows.select(*keys, "text", "row", F.size("w").alias("dl"), F.to_json(often).alias("class"), F.sha2("row", 256).alias("id")))
+    place = Window.partitionBy(*keys, "text", "dl", "class").orderBy("id")
+    kept = rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= max(most, budget + 1))  # only the empty text costs nothing
+    spent = F.sum(count_tokens(F.col("row"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    kept = cut_lineage(kept.withColumn("_spent", spent).where((F.col("_spent") <= budget) | (F.col("_k") <= most)))
+    size = lambda of, sign: of.groupBy(*keys, "text").agg((sign * F.count("*")).alias("n"), (sign * F.sum("dl")).alias("total"))
+    rest = size(rows, 1).union(size(kept, -1)).groupBy(*keys, "text").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    own = told.select(*keys, "text", "query_id")
+    return own.join(kept, [*keys, "text"]).select("query_id", F.col("row").alias("text")), own.join(rest, [*keys, "text"]).select("query_id", "n", "total")
+
+
+def ranked(rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, lam: float | None = None, others: DataFrame | None = None) -> DataFrame:
     """rows (query_id, id, text, ...) and rank: BM25 of each question's words over its own rows, ties by id. With lam the best PAGE rows are put in order of
-    diversity; the others follow as they were."""
+    diversity; the others follow as they were. others (query_id, n, total) tells of rows that aren't shown, but count in the mean length."""
     words = rows.select("query_id", "id", X.tokens(F.col("text")).alias("w"))
-    mean = words.groupBy("query_id").agg(F.avg(F.size("w")).alias("avgdl"))
+    lengths = words.select("query_id", F.lit(1).cast("long").alias("n"), F.size("w").cast("long").alias("total"))
+    lengths = lengths if others is None else lengths.union(others.select("query_id", "n", "total"))
+    mean = lengths.groupBy("query_id").agg((F.sum("total") / F.sum("n")).alias("avgdl"))
     asked = questions.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     terms = words.select("query_id", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, ["query_id", "term"])
     terms = terms.groupBy("query_id", "id", "dl", "term", "qn").agg(F.count("*").alias("tf")).join(mean, "query_id")
@@ -164,19 +213,27 @@ def ranked(rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.
 def contexts(questions: DataFrame, nodes: DataFrame, edges: DataFrame, near: DataFrame | None = None, budget: int = 32_000, lam: float | None = None, tolerance: float | None = None) -> DataFrame:
     """(query_id, rank, kind, text): each question's context within its budget of tokens, best first; the notice of a degraded question is rank 0.
 
-    kind is notice, candidate or result; equal texts of a kind count once. A question that finds nothing has only its notice, or no row.
+    near is (query_id, id, score), or (near_id, id, score) if the questions have a near_id. kind is notice, candidate or result; equal texts of a kind count once. A question that finds nothing has only its notice, or no row.
     """
     asked = cut_lineage(routed(questions))
+    if near is not None and "near_id" not in asked.columns:
+        asked = asked.withColumn("near_id", F.col("query_id"))
+        near = near.withColumnRenamed("query_id", "near_id")
+    members, asked = shared(asked)
+    asked = cut_lineage(asked)
+    if near is not None:
+        near = cut_lineage(near.join(asked.select("query_id", "near_id"), "near_id").select("query_id", "id", "score"))
     found, degraded = candidates(asked, nodes, edges, near)
     found = cut_lineage(found)
     columns = sorted({*nodes.columns, "score"} - {"tenant_id"})
     shown = found.withColumn("score", F.format_string("%.4f", "score")).select("query_id", F.lit("candidate").alias("kind"), _text(columns).alias("text"))
     hop = neighbours(asked, found, nodes, edges, tolerance).select("query_id", F.lit("result"), _text(["rel", "source", "target"]))
-    told = templates(asked, nodes, edges).select("query_id", F.lit("result"), "text")
+    told = templates(asked, nodes, edges, without=("namespace_services",)).select("query_id", F.lit("result"), "text")
+    many, others = namespace_rows(asked, nodes, edges, PAGE, budget)
     notice = degraded.select("query_id", F.lit("notice"), F.lit(NOTICE))
-    rows = shown.union(hop).union(told).union(notice).distinct()
+    rows = shown.union(hop).union(told).union(many.select("query_id", F.lit("result"), "text")).union(notice).distinct()
     rows = cut_lineage(rows.withColumn("id", F.concat_ws(":", "kind", F.sha2("text", 256))))
-    out = ranked(rows, asked, lam=lam).withColumn("rank", F.when(F.col("kind") == "notice", 0).otherwise(F.col("rank")))
+    out = ranked(rows, asked, lam=lam, others=others).withColumn("rank", F.when(F.col("kind") == "notice", 0).otherwise(F.col("rank")))
     until = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_sum", F.sum(count_tokens(F.col("text"))).over(until)).where(F.col("_sum") <= budget)
-    return out.select("query_id", "rank", "kind", "text")
+    return expanded(cut_lineage(out.select("query_id", "rank", "kind", "text")), members)

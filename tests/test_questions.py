@@ -95,3 +95,25 @@ def test_diverse_pages_and_ties(spark):
     assert [plain[1, f"r{k}"] for k in range(5)] == [1, 2, 3, 4, 5] and [plain[2, f"r{k}"] for k in range(5)] == [1, 2, 3, 4, 5]
     mixed = {(r["query_id"], r["id"]): r["rank"] for r in questions.ranked(rows, asked, lam=0.3).collect()}
     assert mixed[1, "r0"] == 1 and mixed[1, "r1"] > mixed[1, "r2"] and sorted(mixed.values()) == sorted(plain.values())
+
+
+def test_equal_questions_are_answered_once_from_the_rows_that_can_count(spark, monkeypatch):
+    n, e = graph(spark, SF)
+    text, met, real = "rank namespace asia services", [], questions.ranked
+
+    def ranked(rows, *args, **kwargs):
+        met.append(rows.count())
+        return real(rows, *args, **kwargs)
+
+    monkeypatch.setattr(questions, "ranked", ranked)
+    asked = spark.createDataFrame([(k, text, "t0", None) for k in range(40)], SCHEMA)
+    whole = [tuple(r) for r in questions.contexts(asked.limit(1), n, e, budget=10**6).orderBy("rank").select("rank", "kind", "text").collect()]
+    got: dict = {}
+    for r in questions.contexts(asked, n, e, budget=60).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["kind"], r["text"]))
+    used, want = 0, []
+    for row in whole:
+        used += max(1, len(row[2]) // 4)
+        want += [row] if used <= 60 else []
+    assert set(got) == set(range(40)) and all(sorted(x) == want for x in got.values()) and len(want) < len(whole)
+    assert met[1] <= met[0], "rows of one question are ranked, not of forty"
