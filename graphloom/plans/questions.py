@@ -180,8 +180,8 @@ def namespace_rows(asked: DataFrame, nodes: DataFrame, edges: DataFrame, most: i
     often = F.transform(F.array_sort(F.array_distinct(X.tokens(F.col("text")))), lambda t: F.size(F.filter("w", lambda x: x == t)))
     rows = cut_lineage(rows.select(*keys, "text", "row", F.size("w").alias("dl"), F.to_json(often).alias("class"), F.sha2("row", 256).alias("id")))
     place = Window.partitionBy(*keys, "text", "dl", "class").orderBy("id")
-    kept = rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= max(most, budget + 1))  # only the empty text costs nothing
-    spent = F.sum(count_tokens(F.col("row"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= max(most, budget + 2))  # only the empty text costs nothing
+    spent = F.sum(count_tokens(F.col("row"))).over(place.rowsBetween(Window.unboundedPreceding, 0)) - count_tokens(F.col("row"))  # the row that overflows stays, so none after it fits
     kept = cut_lineage(kept.withColumn("_spent", spent).where((F.col("_spent") <= budget) | (F.col("_k") <= most)))
     size = lambda of, sign: of.groupBy(*keys, "text").agg((sign * F.count("*")).alias("n"), (sign * F.sum("dl")).alias("total"))
     rest = size(rows, 1).union(size(kept, -1)).groupBy(*keys, "text").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

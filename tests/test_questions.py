@@ -109,11 +109,11 @@ def test_equal_questions_are_answered_once_from_the_rows_that_can_count(spark, m
     asked = spark.createDataFrame([(k, text, "t0", None) for k in range(40)], SCHEMA)
     whole = [tuple(r) for r in questions.contexts(asked.limit(1), n, e, budget=10**6).orderBy("rank").select("rank", "kind", "text").collect()]
     got: dict = {}
-    for r in questions.contexts(asked, n, e, budget=60).collect():
+    for r in questions.contexts(asked, n, e, budget=30).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["kind"], r["text"]))
     used, want = 0, []
     for row in whole:
         used += max(1, len(row[2]) // 4)
-        want += [row] if used <= 60 else []
+        want += [row] if used <= 30 else []
     assert set(got) == set(range(40)) and all(sorted(x) == want for x in got.values()) and len(want) < len(whole)
     assert met[1] <= met[0], "rows of one question are ranked, not of forty"
