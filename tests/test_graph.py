@@ -200,3 +200,17 @@ def test_articulation_points_have_no_largest_component(spark, monkeypatch):
     monkeypatch.setattr(ranking, "by_component", lambda *a, **k: pytest.fail("a component in one task"))
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("d", "e"), ("d", "e")], "src string, dst string")
     assert {r["id"] for r in ranking.articulation_points(edges).collect()} == {"c", "d"}
+
+
+def test_distributed_walks_keep_no_rounds(spark):
+    import os
+
+    from graphloom.session import shared_folder
+
+    edges = spark.createDataFrame([(f"n{a}", f"n{(a * 7 + 3) % 12}") for a in range(12)] + [("n0", "n5"), ("n5", "n9")], "src string, dst string")
+    rows = lambda w: {(r["id"], r["walk_no"]): r["walk"] for r in w.collect()}
+    want = rows(walks.random_walks(edges, 4, 2))
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    got = walks.random_walks(edges, 4, 2, small=0)
+    left = [x for x in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before if x.split("-")[0] in ("rows", "steps", "walks")]
+    assert rows(got) == want and len(left) == 1 and left[0].startswith("walks-")
