@@ -232,3 +232,18 @@ def test_embeddings_that_are_due(spark):
     assert {r["id"] for r in due.collect()} == {"a", "b", "d", None}
     changed = nodes.withColumn("language", F.when(F.col("id") == "b", "rust").otherwise(F.col("language")))
     assert {r["id"] for r in commit.embeddings_due(changed, due).where("id is not null").collect()} == {"b"}
+
+
+def test_louvain_rounds_equal_the_sequential_sweeps(spark):
+    """Components above most_edges raised, or met in one task; now rounds give the same communities."""
+    import random
+
+    from graphloom.operators import ranking
+
+    r = random.Random(5)
+    pairs = [(f"n{k}", f"h{k % 2}") for k in range(14)] + [(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(20)]
+    pairs += [("x", "y"), ("y", "z"), ("z", "x"), ("lone", "lone"), ("n1", None), (None, "n2")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    own = ranking.louvain_local([p for p in pairs if None not in p], sweeps=2)
+    got = ranking.communities(edges, sweeps=2, most_edges=10).collect()
+    assert {x["id"]: x["community"] for x in got} == {v: c for v, c in own.items() if v != "lone"} and len(got) == len(own) - 1
