@@ -5,16 +5,20 @@ All state is rows of (question, node), so a round is one plan for all questions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import count_tokens
 from graphloom.operators.patterns import degree, live
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, remove, shared_folder, stored
 
 HOPS, BEAM, PER_SOURCE, LIMIT, VISITED, SUPERNODE = 5, 50, 50, 200, 50, 500
 #: A hub's neighbours are dealt in parts of about so many.
 PART = 10_000
+#: Rounds of at most so many steps along an edge look up what they touch in a broadcast of that size; others are grouped with all that is known.
+FEW = 500_000
 
 
 def ranked_targets(nodes: DataFrame, edges: DataFrame, per_source: int = PER_SOURCE, supernode: int = SUPERNODE) -> DataFrame:
@@ -98,27 +102,46 @@ def forward_push(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-6, da
     A node pushes when its residual is above tolerance * degree: 1 - damping of it becomes score, the rest goes to its neighbours. Only such nodes
     meet the edges, so the work depends on the tolerance and not on the graph; a score is below the true one by at most tolerance * degree of the node.
     A hub's neighbours are dealt in parts, and its residual to each. Seeds that are on no edge don't count; a question without others has no rows.
+
+    A round writes only the rows whose residual it changed, each with the round's number, and looks up the last version of these; the state as a whole is never
+    written again, and scores are sums over the versions that pushed. Nodes and questions travel as numbers, a node's neighbours as one row for each part.
     """
+    spark = edges.sparkSession
     e = live(edges).where("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = e.union(e.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("m"))
-    deg = cut_lineage(both.groupBy("a").agg(F.sum("m").alias("deg"), F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    near = cut_lineage(both.join(deg.select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "part", "b", "m").repartition("a", "part"))
-    own = seeds.where("query_id is not null").select("query_id", "id").distinct().join(deg.withColumnRenamed("a", "id"), "id")
-    state = own.select("query_id", "id", "deg", "parts", F.lit(0.0).alias("p"), (1.0 / F.count("*").over(Window.partitionBy("query_id"))).alias("r"))
-    state = cut_lineage(state)
-    for _ in range(most_rounds):
-        push = F.col("r") > tolerance * F.col("deg")
-        active = state.where(push)
-        if active.isEmpty():
+    both, at = stored(e.union(e.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("m")))
+    deg = both.groupBy("a").agg(F.sum("m").alias("deg"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    named, _ = stored(deg.select(F.col("a").alias("id"), F.monotonically_increasing_id().alias("v"), "deg", "parts"))
+    ends = both.join(named.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("parts").alias("pa")), "a").join(named.withColumnRenamed("id", "b"), "b")
+    part = F.pmod(F.xxhash64("v"), F.col("pa")).cast("int").alias("part")
+    near, near_at = stored(ends.select("va", part, F.struct("v", "m", "deg", "parts").alias("to")).groupBy("va", "part").agg(F.collect_list("to").alias("to")))
+    remove(spark, at)
+    own = seeds.where("query_id is not null").select("query_id", "id").distinct().join(named, "id")
+    own = cut_lineage(own.select("query_id", "v", "deg", "parts", (1.0 / F.count("*").over(Window.partitionBy("query_id"))).alias("r")))
+    asked, _ = stored(own.select("query_id").distinct().select("query_id", F.monotonically_increasing_id().alias("q")))
+    log, form = f"{shared_folder(spark)}/push-{uuid.uuid4().hex}", "q long, v long, deg long, parts int, r double, n int"
+    push = F.col("r") > tolerance * F.col("deg")
+    touched, _ = stored(own.join(asked, "query_id").select("q", "v", "deg", "parts", "r"), f"{log}/n=0")
+    for n in range(1, most_rounds + 1):
+        active = touched.where(push)
+        volume = active.agg(F.sum("deg")).first()[0]
+        if volume is None:
             break
-        parted = active.select("query_id", F.col("id").alias("a"), (damping * F.col("r") / F.col("deg")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        gains = parted.join(near, ["a", "part"]).groupBy("query_id", F.col("b").alias("id")).agg(F.sum(F.col("x") * F.col("m")).alias("g"))
-        kept = state.select("query_id", "id", (F.col("p") + F.when(push, (1 - damping) * F.col("r")).otherwise(0.0)).alias("p"), F.when(push, 0.0).otherwise(F.col("r")).alias("r"))
-        new = kept.join(gains, ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("r"))
-        state = cut_lineage(new.join(deg.withColumnRenamed("a", "id"), "id").select("query_id", "id", "deg", "parts", "p", "r"))
+        parted = active.select("q", F.col("v").alias("va"), (damping * F.col("r") / F.col("deg")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        flow = parted.join(near, ["va", "part"]).select("q", "x", F.explode("to").alias("to"))
+        flow = flow.select("q", "to.v", "to.deg", "to.parts", (F.col("x") * F.col("to.m")).alias("g"), F.lit(None).cast("double").alias("r"), F.lit(None).cast("int").alias("n"))
+        before = spark.read.schema(form).option("basePath", log).parquet(log)
+        if volume <= FEW:
+            before = before.join(F.broadcast(flow.select("q", "v").distinct()), ["q", "v"], "left_semi")
+        none = F.lit(None)
+        before = before.select("q", "v", none.cast("long").alias("deg"), none.cast("int").alias("parts"), none.cast("double").alias("g"), F.when(push, 0.0).otherwise(F.col("r")).alias("r"), "n")
+        each = flow.union(before).groupBy("q", "v").agg(F.max("deg").alias("deg"), F.max("parts").alias("parts"), F.sum("g").alias("g"), F.max_by("r", "n").alias("r"))
+        new = each.where("g is not null").select("q", "v", "deg", "parts", (F.coalesce("r", F.lit(0.0)) + F.col("g")).alias("r"))
+        touched, _ = stored(new, f"{log}/n={n}")
     else:
         raise RuntimeError("residuals did not settle")
-    return state.where("p > 0").select("query_id", "id", F.col("p").alias("score"))
+    remove(spark, near_at)
+    pushed = spark.read.schema(form).option("basePath", log).parquet(log).where(push).groupBy("q", "v").agg(F.sum(round(1 - damping, 15) * F.col("r")).alias("score"))
+    return pushed.join(named.select("v", "id"), "v").join(asked, "q").select("query_id", "id", "score")
 
 
 def ranked_filter(edges: DataFrame, scores: DataFrame, top: int = 50) -> DataFrame:

@@ -257,6 +257,35 @@ def test_forward_push_is_within_its_tolerance(spark):
     assert [(x["src"], x["dst"]) for x in near] == [("x", "y")]
 
 
+def test_a_round_of_pushes_writes_only_what_it_touched(spark, monkeypatch):
+    pairs, written, own = [(f"n{k}", f"n{k + 1}") for k in range(6)] + [("n3", f"leaf{k}") for k in range(9)], [], traversal.stored
+    near = collections.defaultdict(list)
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    r, p, want = {"n0": 1.0}, collections.Counter(), [1]
+    while active := {v: x for v, x in r.items() if x > 0.05 * len(near[v])}:
+        gains = collections.Counter()
+        for v, x in active.items():
+            p[v], r[v] = p[v] + 0.15 * x, 0.0
+            for b in near[v]:
+                gains[b] += 0.85 * x / len(near[v])
+        want.append(len(gains))
+        r |= {b: r.get(b, 0.0) + g for b, g in gains.items()}
+
+    def counted(df, path=None, mode="errorifexists"):
+        out = own(df, path, mode)
+        if "r" in df.columns:
+            written.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(traversal, "stored", counted)
+    monkeypatch.setattr(traversal, "FEW", 0)
+    e = spark.createDataFrame([(a, b, None) for a, b in pairs], "src string, dst string, tombstoned_day long")
+    got = {x["id"]: x["score"] for x in traversal.forward_push(spark.createDataFrame([(1, "n0")], "query_id int, id string"), e, 0.05).collect()}
+    assert got == pytest.approx(dict(p)) and written == want and sum(written) < 0.6 * len(written) * len(r)
+
+
 def test_claimed_paths_meet_in_the_middle(spark):
     e = spark.createDataFrame([(f"a{k}", f"a{k + 1}", None) for k in range(8)] + [("a3", "a0", None), ("a0", "a8", 5), ("b", "b", None)], "src string, dst string, tombstoned_day long")
     pairs = [(f"a{i}", f"a{j}") for i in range(9) for j in range(9)] + [("b", "b"), ("b", "a0"), (None, "a1"), ("a1", "zz")]
