@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, remove, stored
 
 BLOCK = 128
 K1, B = 1.2, 0.75
@@ -51,6 +51,20 @@ def _whole(spark: SparkSession, folder: str, name: str, schema: str) -> DataFram
     return rows.join(F.broadcast(increments(spark, folder).select("batch")), "batch", "left_semi")  # one short row for each increment
 
 
+def _counted(batches):
+    """Rows (id, w) become (id, dl, terms, tfs): a row's different words and how often it has each; dl is null for null."""
+    for b in batches:
+        w = b.column(1)
+        dl = pc.list_value_length(w)
+        n = dl.fill_null(0).to_numpy()
+        words = w.flatten().dictionary_encode()
+        many = max(len(words.dictionary), 1)
+        key, tf = np.unique(np.repeat(np.arange(b.num_rows), n) * many + words.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(b.num_rows + 1) * many).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(key % many)))
+        yield pa.RecordBatch.from_arrays([b.column(0), dl, terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["id", "dl", "terms", "tfs"])
+
+
 def _blocks(batches):
     """Rows sorted by term and falling weight become blocks; a block ends where the term or the Arrow batch does, or after BLOCK rows."""
     for b in batches:
@@ -71,17 +85,20 @@ def _blocks(batches):
 
 
 def add(docs: DataFrame, folder: str, batch: str, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Indexes the documents that no earlier increment holds."""
+    """Indexes the documents that no earlier increment holds. Texts are split once: each row's terms are stored with their counts, and all else is read from there."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     if increments(spark, folder) is not None:
         before = _whole(spark, folder, "docs", f"id {kind}, batch string").where(F.col("batch") != batch)
         rows = rows.join(before.select("id"), "id", "left_anti")
-    rows = rows.withColumn("dl", F.size("w"))
+    form = f"id {kind}, dl int, terms array<string>, tfs array<int>"
+    rows, at = stored(rows.select("id", tokens(F.col("text")).alias("w")).mapInArrow(_counted, form))
     rows.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/docs/batch={batch}")
-    counts = rows.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    dealt = counts.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "id", "tf", F.col("dl").cast("int").alias("dl"))
+    counts = rows.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("id", "dl", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    if not rows.groupBy("id", "dl").count().where("count > 1").isEmpty():  # rows of one id and length count as one
+        counts = counts.groupBy("id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
+    dealt = counts.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
     order = ("bucket", "term", F.desc(F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / 100))), "id")  # any length serves for the order: bounds hold whatever it is
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -89,6 +106,7 @@ def add(docs: DataFrame, folder: str, batch: str, buckets: int = 256, id_col: st
     dealt.mapInArrow(_blocks, schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/batch={batch}")
     stats = rows.agg(F.count("*").alias("n_docs"), F.count("dl").alias("n_long"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats/batch={batch}")  # now the increment counts
+    remove(spark, at)
 
 
 def search(questions: DataFrame, folder: str, k: int = 10, true_idf: bool = False, id_type: str = "long", buckets: int = 256, few: int = 1000) -> DataFrame:

@@ -43,6 +43,21 @@ def test_blocks_hold_their_bounds_and_few_words_read_few_of_them(spark, tmp_path
     assert search_index.block_share(spark.createDataFrame([("rare17",)], "text string"), folder) < 0.01
 
 
+def test_an_increment_splits_its_texts_once(spark, tmp_path, monkeypatch):
+    split, n = search_index.tokens, spark.sparkContext.accumulator(0)
+
+    def told(text):
+        n.add(1)
+        return text
+
+    monkeypatch.setattr(search_index, "tokens", lambda c: split(F.udf(told, "string")(c)))
+    docs, folder = spark.createDataFrame([(k, f"a b{k % 7} a") for k in range(50)] + [(50, None), (3, "a b3 a")], "doc_id long, text string"), str(tmp_path / "i")
+    search_index.add(docs, folder, "1", 4)
+    assert n.value == 52
+    tfs = {(i, t): f for r in spark.read.parquet(f"{folder}/postings").collect() for i, f in zip(r["ids"], r["tfs"], strict=True) for t in [r["term"]]}
+    assert tfs[0, "a"] == 2 and tfs[0, "b0"] == 1 and tfs[3, "a"] == 4 and tfs[3, "b3"] == 2 and len(tfs) == 100
+
+
 def test_neighbours_by_index(spark, tmp_path):
     r = np.random.default_rng(5)
     middle = r.normal(size=(20, 8))
