@@ -6,6 +6,7 @@ All state is rows of (question, node), so a round is one plan for all questions.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,31 +70,45 @@ def claimed_paths(pairs: DataFrame, edges: DataFrame, hops: int = 5) -> DataFram
     """(src, dst, hops): for each different pair the least number of live edges from src to dst, null if that is more than `hops`; a node reaches itself in 0.
 
     Both ends search towards each other, the side whose turn it is one hop at a time, and only for pairs that haven't met; pairs with a null end have no path.
+    Nodes travel as numbers, levels are written once each, and the last hop, which is the widest, isn't written at all. Edges into nodes that nothing leaves
+    and nobody asks for are left out.
     """
-    ask = cut_lineage(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
-    e = cut_lineage(live(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    ends = ask.select(F.col("src").alias("seed")).distinct(), ask.select(F.col("dst").alias("seed")).distinct()
-    sides = [cut_lineage(s.select("seed", F.col("seed").alias("id"), F.lit(0).alias("h"))) for s in ends]
-    depth = [0, 0]
-    met = ask.where("src = dst").select("src", "dst", F.lit(0).alias("hops"))
+    ask, ask_at = stored(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
+    e = live(edges).select("src", "dst").where("src is not null and dst is not null").distinct()
+    useful = e.select(F.col("src").alias("dst")).union(ask.select("dst")).distinct()
+    e, e_at = stored(e.join(useful, "dst", "left_semi"))
+    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).union(ask.select("src")).union(ask.select("dst")).distinct()
+    named, named_at = stored(ids.select("id", F.monotonically_increasing_id().alias("v")))
+    number = lambda rows: rows.join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst")
+    ask, _ = stored(number(ask))
+    edge, edge_at = stored(number(e).select("a", "b"))
+    spark, spent = edges.sparkSession, [ask_at, e_at, named_at, edge_at]
+    left, at = stored(ask.where("a <> b").select("a", "b"))
+    spent.append(at)
+    met = [ask.where("a = b").select("a", "b", F.lit(0).alias("hops"))]
+    sides = [ask.select(F.col("a").alias("seed")).distinct(), ask.select(F.col("b").alias("seed")).distinct()]
+    levels = [[s.select("seed", F.col("seed").alias("id"))] for s in sides]
     for hop in range(1, hops + 1):
-        open_pairs = cut_lineage(ask.join(met, ["src", "dst"], "left_anti"))
-        if open_pairs.isEmpty():
+        if left.isEmpty():
             break
         k = (hop + 1) % 2  # forward, backward, forward ...
-        own, at, to = ("src", "a", "b") if k == 0 else ("dst", "b", "a")
-        last = depth[k]
-        wanted = open_pairs.select(F.col(own).alias("seed")).distinct()
-        edge = sides[k].where(F.col("h") == last).join(wanted, "seed", "left_semi").join(e, F.col("id") == F.col(at)).select("seed", F.col(to).alias("id")).distinct()
-        new = edge.join(sides[k].select("seed", "id"), ["seed", "id"], "left_anti").withColumn("h", F.lit(last + 1))
-        new = cut_lineage(new)
-        sides[k], depth[k] = cut_lineage(sides[k].union(new)), last + 1
+        own, to = ("a", "b") if k == 0 else ("b", "a")
+        wanted = left.select(F.col(own).alias("seed")).distinct()
+        new = levels[k][-1].join(wanted, "seed", "left_semi").join(edge.select(F.col(own).alias("id"), F.col(to).alias("to")), "id").select("seed", F.col("to").alias("id"))
+        if hop < hops:
+            new, at = stored(new.distinct().join(reduce(DataFrame.union, levels[k]), ["seed", "id"], "left_anti"))
+            levels[k].append(new)
+            spent.append(at)
         # the other side's outermost nodes and this side's new ones: any shorter meeting was found before
-        other = sides[1 - k].where(F.col("h") == hop - last - 1)
-        front, back = (new, other) if k == 0 else (other, new)
-        both = open_pairs.join(front.select(F.col("seed").alias("src"), "id"), "src").join(back.select(F.col("seed").alias("dst"), F.col("id")), ["dst", "id"], "left_semi")
-        met = cut_lineage(met.union(both.select("src", "dst", F.lit(hop).alias("hops")).distinct()))
-    return ask.join(met, ["src", "dst"], "left")
+        both = left.join(new.withColumnRenamed("seed", own), own).join(levels[1 - k][-1].withColumnRenamed("seed", to), [to, "id"], "left_semi")
+        found, _ = stored(both.select("a", "b", F.lit(hop).alias("hops")).distinct())
+        met.append(found)
+        if hop < hops:
+            left, at = stored(left.join(found, ["a", "b"], "left_anti"))
+            spent.append(at)
+    for at in spent:
+        remove(spark, at)
+    return ask.join(reduce(DataFrame.union, met), ["a", "b"], "left").select("src", "dst", "hops")
 
 
 def forward_push(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, most_rounds: int = 500) -> DataFrame:

@@ -312,6 +312,22 @@ def test_claimed_paths_meet_in_the_middle(spark):
     assert got["b", "b"] == 0 and got["b", "a0"] is None and got["a1", "zz"] is None and (None, "a1") not in got
 
 
+def test_the_widest_hop_of_claimed_paths_is_not_written(spark, monkeypatch):
+    """A node calls 9, these 9 each, and so on; each fourth level is asked for."""
+    written, own = [], traversal.stored
+
+    def counted(df, path=None, mode="errorifexists"):
+        out = own(df, path, mode)
+        written.append((tuple(df.columns), out[0].count()))
+        return out
+
+    monkeypatch.setattr(traversal, "stored", counted)
+    e = spark.createDataFrame([(f"x{k}", f"x{9 * k + j}", None) for k in range(1, 100) for j in range(9)] + [(f"x{k}", "hub", None) for k in range(1, 900)], "src string, dst string, tombstoned_day long")
+    got = {(r["src"], r["dst"]): r["hops"] for r in traversal.claimed_paths(spark.createDataFrame([("x1", "x810"), ("x2", "x170"), ("x2", "x890")], "src string, dst string"), e, 3).collect()}
+    assert got == {("x1", "x810"): 3, ("x2", "x170"): 2, ("x2", "x890"): None}
+    assert [n for c, n in written if c == ("seed", "id")] == [18, 3] and next(n for c, n in written if set(c) == {"src", "dst"} and n > 3) <= 900
+
+
 def test_updated_layers_equal_a_full_run(spark):
     r = random.Random(2)
     pairs = [(f"n{k}", f"n{k + 1}") for k in range(300)] + [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("hub", f"n{k}") for k in range(0, 300, 3)]
