@@ -85,9 +85,12 @@ def _added(rows: DataFrame, kind: str, dims: int, mean: bool = True) -> DataFram
     return own.repartition("a").sortWithinPartitions("a").mapInArrow(lambda x: fold(x, False, mean), schema).select("a", "v")
 
 
-def _means(both: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """(id, v): the mean of the neighbours' vectors."""
+def _means(both: DataFrame, vectors: DataFrame, dims: int, signed: bool = False) -> DataFrame:
+    """(id, v): the mean of the neighbours' vectors; -0.0 stays what it is only if signed."""
     met = both.join(vectors, both["b"] == vectors["id"]).select("a", F.col("m").alias("n"), "v")
+    if dims <= STEP and not signed:  # short vectors are summed as columns, in place, without a sort
+        sums = met.groupBy("a").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col("v")[k]).alias(f"s{k}") for k in range(dims)))
+        return sums.select(F.col("a").alias("id"), F.array(*(F.col(f"s{k}") / F.col("n") for k in range(dims))).alias("v"))
     return _added(met, dict(both.dtypes)["a"], dims).select(F.col("a").alias("id"), "v")
 
 
@@ -117,7 +120,7 @@ def values(edges: DataFrame, dims: int, weights: tuple[float, ...], first: Calla
         last = both.select(F.col("a").alias("id")).distinct().withColumn("v", first(F.col("id"), lo, lo + width))
         parts = [last.select("id", term(F.col("v"), weights[0]).alias("v"))]
         for w in weights[1:]:
-            last, at = stored(_means(both, last, width))
+            last, at = stored(_means(both, last, width, signed=True))
             kept.append(at)
             parts.append(last.select("id", term(F.col("v"), w).alias("v")))
         rows = reduce(DataFrame.union, parts).select(F.col("id").alias("a"), F.lit(1).cast("long").alias("n"), "v")

@@ -328,6 +328,16 @@ def test_the_widest_hop_of_claimed_paths_is_not_written(spark, monkeypatch):
     assert [n for c, n in written if c == ("seed", "id")] == [18, 3] and next(n for c, n in written if set(c) == {"src", "dst"} and n > 3) <= 900
 
 
+def test_short_layers_are_summed_without_a_sort(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "b")], "src string, dst string")
+    both = projection._both(e)
+    v = spark.createDataFrame([("a", [3.0, -1.0]), ("c", [6.0, 1.0]), ("b", [0.5, 0.0])], "id string, v array<double>")
+    plan = projection._means(both, v, 2)
+    got = {r["id"]: r["v"] for r in plan.collect()}
+    assert got == {"b": [4.0, pytest.approx(-1 / 3)], "a": [0.5, 0.0], "c": [0.5, 0.0]}
+    assert "MapInArrow" not in plan._jdf.queryExecution().toString()
+
+
 def test_updated_layers_equal_a_full_run(spark):
     r = random.Random(2)
     pairs = [(f"n{k}", f"n{k + 1}") for k in range(300)] + [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("hub", f"n{k}") for k in range(0, 300, 3)]
