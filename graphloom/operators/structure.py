@@ -5,6 +5,8 @@ They are rounds of joins and grouped aggregates over rows of edges; no component
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,15 @@ def spanning_forest(both: DataFrame) -> tuple[DataFrame, int]:
     kind = dict(both.dtypes)["a"]
     comp = connected_components(both, "a", "b")
     frontier = cut_lineage(comp.select(F.col("component").alias("id")).distinct().select("id", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("level")))
-    tree, level = frontier, 0
+    # A neighbour of the frontier is at most one level away, so these levels are all that need be left out, and each is written once.
+    tree, level = [frontier], 0
     while True:
-        new = frontier.select(F.col("id").alias("a")).join(both, "a").join(tree.select(F.col("id").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        near = reduce(DataFrame.union, tree[-2:]).select(F.col("id").alias("b"))
+        new = frontier.select(F.col("id").alias("a")).join(both, "a").join(near, "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         new = cut_lineage(new.withColumn("level", F.lit(level + 1)))
         if new.isEmpty():
-            return tree, level
-        tree, frontier, level = cut_lineage(tree.union(new)), new, level + 1
+            return cut_lineage(reduce(DataFrame.union, tree)), level
+        tree, frontier, level = [*tree, new], new, level + 1
 
 
 def _upwards(rows: DataFrame, depth: int, how: dict) -> DataFrame:

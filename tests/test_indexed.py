@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ingest, projection, ranking, search_index, snapshots, traversal, vector_index, walks
+from graphloom.operators import ingest, projection, ranking, search_index, snapshots, structure, traversal, vector_index, walks
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -328,6 +328,21 @@ def test_the_widest_hop_of_claimed_paths_is_not_written(spark, monkeypatch):
     assert [n for c, n in written if c == ("seed", "id")] == [18, 3] and next(n for c, n in written if set(c) == {"src", "dst"} and n > 3) <= 900
 
 
+def test_a_forest_writes_each_level_once(spark, monkeypatch):
+    written, own = [], structure.cut_lineage
+
+    def counted(df):
+        out = own(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(structure, "cut_lineage", counted)
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(8)] + [("n2", "n0")], "src string, dst string")
+    tree, depth = structure.spanning_forest(structure.simple(e))
+    assert {(r["id"], r["parent"], r["level"]) for r in tree.collect()} == {("n0", None, 0), ("n1", "n0", 1), ("n2", "n0", 1)} | {(f"n{k}", f"n{k - 1}", k - 1) for k in range(3, 9)}
+    assert depth == 7 and sum(written) == 2 * 9
+
+
 def test_short_layers_are_summed_without_a_sort(spark):
     e = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "b")], "src string, dst string")
     both = projection._both(e)
