@@ -398,3 +398,11 @@ def test_a_second_run_reads_only_what_is_left(spark, tmp_path):
     got = {r["path"]: (r["version"], r["run"], r["entities"]) for r in ingest.results(spark, folder).collect()}
     assert got["f00"] == ("2", 2, ["c0"]) and got["f07"] == ("1", 2, ["fixed"]) and got["f03"] == ("1", 1, ["none"]) and len(got) == 20
     assert ingest.run(frame(files), folder, extract, 5)["done_files"] == 0
+
+
+def test_a_hub_over_many_blocks_gives_the_walks_of_one_task(spark, monkeypatch):
+    """Walkers were rows, joined twice a round; now they are packed, and a hub's edges may lie in several blocks."""
+    monkeypatch.setattr(walks, "BLOCK", 3)
+    edges = spark.createDataFrame([("hub", f"n{a:02}") for a in range(40)] + [("n01", "n02"), ("n02", "n03"), ("n03", "n01")], "src string, dst string")
+    rows = lambda w: {(r["id"], r["walk_no"]): r["walk"] for r in w.collect()}
+    assert rows(walks.random_walks(edges, 5, 2, small=0)) == rows(walks.random_walks(edges, 5, 2))
