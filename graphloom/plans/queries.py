@@ -513,7 +513,7 @@ def _(n, e):
 
 @on_graph("node2vec_embedding")
 def _(n, e):
-    out = walks.hash_embedding(walks.random_walks(patterns.live(e)))
+    out = walks.node_embedding(patterns.live(e))
     return out.select("id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 

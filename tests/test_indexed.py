@@ -406,3 +406,13 @@ def test_a_hub_over_many_blocks_gives_the_walks_of_one_task(spark, monkeypatch):
     edges = spark.createDataFrame([("hub", f"n{a:02}") for a in range(40)] + [("n01", "n02"), ("n02", "n03"), ("n03", "n01")], "src string, dst string")
     rows = lambda w: {(r["id"], r["walk_no"]): r["walk"] for r in w.collect()}
     assert rows(walks.random_walks(edges, 5, 2, small=0)) == rows(walks.random_walks(edges, 5, 2))
+
+
+def test_steps_that_meet_by_node_give_the_embedding_of_the_walks(spark, monkeypatch):
+    """The walks of a large graph were put together first, and all their places sorted as rows."""
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{(a * 7 + 3) % 30:02}") for a in range(30)] + [("n00", f"n{a:02}") for a in range(2, 30)], "src string, dst string")
+    want = {r["id"]: r["embedding"] for r in walks.hash_embedding(walks.random_walks(edges, 6, 3), 16).collect()}
+    monkeypatch.setattr(walks, "PLACES", 10)  # so the hub's places are dealt over groups
+    monkeypatch.setattr(walks, "hash_embedding", lambda *a: pytest.fail("walks as rows"))
+    got = {r["id"]: r["embedding"] for r in walks.node_embedding(edges, 6, 3, small=0, dims=16).collect()}
+    assert got == want
