@@ -15,6 +15,7 @@ out, rows that repeat an id within an increment are scored each by its own lengt
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
-from graphloom.session import cut_lineage, remove, stored
+from graphloom.session import cut_lineage, remove, shared_folder, shuffles_dropped, stored
 
 BLOCK = 128
+#: A search takes its questions in shares that can give about so many scores of a document for a word, one share after another.
+PAIRS = 5_000_000
 K1, B = 1.2, 0.75
 
 
@@ -94,7 +97,8 @@ def add(docs: DataFrame, folder: str, batch: str, buckets: int = 256, id_col: st
         rows = rows.join(before.select("id"), "id", "left_anti")
     form = f"id {kind}, dl int, terms array<string>, tfs array<int>"
     rows, at = stored(rows.select("id", tokens(F.col("text")).alias("w")).mapInArrow(_counted, form))
-    rows.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/docs/batch={batch}")
+    with shuffles_dropped(spark):
+        rows.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/docs/batch={batch}")
     counts = rows.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("id", "dl", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     if not rows.groupBy("id", "dl").count().where("count > 1").isEmpty():  # rows of one id and length count as one
         counts = counts.groupBy("id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
@@ -103,7 +107,8 @@ def add(docs: DataFrame, folder: str, batch: str, buckets: int = 256, id_col: st
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = f"bucket int, term string, most_tf int, least_dl int, ids array<{kind}>, tfs array<int>, dls array<int>"
-    dealt.mapInArrow(_blocks, schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/batch={batch}")
+    with shuffles_dropped(spark):
+        dealt.mapInArrow(_blocks, schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/batch={batch}")
     stats = rows.agg(F.count("*").alias("n_docs"), F.count("dl").alias("n_long"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats/batch={batch}")  # now the increment counts
     remove(spark, at)
@@ -144,10 +149,27 @@ def search(questions: DataFrame, folder: str, k: int = 10, true_idf: bool = Fals
     best = blocks.groupBy("term").agg(F.max_by(own, weight(F.col("most_tf"), F.col("least_dl"), avgdl)).alias("b")).select("term", "b.*")
     by_score = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     floors = scored(asked.join(best, "term")).withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("query_id", F.col("score").alias("floor"))
-    asked = asked.join(floors, "query_id", "left").select("query_id", "term", "factor", "rest", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    asked = asked.join(floors, "query_id", "left").select("query_id", "term", "factor", "rest", "df", F.coalesce("floor", F.lit(0.0)).alias("floor"))
     may = F.col("factor") * weight(F.col("most_tf"), F.col("least_dl"), avgdl) + F.col("rest") >= F.col("floor") * (1 - 1e-9) - 1e-12
-    found = scored(blocks.join(cut_lineage(asked), "term").where(may)).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "id", "score")
+    asked = cut_lineage(asked)
+    pairs, = asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()
+    shares = -(-pairs // PAIRS)
+
+    def found(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        best = scored(blocks.join(asked, "term").where(may)).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        return best.select("query_id", "rank", "id", "score")
+
+    if shares <= 1:
+        return found(asked, blocks)
+    path = f"{shared_folder(spark)}/found-{uuid.uuid4().hex}"
+    stored(spark.createDataFrame([], out), path)
+    for share in range(shares):  # what a share shuffles goes before the next one's is written
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == share)
+        words = [r["term"] for r in own.select("term").distinct().limit(few + 1).collect()]
+        if words:
+            near = blocks.where(F.col("term").isin(words)) if len(words) <= few else blocks
+            stored(found(F.broadcast(own) if len(words) <= few and own.count() <= 10 * few else own, near), path, "append")
+    return spark.read.schema(out).parquet(path)
 
 
 def block_share(questions: DataFrame, folder: str) -> float:

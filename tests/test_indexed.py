@@ -416,3 +416,14 @@ def test_steps_that_meet_by_node_give_the_embedding_of_the_walks(spark, monkeypa
     monkeypatch.setattr(walks, "hash_embedding", lambda *a: pytest.fail("walks as rows"))
     got = {r["id"]: r["embedding"] for r in walks.node_embedding(edges, 6, 3, small=0, dims=16).collect()}
     assert got == want
+
+
+def test_a_search_in_shares_of_questions_gives_the_same_rows(spark, tmp_path, monkeypatch):
+    """The scores of all questions were shuffled at once."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 11}" for k in range(1, 6))) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q * 3 % 11}") for q in range(9)], "query_id long, text string")
+    search_index.add(docs, str(tmp_path / "i"), "1", 4)
+    found = lambda: sorted(tuple(r) for r in search_index.search(asked, str(tmp_path / "i"), 5, True, buckets=4).withColumn("score", F.round("score", 9)).collect())
+    want = found()
+    monkeypatch.setattr(search_index, "PAIRS", 40)
+    assert found() == want and len(want) > 9
